@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import bpe, packing, quality_rules
 from .shared import table
 
 
@@ -13,5 +13,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tok.path("byte_bpe_multi_50k.tiktoken"), tok.PATTERN)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"), tok.PATTERN)
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing}
 ORACLE_SQL: dict[str, str] = {}
