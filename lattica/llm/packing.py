@@ -66,13 +66,51 @@ def _unwind(took: np.ndarray, length: np.ndarray, c: int) -> list[int]:
     return items
 
 
-def solve(length: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3, most_pivots: int = 6000) -> list[tuple[list[int], float]]:
+def start(length: np.ndarray, demand: np.ndarray, size: int) -> tuple[list[list[int]], np.ndarray]:
+    """A basis to begin with: fill a sequence behind the longest length left, as well as the lengths left allow, until one of its lengths is used up.
+
+    Each pattern uses up a length that no later pattern holds, so the patterns are independent; there are as many as lengths.
+    """
+    left = demand.astype(float).copy()
+    patterns, counts = [], []
+    while True:
+        open_ = np.flatnonzero(left > 0)
+        if not len(open_):
+            return patterns, np.array(counts)
+        i = int(open_[-1])
+        some = length[open_]
+        best, took = knapsack(some + some * some / (size * size * 4.0), some, size - int(length[i]))
+        pattern = [i, *(int(open_[k]) for k in _unwind(took, some, size - int(length[i])))]
+        items, times = np.unique(pattern, return_counts=True)
+        ratio = left[items] / times
+        k = int(np.argmin(ratio))
+        patterns.append(pattern)
+        counts.append(float(ratio[k]))
+        left[items] -= ratio[k] * times
+        left[items[k]] = 0
+        left[left < 1e-9] = 0
+
+
+def solve(length: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3, most_pivots: int = 400) -> list[tuple[list[int], float]]:
     """Patterns (indices into ``length``, ascending lengths) and how often each is used."""
     m = len(length)
-    basis = [[i] * (size // int(length[i])) for i in range(m)]
-    inverse = np.diag([1.0 / len(b) for b in basis])
-    x = inverse @ demand
+    basis, x = start(length, demand, size)
     bound = float(demand @ length) / size
+    if len(basis) < m:  # two lengths ended at once: unit patterns complete the basis
+        ended = set()
+        left = demand.astype(float).copy()
+        for p, n in zip(basis, x, strict=True):
+            items, times = np.unique(p, return_counts=True)
+            left[items] -= n * times
+            ended.add(int(items[np.argmin(np.abs(left[items]))]))
+        spare = [i for i in range(m) if i not in ended][: m - len(basis)]
+        basis += [[i] * (size // int(length[i])) for i in spare]
+        x = np.concatenate([x, np.zeros(len(spare))])
+    matrix = np.stack([np.bincount(p, minlength=m) for p in basis], axis=1).astype(float)
+    try:
+        inverse = np.linalg.inv(matrix)
+    except np.linalg.LinAlgError:
+        return list(zip(basis, x.tolist(), strict=True))
     cost = np.ones(m)
     pivots = 0
     while pivots < most_pivots and x.sum() > bound * (1 + gap):
@@ -86,16 +124,17 @@ def solve(length: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3,
         for i in np.argsort(-through)[:200]:
             if through[i] > 1 + 1e-9:
                 pool.append([int(i), *_unwind(took, length, size - int(length[i]))])
-        pool = [np.bincount(p, minlength=m).astype(float) for p in {tuple(sorted(p)) for p in pool}]
-        columns = np.array(pool)
+        columns = np.array([np.bincount(p, minlength=m).astype(float) for p in {tuple(sorted(p)) for p in pool}])
         used = 0
-        while used < 100:
+        while used < 50:
             gain = columns @ dual - 1
             k = int(np.argmax(gain))
             if gain[k] <= 1e-9:
                 break
             column = inverse @ columns[k]
-            up = column > 1e-11
+            up = column > 1e-9
+            if not up.any():
+                break
             ratio = np.full(m, np.inf)
             ratio[up] = x[up] / column[up]
             r = int(np.argmin(ratio))
@@ -109,7 +148,7 @@ def solve(length: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3,
             dual = cost @ inverse
             used += 1
             pivots += 1
-            if x.sum() <= bound * (1 + gap):
+            if x.sum() <= bound * (1 + gap) or pivots >= most_pivots:
                 break
         if not used:
             break

@@ -58,3 +58,15 @@ def test_pack_documents(spark):
             at += r.length
         assert at <= 1024
     assert packing.pack_documents(docs.limit(0), FILE, P.PATTERN).count() == 0
+
+
+def test_column_generation_improves_on_the_first_basis():
+    length, demand = np.array([300, 352, 420, 604]), np.array([900.0, 700.0, 800.0, 500.0])
+    _, first = packing.start(length, demand, 1024)
+    solved = packing.solve(length, demand, 1024, gap=0)
+    made = sum(np.bincount(p, minlength=4) * x for p, x in solved)
+    assert np.all(made >= demand - 1e-6)
+    assert sum(x for _, x in solved) <= first.sum() + 1e-9
+    # no pattern prices below zero: the program is optimal
+    best = min(sum(x for _, x in packing.solve(length, demand, 1024, 0, n)) for n in (1, 5, 50))
+    assert abs(best - sum(x for _, x in solved)) < 1e-6
