@@ -33,7 +33,7 @@ from .shared import written
 from .textblock import chunks
 
 #: Documents per hash class in which they are ranked.
-RANKED = 50_000
+RANKED = 10_000
 #: Characters on which all Unicode versions agree how to split; other texts go to the tokenizer whole.
 _ODD = re.compile("[^\x00-\x1b\x20-ſ‐-‧€]")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules
+from . import bpe, packing, quality_rules, suffix_dedup
 from .shared import table
 
 
@@ -25,5 +25,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"), tok.PATTERN)
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op9_suffix_dedup": op9_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {}

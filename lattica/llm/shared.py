@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a scan (file bytes), at least 1."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()))
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's size estimate of a scan (file bytes), at least 1; where it has none, the bytes of the texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 58:
+        size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(1, size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
