@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, suffix_dedup
+from . import bpe, packing, quality_rules, suffix_dedup, vp_ann, warc
 from .shared import table
 
+#: Pruning factor of the vector search (1: exact).
+ANN_FACTOR = 1.0
+
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tok
 
@@ -29,5 +37,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op9_suffix_dedup": op9_suffix_dedup}
+def op10_vp_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, factor=ANN_FACTOR)
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_warc": op4_warc, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_vp_ann": op10_vp_ann}
 ORACLE_SQL: dict[str, str] = {}
