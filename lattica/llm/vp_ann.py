@@ -127,7 +127,7 @@ def _build(k: int, most: float):
         members = np.split(ids[keep], np.cumsum(np.bincount(group[keep]))[:-1])
         x = x[first]
         full = np.concatenate([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]], 1)
-        return pa.table({"shard": [key[0].as_py()], "dim": [dim], "tree": [pickle.dumps((VPTree(full), x, members))]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "tree": [pickle.dumps((VPTree(full), x, members))]})
 
     return build
 
@@ -161,7 +161,7 @@ def _search(k: int, factor: float):
 
 def _packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     ids = table.column("vec_id").to_numpy().astype("<i8")
-    return pa.table({"dim": [key[1].as_py()], "qids": [ids.tobytes()], "qvecs": [b"".join(table.column("vec").to_pylist())]})
+    return pa.table({"dim": pa.array([key[1].as_py()], pa.int32()), "qids": [ids.tobytes()], "qvecs": [b"".join(table.column("vec").to_pylist())]})
 
 
 def _doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
