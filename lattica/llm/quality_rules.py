@@ -88,7 +88,7 @@ def fail_bits(m: dict[str, np.ndarray]) -> np.ndarray:
     failed = {
         "few_words": n < 10,
         "repeated_words": 100 * m["n_repeat_words"] > 20 * n,
-        "symbol_words": 100 * m["n_symbols"] > 60 * n,
+        "symbol_words": 100 * m["n_symbols"] > 25 * n,
         "upper_case": (100 * m["n_upper"] > 60 * m["n_letters"]) & (m["n_letters"] >= 20),
         "exclaimed": 100 * m["n_bangs"] > 60 * n,
         "digits": 100 * m["n_digits"] > 40 * np.maximum(m["word_chars"], 1),

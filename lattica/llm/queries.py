@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, suffix_dedup, vp_ann, warc
+from . import bpe, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, vp_ann, warc
 from .shared import table
 
 #: Pruning factor of the vector search (1: exact).
 ANN_FACTOR = 1.0
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -33,6 +38,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"), tok.PATTERN)
 
 
+def _fold(n: int):
+    """Remainder of the id's checksum, which says what is held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(_fold(4) != 2).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    return toxicity.score(docs, model, 0.3).select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted", "n_segments")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -41,5 +58,5 @@ def op10_vp_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, factor=ANN_FACTOR)
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_warc": op4_warc, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_vp_ann": op10_vp_ann}
+QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op4_warc": op4_warc, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_vp_ann": op10_vp_ann}
 ORACLE_SQL: dict[str, str] = {}
