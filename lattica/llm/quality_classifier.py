@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .quality_rules import measure
 from .textblock import TextBlock, chunks
 
-#: Rows of the sample that the scorer is fitted on (in expectation), hashed features.
-FIT_ROWS, FEATURES = 20_000, 1 << 14
+#: Rows of the sample that the scorer is fitted on (in expectation), features, those of them for measurements.
+FIT_ROWS, FEATURES, MEASURED = 20_000, 1 << 14, 96
 HEURISTICS = ("symbols", "case", "exclaimed", "repeats", "lines", "short_words", "word_length", "length")
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -58,18 +58,9 @@ def votes(m: dict[str, np.ndarray], short: np.ndarray) -> np.ndarray:
         "word_length": ((ratio["word_length"] > 6.5) | (ratio["word_length"] < 2.5)) & enough,
         "length": m["n_words"] == 0,
     }
-    no = np.zeros(len(n), bool)
-    good = {
-        "symbols": (ratio["symbols"] < 0.02) & enough,
-        "case": ratio["case"] < 0.1,
-        "exclaimed": no,
-        "repeats": ratio["repeats"] < 0.05,
-        "lines": no,
-        "short_words": ratio["short_words"] > 0.25,
-        "word_length": (ratio["word_length"] > 3.8) & (ratio["word_length"] < 5.9),
-        "length": m["n_words"] >= 100,
-    }
-    return np.stack([np.where(bad[h], 0, np.where(good[h], 2, 1)) for h in HEURISTICS], 1)
+    # the absence of a defect is no vote: it would count the text as good once for every defect it does not have
+    good = {"length": m["n_words"] >= 100}
+    return np.stack([np.where(bad[h], 0, np.where(good.get(h, False), 2, 1)) for h in HEURISTICS], 1)
 
 
 def _pattern(v: np.ndarray) -> np.ndarray:
@@ -80,29 +71,30 @@ def unpattern(code: np.ndarray) -> np.ndarray:
     return np.stack([code // 3**i % 3 for i in range(len(HEURISTICS))], 1)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Class shares (bad, good) and, per class, heuristic and vote, the vote's probability."""
-    k = len(HEURISTICS)
+def _cast(v: np.ndarray) -> np.ndarray:
+    """Indicators of cast votes (bad, good); abstaining is no evidence."""
+    return (v[:, :, None] == np.array([0, 2])).astype(float)
+
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Class shares (bad, good) and, per class and heuristic, how often it votes bad and good there."""
     v = unpattern(patterns)
-    lean = (v == 2).sum(1) - 2.0 * (v == 0).sum(1)
-    good = 1 / (1 + np.exp(-lean))
-    onehot = (v[:, :, None] == np.arange(3)).astype(float)
+    cast = _cast(v)
+    good = np.where((v == 0).any(1), 0.05, 0.95)
     for _ in range(rounds):
         r = np.stack([1 - good, good]) * counts
         share = (r.sum(1) + 1) / (r.sum() + 2)
-        p = (np.einsum("cn,nkv->ckv", r, onehot) + 0.5) / (r.sum(1)[:, None, None] + 1.5)
-        ll = np.log(share)[:, None] + np.einsum("ckv,nkv->cn", np.log(p), onehot)
-        new = 1 / (1 + np.exp(np.clip(ll[0] - ll[1], -50, 50)))
+        p = (np.einsum("cn,nkv->ckv", r, cast) + 0.5) / (r.sum(1)[:, None, None] + 1.5)
+        new = posterior(v, share, p)
         if np.abs(new - good).max(initial=0) < 1e-9:
             break
         good = new
-    assert p.shape == (2, k, 3)
     return share, p
 
 
 def posterior(v: np.ndarray, share: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Probability of good, per row of votes."""
-    ll = np.log(share)[:, None] + sum(np.log(p[:, i, v[:, i]]) for i in range(v.shape[1]))
+    ll = np.log(share)[:, None] + np.einsum("ckv,nkv->cn", np.log(p), _cast(v))
     return 1 / (1 + np.exp(np.clip(ll[0] - ll[1], -50, 50)))
 
 
@@ -119,15 +111,20 @@ def _features(block: TextBlock, m: dict[str, np.ndarray], short: np.ndarray) ->
     shapes = TextBlock(kind[keep], np.array([0, int(at[-1])]))
     h = shapes.hash_ranges(at[start], at[end])
     doc = np.repeat(np.arange(block.n), n_words)
-    f = (h % np.uint64(FEATURES - 16)).astype(np.int64)
+    f = (h % np.uint64(FEATURES - MEASURED)).astype(np.int64)
     key, count = np.unique(doc * FEATURES + f, return_counts=True)
     doc, f = key // FEATURES, key % FEATURES
     value = count / n_words[doc]
     n = np.maximum(n_words, 1)
-    own = [m["n_symbols"] / n, m["n_upper"] / np.maximum(m["n_letters"], 1), m["n_bangs"] / n, m["n_repeat_words"] / n, m["n_dup_lines"] / np.maximum(m["n_lines"], 1), short / n, m["word_chars"] / n / 5 - 1, np.ones(block.n)]
-    own = np.clip(np.stack(own, 1), -1, 1)
-    extra = np.repeat(np.arange(block.n), own.shape[1])
-    return np.concatenate([doc, extra]), np.concatenate([f, np.tile(FEATURES - 16 + np.arange(own.shape[1]), block.n)]), np.concatenate([value, own.ravel()])
+    own = [m["n_symbols"] / n, m["n_upper"] / np.maximum(m["n_letters"], 1), m["n_bangs"] / n, m["n_repeat_words"] / n, m["n_dup_lines"] / np.maximum(m["n_lines"], 1), 1 - short / n, m["word_chars"] / n / 10]
+    own = np.clip(np.stack(own, 1), 0, 0.999)
+    k = own.shape[1]
+    bins = np.minimum((own * 10).astype(np.int64), 9) + (own > 0.02)  # 0: hardly any; then tenths
+    extra = np.repeat(np.arange(block.n), k)
+    base = FEATURES - MEASURED
+    doc = np.concatenate([doc, extra, extra, np.arange(block.n)])
+    f = np.concatenate([f, np.tile(base + np.arange(k), block.n), (base + k + np.arange(k) * 11 + bins).ravel(), np.full(block.n, FEATURES - 1)])
+    return doc, f, np.concatenate([value, own.ravel(), np.ones(block.n * k), np.ones(block.n)])
 
 
 def _view(part: pa.RecordBatch):
@@ -163,7 +160,7 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
     seen = d.mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     code, n = np.array([r.code for r in seen], np.int64), np.array([r.n for r in seen], float)
-    share, p = expectation_maximisation(code, n) if len(code) else (np.array([0.5, 0.5]), np.full((2, len(HEURISTICS), 3), 1 / 3))
+    share, p = expectation_maximisation(code, n) if len(code) else (np.array([0.5, 0.5]), np.full((2, len(HEURISTICS), 2), 1 / 2))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
