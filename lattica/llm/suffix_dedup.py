@@ -44,8 +44,8 @@ from .shared import input_bytes, written
 from .textblock import TextBlock, chunks, mix
 
 MATCH, GRAM = 50, 20
-#: Input bytes per bucket of anchors, bytes of runs per shard, runs an anchor may have in one shard.
-BUCKET_BYTES, SHARD_BYTES, HOT = 16 << 20, 1 << 20, 4096
+#: Input bytes per bucket of anchors and per group of documents, bytes of runs per shard, runs an anchor may have in one shard.
+BUCKET_BYTES, GROUP_BYTES, SHARD_BYTES, HOT = 16 << 20, 8 << 20, 1 << 20, 4096
 #: Anchors a map task gathers before it sends them on.
 GATHER = 1_500_000
 
@@ -218,34 +218,47 @@ def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-_FOUND = "doc_id long, tag int, bucket int, same binary, near binary, hot binary"
+def _ones(which: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(which, minlength=n)
 
 
-def _found(doc_id, tag, bucket: int, doc, ordinal, same, near, hot) -> pa.RecordBatch:
-    """Rows per document with ordinals of runs; doc is ascending."""
+_FOUND = "grp int, bucket int, docs binary, tags binary, n_same binary, n_near binary, n_hot binary, same binary, near binary, hot binary"
+
+
+def _found(doc_id, tag, grp, bucket: int, doc, ordinal, same, near, hot) -> pa.Table:
+    """A row per group of documents: their ids and the ordinals of their runs of each kind."""
     n = len(doc_id)
-    counts = [np.bincount(doc[m], minlength=n) for m in (same, near, hot)]
-    has = (counts[0] + counts[1] + counts[2]) > 0
-    cols = [_packed(ordinal[m].astype(np.uint32), c[has]) for m, c in zip((same, near, hot), counts, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(doc_id[has]), pa.array(tag[has].astype(np.int32)), pa.array(np.full(int(has.sum()), bucket, np.int32)), *cols], ["doc_id", "tag", "bucket", "same", "near", "hot"])
+    counts = [_ones(doc[m], n) for m in (same, near, hot)]
+    has = np.flatnonzero(counts[0] + counts[1] + counts[2])
+    order = has[np.argsort(grp[has], kind="stable")]
+    place = np.full(n, -1)
+    place[order] = np.arange(len(order))
+    groups, per = np.unique(grp[order], return_counts=True)
+    row = np.repeat(np.arange(len(groups)), per)
+    ords, totals = [], []
+    for m, c in zip((same, near, hot), counts, strict=True):
+        o = np.argsort(place[doc[m]], kind="stable")
+        ords.append(ordinal[m][o].astype("<u4"))
+        totals.append(np.bincount(row, weights=c[order], minlength=len(groups)).astype(np.int64))
+    cols = [pa.array(groups.astype(np.int32)), pa.array(np.full(len(groups), bucket, np.int32)), _packed(doc_id[order].astype("<i8"), per), _packed(tag[order].astype("<u2"), per)]
+    cols += [_packed(c[order].astype("<u4"), per) for c in counts] + [_packed(v, t) for v, t in zip(ords, totals, strict=True)]
+    return pa.table(cols, [f.split()[0] for f in _FOUND.split(", ")])
 
 
 def _five(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 3:].copy()
 
 
-_SENT = "bucket int, doc_id long, tag int, same binary, near binary, hot binary, docs binary, tags binary, counts binary, places binary, grams binary, runs binary"
+_SENT = "bucket int, here boolean, docs binary, tags binary, grps binary, counts binary, places binary, grams binary, runs binary"
 
 
 def _send(buckets: int):
-    """Pass 1, a map over texts.  Rows with ``docs``: anchors for a bucket; the others: runs equal to one of a smaller document of this task."""
+    """Pass 1, a map over texts: a row per bucket with anchors, and one (``here``) with runs equal to one of a smaller document of this task."""
     names = [f.split()[0] for f in _SENT.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    types = [kinds[f.split()[1]] for f in _SENT.split(", ")]
 
-    def rows(ids, tags, parts):
+    def rows(heads, parts):
         doc, g, r = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ids, tags = np.concatenate(ids), np.concatenate(tags)
+        ids, tags, grps = (np.concatenate(x) for x in zip(*heads, strict=True))
         by_bucket = (g >> np.uint64(32)) % np.uint64(buckets)
         order, k, place = _ordinals(by_bucket.astype(np.int64) * len(ids) + doc)
         doc, g, r, which = doc[order], g[order] & np.uint64(0xFFFFFFFF), r[order], k // len(ids)
@@ -255,73 +268,75 @@ def _send(buckets: int):
         least = np.repeat(ids[doc[o][first]], np.diff(np.r_[first, len(o)]))
         same = np.zeros(len(o), bool)
         same[o] = ids[doc[o]] > least
-        none = np.zeros(len(o), bool)
         cuts = np.searchsorted(which, np.arange(buckets + 1))
         for b in range(buckets):
             lo, hi = cuts[b], cuts[b + 1]
-            if lo == hi:
-                continue
-            d, s = doc[lo:hi], same[lo:hi]
-            if s.any():
-                f = _found(ids, tags, b, d, place[lo:hi], s, none[lo:hi], none[lo:hi])
-                yield pa.RecordBatch.from_arrays([f.column("bucket"), *(f.column(c) for c in ("doc_id", "tag", "same", "near", "hot")), *([pa.nulls(f.num_rows, pa.binary())] * 6)], names)
-            keep = ~s
-            if keep.any():
-                d, pl = d[keep], place[lo:hi][keep]
-                u, count = np.unique(d, return_counts=True)
-                blob = [ids[u].astype("<i8"), tags[u].astype("<u2"), count.astype("<u4"), pl.astype("<u4"), g[lo:hi][keep].astype("<u4"), _five(r[lo:hi][keep])]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.nulls(1, t) for t in types[1:6]), *(pa.array([x.tobytes()], pa.binary()) for x in blob)], names)
+            for here in (True, False):
+                pick = np.flatnonzero(same[lo:hi] == here) + lo
+                if not len(pick):
+                    continue
+                u, count = np.unique(doc[pick], return_counts=True)
+                blob = [ids[u].astype("<i8"), tags[u].astype("<u2"), grps[u].astype("<i4"), count.astype("<u4"), place[pick].astype("<u4")]
+                blob += [np.zeros(0, np.uint8)] * 2 if here else [g[pick].astype("<u4"), _five(r[pick])]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([here]), *(pa.array([x.tobytes()], pa.binary()) for x in blob)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tags, parts, held, docs = [], [], [], 0, 0
+        heads, parts, held, docs = [], [], 0, 0
         for part in chunks(batches):
-            block = TextBlock.from_arrow(part.column(2))
+            block = TextBlock.from_arrow(part.column(3))
             doc, _, _, g, r = window_runs(block)
             if not len(doc):
                 continue
-            ids.append(part.column(0).to_numpy())
-            tags.append(part.column(1).to_numpy())
+            heads.append(tuple(part.column(i).to_numpy() for i in range(3)))
             parts.append((doc + docs, g, r))
             docs += block.n
             held += len(doc)
             if held > GATHER:
-                yield from rows(ids, tags, parts)
-                ids, tags, parts, held, docs = [], [], [], 0, 0
+                yield from rows(heads, parts)
+                heads, parts, held, docs = [], [], 0, 0
         if parts:
-            yield from rows(ids, tags, parts)
+            yield from rows(heads, parts)
 
     return run
 
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Pass 1, in a bucket: which runs equal one of a smaller document, and which share their anchor with a different run."""
-    get = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    ids, tags, counts = get("docs", "<i8"), get("tags", "<u2"), get("counts", "<u4")
-    place, g = get("places", "<u4"), get("grams", "<u4")
-    five = get("runs", np.uint8).reshape(-1, 5)
-    r = np.zeros((len(five), 8), np.uint8)
-    r[:, :5] = five
-    r = r.view("<u8").ravel()
-    doc = np.repeat(np.arange(len(ids)), counts)
-    own = ids[doc]
-    o = np.lexsort((own, r, g))
-    go, ro, do = g[o], r[o], own[o]
-    new_g = np.r_[True, go[1:] != go[:-1]]
-    new_r = new_g | np.r_[True, ro[1:] != ro[:-1]]
-    first = np.flatnonzero(new_r)
-    least = np.repeat(do[first], np.diff(np.r_[first, len(o)]))
-    same_o = do > least
-    # by anchor: different runs, and different documents among the runs' first ones
-    gs = np.flatnonzero(new_g)
-    per = np.diff(np.r_[gs, len(o)])
-    kinds = np.add.reduceat(new_r.astype(np.int64), gs)
-    lo, hi = np.minimum.reduceat(least, gs), np.maximum.reduceat(least, gs)
-    open_g = (kinds > 1) & (lo < hi)
-    near_o = ~same_o & np.repeat(open_g & (kinds <= HOT), per)
-    hot_o = ~same_o & np.repeat(open_g & (kinds > HOT), per)
-    same, near, hot = (np.zeros(len(o), bool) for _ in range(3))
-    same[o], near[o], hot[o] = same_o, near_o, hot_o
-    return pa.Table.from_batches([_found(ids, tags, int(key[0].as_py()), doc, place, same, near, hot)])
+    bucket = int(key[0].as_py())
+    here = np.array(table.column("here").to_pylist(), bool)
+    out = []
+    for local in (True, False):
+        t = table.filter(pa.array(here == local))
+        if not t.num_rows:
+            continue
+        get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)  # noqa: B023, E731
+        ids, tags, grps, counts, place = get("docs", "<i8"), get("tags", "<u2"), get("grps", "<i4"), get("counts", "<u4"), get("places", "<u4")
+        doc = np.repeat(np.arange(len(ids)), counts)
+        same, near, hot = (np.zeros(len(doc), bool) for _ in range(3))
+        if local:
+            same[:] = True
+        else:
+            g, five = get("grams", "<u4"), get("runs", np.uint8).reshape(-1, 5)
+            r = np.zeros((len(five), 8), np.uint8)
+            r[:, :5] = five
+            r = r.view("<u8").ravel()
+            own = ids[doc]
+            o = np.lexsort((own, r, g))
+            go, ro, do = g[o], r[o], own[o]
+            new_g = np.r_[True, go[1:] != go[:-1]]
+            new_r = new_g | np.r_[True, ro[1:] != ro[:-1]]
+            first = np.flatnonzero(new_r)
+            least = np.repeat(do[first], np.diff(np.r_[first, len(o)]))
+            same[o] = do > least
+            # by anchor: different runs, and different documents among the runs' first ones
+            gs = np.flatnonzero(new_g)
+            per = np.diff(np.r_[gs, len(o)])
+            kinds = np.add.reduceat(new_r.astype(np.int64), gs)
+            open_g = (kinds > 1) & (np.minimum.reduceat(least, gs) < np.maximum.reduceat(least, gs))
+            near[o] = (do <= least) & np.repeat(open_g & (kinds <= HOT), per)
+            hot[o] = (do <= least) & np.repeat(open_g & (kinds > HOT), per)
+        out.append(_found(ids, tags, grps, bucket, doc, place, same, near, hot))
+    return pa.concat_tables(out)
 
 
 # ---------------------------------------------------------------- spans
@@ -359,26 +374,44 @@ def _rows(n: int, **cols) -> pa.RecordBatch:
 
 
 def _split(buckets: int, shards: int):
-    """Pass 2, a map over texts with what pass 1 found: finished documents (kind 0), open ones (1), runs for the shards (2)."""
+    """Pass 2, a group of texts with what pass 1 found: finished documents (kind 0), open ones (1), runs for the shards (2)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        if not texts.num_rows or not found.num_rows:
+            return pa.table([pa.nulls(0, t) for t in _SPLIT_TYPES], _SPLIT_NAMES)
         squeeze = zstandard.ZstdCompressor(3).compress
-        for part in chunks(batches):
-            block = TextBlock.from_arrow(part.column(2))
-            ids, tags = part.column(0).to_numpy(), part.column(1).to_numpy()
+        rows = {}
+        for i, name in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist(), strict=True)):
+            rows.setdefault(name, i)
+        get = lambda c, kind: np.frombuffer(b"".join(found.column(c).to_pylist()), kind)
+        names = list(zip(get("docs", "<i8").tolist(), get("tags", "<u2").tolist(), strict=True))
+        row = np.array([rows.get(n, -1) for n in names])
+        bucket = np.repeat(found.column("bucket").to_numpy(), [len(x) // 8 for x in found.column("docs").to_pylist()]).astype(np.int64)
+        listed = []
+        for c in ("same", "near", "hot"):
+            counts = get(f"n_{c}", "<u4")
+            r, b, at = np.repeat(row, counts), np.repeat(bucket, counts), get(c, "<u4").astype(np.int64)
+            o = np.argsort(r, kind="stable")
+            listed.append((r[o], b[o], at[o]))
+        touched = np.unique(row[row >= 0])
+        texts = texts.take(pa.array(touched)).combine_chunks()
+        new_row = np.full(int(touched.max(initial=-1)) + 2, -1)
+        new_row[touched] = np.arange(len(touched))
+        listed = [(np.where(r >= 0, new_row[np.maximum(r, 0)], -1), b, at) for r, b, at in listed]
+        done_rows = 0
+        for part in chunks(texts.to_batches()):
+            block = TextBlock.from_arrow(part.column(part.schema.get_field_index("text")))
+            ids, tags = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "tag"))
             doc, s0, s1, g, _ = window_runs(block)
             order, k, _ = _ordinals(doc * buckets + ((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
-            found = part.column(3)
-            owner = np.repeat(np.arange(block.n), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            item = found.flatten()
-            begin = np.searchsorted(k, owner * buckets + item.field(0).to_numpy(zero_copy_only=False))
             marks = []
-            for f in (1, 2, 3):
-                raw = item.field(f).to_pylist()
-                at = np.repeat(begin, [len(x) // 4 for x in raw]) + np.frombuffer(b"".join(raw), np.uint32)
+            for r, b, at in listed:
+                lo, hi = np.searchsorted(r, [done_rows, done_rows + block.n])
                 mark = np.zeros(len(doc), bool)
-                mark[order[at]] = True
+                mark[order[np.searchsorted(k, (r[lo:hi] - done_rows) * buckets + b[lo:hi]) + at[lo:hi]]] = True
                 marks.append(mark)
+            done_rows += block.n
             same, near, hot = marks
             start, end, of = s0[same], s1[same] + MATCH, doc[same]
             segments = [(doc[near], s0[near], s1[near] + MATCH, g[near])]
@@ -408,17 +441,17 @@ def _split(buckets: int, shards: int):
                     done.append((ids[i], tags[i], *_cut(raw[base[i] : base[i + 1]], (start[lo:hi] - base[i]).tolist(), (end[lo:hi] - base[i]).tolist())))
             if done:
                 x = list(zip(*done, strict=True))
-                yield _rows(len(done), kind=[0] * len(done), doc_id=x[0], tag=x[1], n_removed=x[2], n_spans=x[3], kept_sha256=x[4])
+                out.append(_rows(len(done), kind=[0] * len(done), doc_id=x[0], tag=x[1], n_removed=x[2], n_spans=x[3], kept_sha256=x[4]))
             if wait:
                 x = list(zip(*wait, strict=True))
-                yield _rows(len(wait), kind=[1] * len(wait), doc_id=x[0], tag=x[1], ranges=[r.tobytes() for r in x[2]], body=x[3])
+                out.append(_rows(len(wait), kind=[1] * len(wait), doc_id=x[0], tag=x[1], ranges=[r.tobytes() for r in x[2]], body=x[3]))
             if len(d):
                 shard = (mix(h) % np.uint64(shards)).astype(np.int64)
                 o = np.argsort(shard, kind="stable")
                 d, a, b, shard = d[o], a[o], b[o], shard[o]
                 u, first = np.unique(shard, return_index=True)
                 parts = [slice(x, y) for x, y in zip(first, np.r_[first[1:], len(shard)], strict=True)]
-                yield _rows(
+                out.append(_rows(
                     len(u),
                     kind=[2] * len(u),
                     shard=u,
@@ -427,7 +460,9 @@ def _split(buckets: int, shards: int):
                     starts=[(a[p] - base[d[p]]).astype("<i8").tobytes() for p in parts],
                     lens=[(b[p] - a[p]).astype("<u4").tobytes() for p in parts],
                     bytes=[b"".join([raw[x:y] for x, y in zip(a[p], b[p], strict=True)]) for p in parts],
-                )
+                ))
+
+        return pa.Table.from_batches(out, pa.schema(list(zip(_SPLIT_NAMES, _SPLIT_TYPES, strict=True))))
 
     return run
 
@@ -479,15 +514,12 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
         raise ValueError("windows of 50 bytes only")
     text = F.coalesce(F.col("text"), F.lit(""))
     tag = F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    d = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), text.alias("text"))
     size = input_bytes(docs)
-    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
+    grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int")
+    d = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), grp.alias("grp"), text.alias("text"))
 
-    sent = d.mapInArrow(_send(buckets), _SENT)
-    sent = written(sent, "anchors")
-    here = sent.filter("docs is null").select(*(f.split()[0] for f in _FOUND.split(", ")))
-    met = sent.filter("docs is not null").select("bucket", "docs", "tags", "counts", "places", "grams", "runs").groupBy("bucket").applyInArrow(_meet, _FOUND)
-    found = written(here.unionByName(met), "runs")
+    found = written(d.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_meet, _FOUND), "runs")
 
     whole = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), F.md5(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole_sha"))
     base = written(whole, "digests")
@@ -496,10 +528,7 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
 
     n_near, n_hot = found.agg(F.coalesce(F.sum(F.length("near")), F.lit(0)), F.coalesce(F.sum(F.length("hot")), F.lit(0))).first()
     shards = max(1, math.ceil((n_near / 4 * 70 + n_hot / 4 * 16 * MATCH) / SHARD_BYTES))
-    lists = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("bucket", "same", "near", "hot")).alias("found"))
-    lists = lists.join(state.filter(~F.col("copy")).select("doc_id", "tag").distinct(), ["doc_id", "tag"])
-    once = d.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "found")
-    split = written(once.mapInArrow(_split(buckets, shards), _SPLIT), "windows")
+    split = written(d.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_split(buckets, shards), _SPLIT), "windows")
 
     more = split.filter("kind = 2").select("shard", "docs", "tags", "starts", "lens", "bytes").groupBy("shard").applyInArrow(_sort_shard, "doc_id long, tag int, more binary")
     more = more.groupBy("doc_id", "tag").agg(F.collect_list("more").alias("more"))

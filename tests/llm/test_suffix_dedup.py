@@ -72,6 +72,7 @@ def test_spans_equal_brute_force(spark):
 def test_repeated_rows_and_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(sd, "HOT", 1)
     monkeypatch.setattr(sd, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(sd, "GROUP_BYTES", 2500)
     monkeypatch.setattr(sd, "SHARD_BYTES", 3000)
     rows = corpus()
     check(spark, rows + rows[:5])
