@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, vp_ann, warc
+from . import bpe, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, vp_ann, warc
 from .shared import table
 
 #: Pruning factor of the vector search (1: exact).
 ANN_FACTOR = 1.0
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"))
 
@@ -58,5 +62,5 @@ def op10_vp_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, factor=ANN_FACTOR)
 
 
-QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op4_warc": op4_warc, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_vp_ann": op10_vp_ann}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op4_warc": op4_warc, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_vp_ann": op10_vp_ann}
 ORACLE_SQL: dict[str, str] = {}

@@ -45,9 +45,9 @@ from .textblock import TextBlock, chunks, mix
 
 MATCH, GRAM = 50, 20
 #: Input bytes per bucket of anchors and per group of documents, bytes of runs per shard, runs an anchor may have in one shard.
-BUCKET_BYTES, GROUP_BYTES, SHARD_BYTES, HOT = 16 << 20, 8 << 20, 1 << 20, 4096
+BUCKET_BYTES, GROUP_BYTES, SHARD_BYTES, HOT = 12 << 20, 8 << 20, 1 << 20, 4096
 #: Anchors a map task gathers before it sends them on.
-GATHER = 1_500_000
+GATHER = 1_000_000
 
 # ---------------------------------------------------------------- suffix sorting
 
