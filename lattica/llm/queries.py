@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, vp_ann, warc
+from . import bpe, lm_mixing, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, vp_ann, warc
 from .shared import table
 
 #: Pruning factor of the vector search (1: exact).
@@ -47,6 +47,11 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op7_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm_mixing.score(table(spark, sf_dir, "documents"), _fold(7) != 2)
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(_fold(4) != 2).select("doc_id", "toxic")
@@ -62,5 +67,5 @@ def op10_vp_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20, factor=ANN_FACTOR)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op4_warc": op4_warc, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_vp_ann": op10_vp_ann}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op4_warc": op4_warc, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_lm_mixing": op7_lm_mixing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_vp_ann": op10_vp_ann}
 ORACLE_SQL: dict[str, str] = {}
