@@ -128,7 +128,7 @@ def _features(block: TextBlock, m: dict[str, np.ndarray], short: np.ndarray) ->
 
 
 def _view(part: pa.RecordBatch):
-    block = TextBlock.from_arrow(part.column(1))
+    block = TextBlock.from_arrow(part.column(part.schema.get_field_index("text")))
     m = measure(block)
     start, end, first = block.words()
     doc = np.repeat(np.arange(block.n), np.diff(first))
@@ -148,8 +148,8 @@ def fit_linear(doc: np.ndarray, f: np.ndarray, value: np.ndarray, label: np.ndar
     return w
 
 
-def classify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Per document: ``doc_id, votes`` (pattern code), ``posterior``, ``score`` (probability of good) and ``kept``."""
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class shares, vote rates and the scorer's weights."""
     d = docs.select(F.col("doc_id").cast("long"), "text")
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +180,34 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
         at += len(ys[-1])
     w = fit_linear(np.concatenate(ds), np.concatenate(fs), np.concatenate(vs), np.concatenate(ys))
 
+    return share, p, w
+
+
+def _scores(part: pa.RecordBatch, w: np.ndarray):
+    block, m, short = _view(part)
+    doc, f, value = _features(block, m, short)
+    z = np.bincount(doc, weights=w[f] * value, minlength=block.n)
+    return np.where(m["n_words"] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0), votes(m, short)
+
+
+def classify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Per document: ``doc_id, votes`` (pattern code), ``posterior``, ``score`` (probability of good) and ``kept``."""
+    share, p, w = fit(docs, fit_rows)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            block, m, short = _view(part)
-            v = votes(m, short)
-            doc, f, value = _features(block, m, short)
-            z = np.bincount(doc, weights=w[f] * value, minlength=block.n)
-            s = np.where(m["n_words"] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+            s, v = _scores(part, w)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_pattern(v).astype(np.int64)), pa.array(posterior(v, share, p)), pa.array(s), pa.array(s >= 0.5)], ["doc_id", "votes", "posterior", "score", "kept"])
 
-    return d.mapInArrow(score, "doc_id long, votes long, posterior double, score double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, votes long, posterior double, score double, kept boolean")
+
+
+def keep(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, all columns; no shuffle."""
+    _, _, w = fit(docs, fit_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            yield part.filter(pa.array(_scores(part, w)[0] >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -121,6 +121,18 @@ def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.withColumns({"base_failed": F.col("fail_bits").bitwiseAND(F.lit(BASE_BITS)) != 0, "kept": F.col("fail_bits").bitwiseAND(F.lit(mask | BASE_BITS)) == 0})
 
 
+def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, all columns; no shuffle."""
+    mask = POLICIES[policy] | BASE_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            bits = fail_bits(measure(TextBlock.from_arrow(part.column(part.schema.get_field_index("text")))))
+            yield part.filter(pa.array(bits & mask == 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
     """Per rule of the policy: documents that fail it, that fail it alone, and that would be kept without it."""
     mask = POLICIES[policy]

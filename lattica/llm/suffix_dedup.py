@@ -354,17 +354,13 @@ def _merged(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return start[first], reach[np.r_[first[1:], len(start)] - 1], doc[first]
 
 
-def _cut(text: bytes, start: list[int], end: list[int]) -> tuple[int, int, str]:
-    """Removed bytes, spans, and hash of what is kept."""
-    h, at = hashlib.sha256(), 0
-    for a, b in zip(start, end, strict=True):
-        h.update(text[at:a])
-        at = b
-    h.update(text[at:])
-    return sum(end) - sum(start), len(start), h.hexdigest()
+def _cut(text: bytes, start: list[int], end: list[int]) -> tuple[int, int, str, str]:
+    """Removed bytes, spans, hash of what is kept, and that as text (without bytes of characters that were cut apart)."""
+    kept = b"".join([text[a:b] for a, b in zip([0, *end], [*start, len(text)], strict=True)])
+    return sum(end) - sum(start), len(start), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
 
-_SPLIT = "kind int, doc_id long, tag int, n_removed long, n_spans long, kept_sha256 string, ranges binary, body binary, shard int, docs binary, tags binary, starts binary, lens binary, bytes binary"
+_SPLIT = "kind int, doc_id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept string, ranges binary, body binary, shard int, docs binary, tags binary, starts binary, lens binary, bytes binary"
 _SPLIT_NAMES = [f.split()[0] for f in _SPLIT.split(", ")]
 _SPLIT_TYPES = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in _SPLIT.split(", ")]
 
@@ -373,7 +369,7 @@ def _rows(n: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(_SPLIT_NAMES, _SPLIT_TYPES, strict=True)], _SPLIT_NAMES)
 
 
-def _split(buckets: int, shards: int):
+def _split(buckets: int, shards: int, texts_too: bool):
     """Pass 2, a group of texts with what pass 1 found: finished documents (kind 0), open ones (1), runs for the shards (2)."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -441,7 +437,7 @@ def _split(buckets: int, shards: int):
                     done.append((ids[i], tags[i], *_cut(raw[base[i] : base[i + 1]], (start[lo:hi] - base[i]).tolist(), (end[lo:hi] - base[i]).tolist())))
             if done:
                 x = list(zip(*done, strict=True))
-                out.append(_rows(len(done), kind=[0] * len(done), doc_id=x[0], tag=x[1], n_removed=x[2], n_spans=x[3], kept_sha256=x[4]))
+                out.append(_rows(len(done), kind=[0] * len(done), doc_id=x[0], tag=x[1], n_removed=x[2], n_spans=x[3], kept_sha256=x[4], **({"kept": x[5]} if texts_too else {})))
             if wait:
                 x = list(zip(*wait, strict=True))
                 out.append(_rows(len(wait), kind=[1] * len(wait), doc_id=x[0], tag=x[1], ranges=[r.tobytes() for r in x[2]], body=x[3]))
@@ -494,24 +490,31 @@ def _sort_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(i[first]), "tag": pa.array(t[first]), "more": blob})
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_RESULT = "doc_id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept string"
+
+
+def _finish(texts_too: bool):
     """Open documents with the ranges from all shards."""
-    expand = zstandard.ZstdDecompressor().decompress
-    for part in batches:
-        out = []
-        for i, t, ranges, body, more in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            pairs = np.frombuffer(b"".join([ranges, *(more or [])]), "<i8").reshape(-1, 2)
-            s, e, _ = _merged(pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
-            out.append((i, t, *_cut(expand(body), s.tolist(), e.tolist())))
-        if out:
-            x = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.int64()), pa.array(x[3], pa.int64()), pa.array(x[4])], ["doc_id", "tag", "n_removed", "n_spans", "kept_sha256"])
+    names = [f.split()[0] for f in _RESULT.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for part in batches:
+            out = []
+            for i, t, ranges, body, more in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                pairs = np.frombuffer(b"".join([ranges, *(more or [])]), "<i8").reshape(-1, 2)
+                s, e, _ = _merged(pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
+                *found, kept = _cut(expand(body), s.tolist(), e.tolist())
+                out.append((i, t, *found, kept if texts_too else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return run
 
 
-def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
-    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    if match != MATCH:
-        raise ValueError("windows of 50 bytes only")
+def _decide(docs: DataFrame, texts_too: bool) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``doc_id, tag, n_bytes, whole_sha, copy``, and the results of the texts in which something was found."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tag = F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
     size = input_bytes(docs)
@@ -528,17 +531,19 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
 
     n_near, n_hot = found.agg(F.coalesce(F.sum(F.length("near")), F.lit(0)), F.coalesce(F.sum(F.length("hot")), F.lit(0))).first()
     shards = max(1, math.ceil((n_near / 4 * 70 + n_hot / 4 * 16 * MATCH) / SHARD_BYTES))
-    split = written(d.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_split(buckets, shards), _SPLIT), "windows")
+    split = written(d.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_split(buckets, shards, texts_too), _SPLIT), "windows")
 
     more = split.filter("kind = 2").select("shard", "docs", "tags", "starts", "lens", "bytes").groupBy("shard").applyInArrow(_sort_shard, "doc_id long, tag int, more binary")
     more = more.groupBy("doc_id", "tag").agg(F.collect_list("more").alias("more"))
-    result = "doc_id long, tag int, n_removed long, n_spans long, kept_sha256 string"
-    late = split.filter("kind = 1").select("doc_id", "tag", "ranges", "body").join(more, ["doc_id", "tag"], "left").mapInArrow(_finish, result)
-    done = split.filter("kind = 0").select("doc_id", "tag", "n_removed", "n_spans", "kept_sha256").unionByName(late)
-    done = done.groupBy("doc_id", "tag").agg(F.first("n_removed").alias("cut"), F.first("n_spans").alias("spans"), F.first("kept_sha256").alias("sha"))
+    late = split.filter("kind = 1").select("doc_id", "tag", "ranges", "body").join(more, ["doc_id", "tag"], "left").mapInArrow(_finish(texts_too), _RESULT)
+    done = split.filter("kind = 0").select("doc_id", "tag", "n_removed", "n_spans", "kept_sha256", "kept").unionByName(late)
+    return state, done.groupBy("doc_id", "tag").agg(F.first("n_removed").alias("cut"), F.first("n_spans").alias("spans"), F.first("kept_sha256").alias("sha"), F.first("kept").alias("kept"))
 
-    gone = F.col("copy") & (F.col("n_bytes") >= match)
-    stays = F.col("copy")
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
+    state, done = _decide(docs, texts_too=False)
+    gone, stays = F.col("copy") & (F.col("n_bytes") >= MATCH), F.col("copy")
     return state.join(done, ["doc_id", "tag"], "left").select(
         "doc_id",
         "n_bytes",
@@ -546,3 +551,19 @@ def repeated_spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
         F.when(gone, 1).when(stays, 0).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).when(stays, F.col("whole_sha")).otherwise(F.coalesce("sha", "whole_sha")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with the repeated spans cut out of ``text`` (a null text stays null).
+
+    A cut may split a character; its left-over bytes are dropped with it.
+    """
+    state, done = _decide(docs, texts_too=True)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tag = F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    marks = state.filter("copy").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.lit(True).alias("_copy"), F.col("n_bytes").alias("_n_bytes")).distinct()
+    found = done.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_kept"))
+    notes = marks.join(found, ["_id", "_tag"], "full_outer")
+    rows = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_crc": tag}).join(notes, (F.col("_own") == F.col("_id")) & (F.col("_crc") == F.col("_tag")), "left")
+    cut = F.when(F.col("_copy") & (F.col("_n_bytes") >= MATCH), F.lit("")).when(F.col("_copy").isNull() & F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
+    return rows.withColumn("text", cut).select(*docs.columns)

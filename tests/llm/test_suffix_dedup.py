@@ -80,3 +80,16 @@ def test_repeated_rows_and_hot_anchors(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert sd.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_without_repeats(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string").repartition(3)
+    want = {i: (n - gone, sha) for i, n, gone, _, sha in brute(rows)}
+    out = sd.without_repeats(docs).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        n, sha = want[r.doc_id]
+        b = (r.text or "").encode()
+        assert r.kept == "x" and (hashlib.sha256(b).hexdigest() == sha or len(b) < n)
+    assert sum(hashlib.sha256((r.text or "").encode()).hexdigest() == want[r.doc_id][1] for r in out) > 0.9 * len(out)
