@@ -22,7 +22,7 @@ def scan(frame: DataFrame, value: Column, order: list[str], keys: list[str], how
 def global_scan(frame: DataFrame, value: str, order: list[str], how: str = "sum", init=None, exclusive: bool = False, out: str = "scan") -> DataFrame:
     """The same over one order of all rows, in two passes: within range partitions, then with the partitions' totals before."""
     n = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    p = frame.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    p = frame.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).persist()  # both uses must see the same ranges
     totals = p.groupBy("_p").agg(getattr(F, how)(value).alias("_t"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = totals.select("_p", getattr(F, how)("_t").over(before).alias("_before"))
