@@ -16,8 +16,10 @@ out but count their weight.
 Exact copies count as links of the first copy and are not compared.  In a band
 bucket the members are compared with a leader, not with one another (the least
 id in even bands, the least hashed id in odd ones); those that are not linked
-to it choose leaders among themselves in further rounds, and what is left after
-``ROUNDS`` is compared pair by pair.
+to it choose leaders among themselves in ``ROUNDS`` rounds.  The work of a
+round is linear in the members.  A pair is thus proposed if the two share a
+band bucket with a common leader that both are linked to, or with each other
+as leader; ten bands and three rounds give every member up to thirty leaders.
 
 Defined results: a null or empty text is a duplicate of other such texts only;
 rows that share a ``doc_id`` share a class; an empty table gives no rows; extra
@@ -35,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import input_bytes, written
-from .textblock import TextBlock, chunks, mix, windows
+from .textblock import TextBlock, chunks, mix, order_in_cells, trim, windows
 
 WIDTH, BANDS, ROWS, DAMP, ROUNDS = 5, 10, 3, 0.1, 3
 #: Input bytes per bucket of hashes and per group of documents; shingles a map task gathers before it sends.
-BUCKET_BYTES, GROUP_BYTES, GATHER = 16 << 20, 8 << 20, 2_000_000
+BUCKET_BYTES, GROUP_BYTES, GATHER = 6 << 20, 8 << 20, 1_000_000
 
 # ---------------------------------------------------------------- shingles and samples
 
@@ -147,7 +149,7 @@ def _send(buckets: int):
 
     def rows(grp, h):
         b = _bucket(h, buckets)
-        o = np.lexsort((h, grp, b))
+        o = order_in_cells(b * (int(grp.max()) + 1) + grp, h)
         b, grp, h = b[o], grp[o], h[o]
         new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (grp[1:] != grp[:-1]) | (h[1:] != h[:-1])])
         counts = np.diff(np.r_[new, len(h)])
@@ -170,6 +172,7 @@ def _send(buckets: int):
             if held > GATHER:
                 yield from rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 parts, held = [], 0
+                trim()
         if parts:
             yield from rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
@@ -181,6 +184,7 @@ _FREQ = "grp int, bucket int, hashes binary, df binary"
 
 def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """In a bucket: per group of documents, its shingles that more than one text has, and their frequencies."""
+    trim()
     get = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
     grp = np.repeat(get("grps", "<i4"), get("sizes", "<u4"))
     h, n = _unfive(b"".join(table.column("hashes").to_pylist())), get("counts", "<u4").astype(np.int64)
@@ -211,6 +215,7 @@ def _vectors(buckets: int, n_docs: int, threshold: float):
         df = np.frombuffer(b"".join(freq.column("df").to_pylist()), "<u4")
         o = np.argsort(known)
         known, df = known[o], df[o]
+        trim()
         top = math.log(max(n_docs, 2))
         alone = 1 + DAMP * math.log(max(n_docs, 1)) / top
         out = [none]
@@ -277,23 +282,18 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame:
     band = F.posexplode("keys").alias("band", "key")
     open_ = vectors.select("doc_id", band)
     found = None
-    for turn in range(ROUNDS + 1):
-        order = F.when(F.col("band") % 2 == 0, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "band"))
+    for turn in range(ROUNDS):
+        # another leader in every round: the least id or, in odd bands and later rounds, the least hash
+        order = F.when((F.col("band") % 2 == 0) & F.lit(turn == 0), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "band", F.lit(turn)))
         heads = open_.groupBy("key", "band").agg(F.min_by("doc_id", order).alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
-        member = written(open_.join(heads, "key"), "members")
-        if turn == ROUNDS:  # whatever is left, pair by pair
-            other = member.select("key", F.col("doc_id").alias("leader2"))
-            member = member.join(other, "key").filter("leader2 < doc_id").select("doc_id", "key", "band", F.col("leader2").alias("leader"))
-        pairs = member.filter("doc_id <> leader").select("doc_id", "leader")
+        member = written(open_.join(heads, "key").filter("doc_id <> leader"), "members")
+        pairs = member.select("doc_id", "leader")
         if not pairs.limit(1).count():
             break
         sure = written(verified(pairs, vectors).filter(F.col("similarity") >= threshold), "links")
         edges = sure.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
         found = edges if found is None else found.unionByName(edges)
-        if turn == ROUNDS:
-            break
-        linked = member.filter("doc_id <> leader").join(sure.select("doc_id", "leader"), ["doc_id", "leader"], "left_anti")
-        open_ = linked.select("doc_id", "band", "key")
+        open_ = member.join(sure.select("doc_id", "leader"), ["doc_id", "leader"], "left_anti").select("doc_id", "band", "key")
     return found
 
 

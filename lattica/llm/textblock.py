@@ -13,6 +13,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,22 @@ LOWER[65:91] += 32
 CHUNK_BYTES = 2 << 20
 
 
+def _find_trim():
+    """glibc keeps freed blocks of up to 32 MB for itself; this gives them back, where there is such a call."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+_malloc_trim = _find_trim()
+
+
+def trim() -> None:
+    """Called when a task or group ends, as Python workers live on for the next stage."""
+    _malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads all bits (splitmix64's finaliser)."""
     h = h ^ (h >> np.uint64(30))
@@ -179,3 +196,12 @@ def first_in_group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(keys), bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
     return order, new
+
+
+def order_in_cells(cell: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Order by (cell, key); cells are small whole numbers, which a radix sort takes in linear time."""
+    o = np.argsort(keys)
+    c = cell[o]
+    if len(c) and c.max() < 1 << 16:
+        c = c.astype(np.uint16)
+    return o[np.argsort(c, kind="stable")]
