@@ -41,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import input_bytes, written
-from .textblock import TextBlock, chunks, mix
+from .textblock import TextBlock, chunks, mix, trim
 
 MATCH, GRAM = 50, 20
 #: Input bytes per bucket of anchors and per group of documents, bytes of runs per shard, runs an anchor may have in one shard.
-BUCKET_BYTES, GROUP_BYTES, SHARD_BYTES, HOT = 12 << 20, 8 << 20, 1 << 20, 4096
+BUCKET_BYTES, GROUP_BYTES, SHARD_BYTES, HOT = 8 << 20, 8 << 20, 1 << 20, 4096
 #: Anchors a map task gathers before it sends them on.
-GATHER = 1_000_000
+GATHER = 700_000
 
 # ---------------------------------------------------------------- suffix sorting
 
@@ -294,6 +294,7 @@ def _send(buckets: int):
             if held > GATHER:
                 yield from rows(heads, parts)
                 heads, parts, held, docs = [], [], 0, 0
+                trim()
         if parts:
             yield from rows(heads, parts)
 
@@ -302,6 +303,7 @@ def _send(buckets: int):
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Pass 1, in a bucket: which runs equal one of a smaller document, and which share their anchor with a different run."""
+    trim()
     bucket = int(key[0].as_py())
     here = np.array(table.column("here").to_pylist(), bool)
     out = []
@@ -373,6 +375,7 @@ def _split(buckets: int, shards: int, texts_too: bool):
     """Pass 2, a group of texts with what pass 1 found: finished documents (kind 0), open ones (1), runs for the shards (2)."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
+        trim()
         out = []
         if not texts.num_rows or not found.num_rows:
             return pa.table([pa.nulls(0, t) for t in _SPLIT_TYPES], _SPLIT_NAMES)
@@ -465,6 +468,7 @@ def _split(buckets: int, shards: int, texts_too: bool):
 
 def _sort_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Suffix-sort the runs of a shard; ranges to remove, per document."""
+    trim()
     get = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
     ids, tags, starts, lens, data = get("docs", "<i8"), get("tags", "<i4"), get("starts", "<i8"), get("lens", "<u4").astype(np.int64), get("bytes", np.uint8)
     base = np.cumsum(lens) - lens
