@@ -139,17 +139,23 @@ def relative_difference(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(F.abs(F.try_divide(a - b, size)))
 
 
+#: Mantissa bits dropped when 9 to 14 decimal digits are kept (fixed values).
+DROPPED_BITS = {9: 31, 10: 26, 11: 21, 12: 16, 13: 12, 14: 11}
+
+
 def truncate_double(c: Column, digits: int) -> Column:
-    """Keep ``digits`` decimal digits: all of them outside 1..14, a float's up to 8, else a mantissa rounded to the digits' bits."""
+    """Keep ``digits`` decimal digits: all of them outside 1..14, a float's up to 8, else round the mantissa (halves away from zero)."""
     if digits <= 0 or digits >= 15:
         return c
     if digits <= 8:
         return c.cast("float").cast("double")
-    bits = -(-digits * 3322 // 1000)  # bits that hold so many decimal digits
-    finite = ~F.isnan(c) & (F.abs(c) < F.lit(INF)) & (c != 0)
-    exponent = F.floor(F.log2(F.abs(c)))
-    scale = F.pow(F.lit(2.0), F.lit(float(bits)) - exponent)
-    return F.when(finite, F.rint(c * scale) / scale).otherwise(c)
+    size = F.abs(c)
+    finite = ~F.isnan(c) & (size < F.lit(INF)) & (c != 0)
+    guess = F.floor(F.log2(size)).cast("double")
+    power = F.pow(F.lit(2.0), guess)
+    exponent = F.when(power > size, guess - 1).when(power * 2 <= size, guess + 1).otherwise(guess)
+    unit = F.pow(F.lit(2.0), exponent - F.lit(float(52 - DROPPED_BITS[digits])))
+    return F.when(finite, F.signum(c) * F.floor(size / unit + 0.5).cast("double") * unit).otherwise(c)
 
 
 # ------------------------------------------------------------ units, text, configuration

@@ -43,16 +43,37 @@ def _psdes_array(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nd
     return left, right
 
 
+class Counter:
+    """Sequential use: the state's front word counts, its back word is the key; children hash the whole state."""
+
+    def __init__(self, state: int):
+        self.state = state & ((1 << 64) - 1)
+
+    def draw(self, leap: int = 0) -> float:
+        front, key = self.state >> 32, self.state & _M
+        front = (front + leap) & _M
+        left, right = psdes(key, front)
+        self.state = (((front + 1) & _M) << 32) | key
+        return STEP * float((left << 32) | right)
+
+    def child(self, leap: int = 0) -> Counter:
+        if leap:
+            self.draw(leap - 1)
+        left, right = psdes(self.state >> 32, self.state & _M)
+        self.draw(0)
+        return Counter((left << 32) | right)
+
+
 #: 2**-64, the step of a 64-bit word on [0, 1).
 STEP = 5.4210108624275222e-20
 
 
 def counter_uniform(counter: Column, key: int) -> Column:
-    """Uniform on [0, 1): the 64-bit word of ``psdes(counter, key)`` times ``STEP``."""
+    """Uniform on [0, 1): the 64-bit word of ``psdes(key, counter)`` times ``STEP``; a leap is an addition to the counter."""
 
     @F.pandas_udf("double")
     def draw(c: pd.Series) -> pd.Series:
-        a, b = _psdes_array(c.to_numpy(np.int64).astype(np.uint64), np.full(len(c), key, np.uint64))
+        a, b = _psdes_array(np.full(len(c), key, np.uint64), c.to_numpy(np.int64).astype(np.uint64))
         return pd.Series(((a << np.uint64(32)) | b).astype(np.float64) * STEP)
 
     return draw(counter)
