@@ -22,7 +22,7 @@ band bucket with a common leader that both are linked to, or with each other
 as leader; ten bands and three rounds give every member up to thirty leaders.
 
 Defined results: a null or empty text is a duplicate of other such texts only;
-rows that share a ``doc_id`` share a class; an empty table gives no rows; extra
+rows that share a ``doc_id`` share a class; rows without one have none; an empty table gives no rows; extra
 columns of the input are ignored.
 """
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import input_bytes, written
+from .shared import drop, input_bytes, written
 from .textblock import TextBlock, chunks, mix, order_in_cells, trim, windows
 
 WIDTH, BANDS, ROWS, DAMP, ROUNDS = 5, 10, 3, 0.1, 3
@@ -158,7 +158,9 @@ def _send(buckets: int):
         for i in range(buckets):
             lo, hi = cuts[i], cuts[i + 1]
             if lo < hi:
-                u, size = np.unique(grp[lo:hi], return_counts=True)
+                part = grp[lo:hi]  # ascending
+                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                u, size = part[at], np.diff(np.r_[at, len(part)])
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in (u.astype("<i4").tobytes(), size.astype("<u4").tobytes(), _five(h[lo:hi]), counts[lo:hi].astype("<u4").tobytes()))], [f.split()[0] for f in _SENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,6 +304,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = input_bytes(docs)
     buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
+    rows, docs = docs, docs.filter("doc_id is not null")
     d = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int").alias("grp"), text.alias("text"), F.col("doc_id").cast("long"))
 
     base = written(docs.select(F.col("doc_id").cast("long"), F.md5(text.cast("binary")).alias("digest")), "digests")
@@ -312,8 +315,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     freq = d.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_count, _FREQ)
     every = d.groupBy("grp").cogroup(freq.groupBy("grp")).applyInArrow(_vectors(buckets, n_docs, threshold), _VECTOR)
     firsts = state.filter("doc_id = copy_of").select("doc_id").distinct()
-    vectors = written(every, "vectors").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    vectors = written(vectors, "vectors")
+    each = written(every, "vectors")
+    vectors = written(each.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "vectors")
+    drop(each)
 
     found = links(vectors, threshold)
     # rows of one doc_id with different texts link those texts' first copies
@@ -323,4 +327,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = tied if found is None else found.unionByName(tied)
     classes = components(found)
     node = classes.select(F.col("doc_id").alias("copy_of"), "class_id")
-    return state.join(node, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
+    out = state.join(node, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
+    none = F.lit(None).cast("long")
+    return out.unionByName(rows.filter("doc_id is null").select(none.alias("doc_id"), none.alias("class_id"), none.alias("copy_of")))

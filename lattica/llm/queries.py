@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, lm_mixing, minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, vp_ann, warc
+from .oracle import ORACLE_SQL  # noqa: F401
 from .shared import table
 
 #: Pruning factor of the vector search (1: exact).
@@ -68,4 +69,4 @@ def op10_vp_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op4_warc": op4_warc, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_lm_mixing": op7_lm_mixing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_vp_ann": op10_vp_ann}
-ORACLE_SQL: dict[str, str] = {}
+

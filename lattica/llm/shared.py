@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Intermediate tables of this process that are still there.
+_intermediate: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
@@ -36,11 +41,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
+    """Write to the shared folder and read again: cuts lineage, survives lost executors.
+
+    Then let Spark clean up: the driver's garbage collections decide when the shuffle files behind a written table go.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _intermediate.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    path = getattr(df, "_lattica_path", None)
+    if path in _intermediate:
+        _intermediate.remove(path)
+        _remove(df.sparkSession, path)
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Remove all written tables of this process; for callers that have stored every result they asked for."""
+    while _intermediate:
+        _remove(spark, _intermediate.pop())
 
 
 def input_bytes(df: DataFrame, text: str = "text") -> int:

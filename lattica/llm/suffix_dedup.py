@@ -24,7 +24,8 @@ part (their windows are those of the first copy).  Matches never cross
 documents.  Hashes (at least 72 bits per decision) stand for runs and windows.
 
 Defined results: a null text counts as empty; texts under 50 bytes are kept
-whole; rows that repeat a ``doc_id`` do not remove each other; an empty table
+whole; a row without ``doc_id`` neither loses anything nor makes others lose;
+rows that repeat a ``doc_id`` do not remove each other; an empty table
 gives no rows; extra columns of the input are ignored.
 """
 
@@ -524,14 +525,14 @@ def _decide(docs: DataFrame, texts_too: bool) -> tuple[DataFrame, DataFrame]:
     size = input_bytes(docs)
     buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
     grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int")
-    d = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), grp.alias("grp"), text.alias("text"))
+    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), tag.alias("tag"), grp.alias("grp"), text.alias("text"))
 
     found = written(d.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_meet, _FOUND), "runs")
 
     whole = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), F.md5(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole_sha"))
     base = written(whole, "digests")
     firsts = base.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    state = base.join(firsts, "digest").withColumn("copy", F.col("doc_id") > F.col("first_id"))
+    state = base.join(firsts, "digest").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
 
     n_near, n_hot = found.agg(F.coalesce(F.sum(F.length("near")), F.lit(0)), F.coalesce(F.sum(F.length("hot")), F.lit(0))).first()
     shards = max(1, math.ceil((n_near / 4 * 70 + n_hot / 4 * 16 * MATCH) / SHARD_BYTES))

@@ -9,7 +9,7 @@ query's k-th distance so far: factor 1 is exact search, larger factors prune
 more and may miss neighbours.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part; vectors of another length than the query's are no
+components, and rows without an id, take no part; vectors of another length than the query's are no
 candidates; rows with the query's own id are no candidates; equal scores go to
 the smaller id; an empty table gives no rows; extra columns are ignored.
 Identical vectors of a shard are stored once with their smallest k + 1 ids,

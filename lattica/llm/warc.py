@@ -9,8 +9,8 @@ and reads single records by offset and length without extracting anything.
 Of records with equal payloads of at least ``REVISIT_BYTES``, the one with the
 largest ``page_id`` is written as a response and the others as revisits of it.
 
-Defined results: a null page is an empty payload; rows that repeat a
-``page_id`` are written one by one; an empty table gives no packages; extra
+Defined results: a null page is an empty payload; a null ``page_id`` is always
+a response; rows that repeat a ``page_id`` are written one by one; an empty table gives no packages; extra
 columns of the input are ignored; control characters in URLs are escaped.
 """
 
@@ -120,7 +120,7 @@ class ZipDirectory:
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     uri = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -128,7 +128,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'-' if page_id is None else page_id}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: {digest}",
@@ -153,8 +153,9 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes | None]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def _page(uri: str) -> int:
-    return int(uri.strip("<>").rpartition(":")[2])
+def _page(uri: str) -> int | None:
+    name = uri.strip("<>").rpartition(":")[2]
+    return None if name == "-" else int(name)
 
 
 def _filesystem(uri: str):
@@ -181,7 +182,7 @@ def _write(folder: str):
         for batch in batches:
             for page_id, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = gzip.compress(record(page_id, url, (html or "").encode(), refers), 1, mtime=0)
-                index.append(f"{page_id} {size} {len(raw)}\n")
+                index.append(f"{'-' if page_id is None else page_id} {size} {len(raw)}\n")
                 warc.append(raw)
                 size += len(raw)
                 if size >= PACKAGE_BYTES:
@@ -220,7 +221,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base, _ = directory.place(RECORDS)
                 rows = []
                 for line in read(*directory.place(INDEX)).decode().splitlines():
-                    _, at, n = map(int, line.split())
+                    at, n = map(int, line.split()[1:])
                     fields, payload = parse(gzip.decompress(read(base + at, n)))
                     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     url = fields["WARC-Target-URI"]

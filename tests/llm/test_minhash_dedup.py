@@ -74,8 +74,8 @@ def test_classes_equal_brute_force(spark, monkeypatch):
 
 
 def test_repeated_rows_and_empty_table(spark):
-    rows = [(1, "x y z w v u t"), (1, "x y z w v u t"), (2, "x y z w v u t"), (3, None), (4, "")]
+    rows = [(None, "x y z w v u t"), (1, "x y z w v u t"), (1, "x y z w v u t"), (2, "x y z w v u t"), (3, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.class_id) for r in md.near_duplicates(docs).collect())
-    assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 3)]
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in md.near_duplicates(docs).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3)]
     assert md.near_duplicates(docs.limit(0)).count() == 0

@@ -78,6 +78,12 @@ def test_repeated_rows_and_hot_anchors(spark, monkeypatch):
     check(spark, rows + rows[:5])
 
 
+def test_rows_without_id(spark):
+    text = "some words that are long enough to be found again by the sorter " * 3
+    docs = spark.createDataFrame([(None, text), (1, text), (None, text)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in sd.repeated_spans(docs).collect()) == [(0, 0), (0, 0), (1, 0)]
+
+
 def test_empty_table(spark):
     assert sd.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
