@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup
-from lattica.llm.shared import fresh_path
+from lattica.llm.shared import drop_intermediate, fresh_path
+
+# A stage begins once the output of the one before is written, so it first removes the intermediate tables behind that.
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,6 +30,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the least id."""
+    drop_intermediate(spark)
     classes = minhash_dedup.near_duplicates(docs.select("doc_id", "text"), 0.8)
     first = classes.filter("doc_id = class_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
@@ -35,12 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes or more that a document with a smaller id has; emptied documents go."""
+    drop_intermediate(spark)
     cut = suffix_dedup.without_repeats(docs)
     return cut.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 1024 ids."""
+    drop_intermediate(spark)
     import public_tokenizers as tok
 
     return packing.pack_documents(docs, tok.path("byte_bpe_50k.json"), tok.PATTERN)
