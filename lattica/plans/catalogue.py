@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..functions import hashing, piecewise, vectors
-from ..operators import amr, curves, distribution, edits, graph, groups, linalg, materials, reduce, relations, scan, sort, spatial, tables
+from ..functions import hashing, piecewise, shapes, vectors
+from ..operators import amr, checks, curves, distribution, edits, graph, groups, linalg, materials, reduce, relations, scan, sort, spatial, tables
 from ..sources import generators
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -997,3 +997,77 @@ def mesh_measure(spark, sf):
 def period_output(spark, sf):
     e = t(spark, sf, "events").groupBy(F.date_format(F.window("ts", "6 hours").start, "yyyy-MM-dd HH:mm:ss").alias("bucket"), F.col("event_type").alias("name"))
     return e.agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
+
+
+# ---------------------------------------------------------------- checks and shapes
+
+
+@query("SELECT l_orderkey AS uid, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def uid_check(spark, sf):
+    return checks.unique_ids(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("uid")))
+
+
+@query("SELECT o_orderkey AS src, o_custkey AS dst, 'target' AS missing FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT o_orderkey, o_custkey, 'source' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def dangling_edges(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return checks.dangling(o, t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("uid")), t(spark, sf, "customer").select(F.col("c_custkey").alias("uid")))
+
+
+@query("SELECT uid, round(sum(f), 3) AS div FROM (SELECT o_custkey uid, o_totalprice f FROM orders UNION ALL SELECT o_orderkey % 97, -o_totalprice FROM orders) GROUP BY 1")
+def face_divergence(spark, sf):
+    f = t(spark, sf, "orders").select(F.col("o_custkey").alias("back"), (F.col("o_orderkey") % 97).alias("front"), "o_totalprice")
+    return checks.divergence(f, "o_totalprice").select("uid", r("div", 3).alias("div"))
+
+
+@query("SELECT (31 * 20 + 30 * 21)::BIGINT AS n_faces, (2 * 20 + 2 * 30)::BIGINT AS n_border")
+def mesh_unique_faces(spark, sf):
+    m = generators.cartesian(spark, (30, 20), (1.0, 1.0))
+    f = shapes.unique_faces(shapes.faces(m["cell"].withColumn("type", F.lit("quad")), m["cell_node"]))
+    return f.agg(F.count("*").alias("n_faces"), F.sum(F.col("front").isNull().cast("long")).alias("n_border"))
+
+
+@query("SELECT round(3.0, 6) AS gx, round(-2.0, 6) AS gy, 600::BIGINT AS n")
+def mesh_gradient(spark, sf):
+    m = generators.cartesian(spark, (30, 20), (1.0, 1.0))
+    v = m["node"].select("uid", (3.0 * F.col("x") - 2.0 * F.col("y") + 1.0).alias("v"))
+    g = shapes.gradient(m["cell_node"], v, m["node"])
+    return g.groupBy(r("gx", 6).alias("gx"), r("gy", 6).alias("gy")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(1.0, 9) AS area, 3600::BIGINT AS n")
+def corefine_grids(spark, sf):
+    grid = lambda n: generators.cartesian(spark, (n, n), (1.0, 1.0))["cell"].select("uid", (F.col("i") / n).alias("x0"), (F.col("j") / n).alias("y0"), ((F.col("i") + 1) / n).alias("x1"), ((F.col("j") + 1) / n).alias("y1"))
+    c = checks.corefine(grid(20), grid(45)).filter("area > 1e-12")
+    return c.agg(r(F.sum("area"), 9).alias("area"), F.count("*").alias("n"))
+
+
+@query("SELECT a, b, c, a * 100 + b * 10 + c AS v FROM range(7) x(a), range(5) y(b), range(3) z(c)")
+def nd_loop(spark, sf):
+    d = spark.range(7 * 5 * 3)
+    p = generators._split(F.col("id"), (7, 5, 3))
+    d = d.select(*(c.alias(n) for n, c in zip("abc", p, strict=True)))
+    return d.withColumn("v", F.col("a") * 100 + F.col("b") * 10 + F.col("c"))
+
+
+@query("""SELECT c_custkey AS uid, '{"segment":"' || c_mktsegment || '","nation":' || c_nationkey || '}' AS json FROM customer""")
+def json_write(spark, sf):
+    return t(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))).alias("json"))
+
+
+@query("SELECT row_number() OVER (ORDER BY family, uid) - 1 AS index, family, uid FROM (SELECT 'customer' AS family, c_custkey AS uid FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier)")
+def index_manager(spark, sf):
+    u = t(spark, sf, "customer").select(F.lit("customer").alias("family"), F.col("c_custkey").alias("uid")).unionByName(t(spark, sf, "supplier").select(F.lit("supplier").alias("family"), F.col("s_suppkey").alias("uid")))
+    return relations.index_of(u, "family", "uid").select("index", "family", "uid")
+
+
+@query("SELECT p_partkey, round(p_retailprice / p_size, 6) AS unit, round(sqrt(p_retailprice / p_size), 6) AS root FROM part WHERE p_size > 0")
+def derived_columns(spark, sf):
+    d = checks.Derived().add("root", ("unit",), lambda u: F.sqrt(u)).add("unit", ("p_retailprice", "p_size"), lambda p, s: p / s)
+    return d.apply(t(spark, sf, "part").filter("p_size > 0"), "root").select("p_partkey", r("unit", 6).alias("unit"), r("root", 6).alias("root"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND n2 IS NOT NULL THEN round((p_retailprice + n2) / 2, 4) ELSE round(p_retailprice, 4) END AS v FROM part LEFT JOIN (SELECT p_partkey - 1 AS k, p_retailprice AS n2 FROM part) ON k = p_partkey")
+def copy_mean_values(spark, sf):
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("uid"), F.col("p_retailprice").alias("v"))
+    m = p.filter("uid % 2 = 0").select("uid", F.col("uid").alias("first"), (F.col("uid") + 1).alias("second"))
+    return checks.copy_mean(p, m, "v").select(F.col("uid").alias("p_partkey"), r("v").alias("v"))

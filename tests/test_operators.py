@@ -209,3 +209,29 @@ def test_half_space_and_groups(spark):
     assert [r.uid for r in groups.half_space(cells, e, nodes, [((1.0, 0, 0), (1.0, 0, 0))]).collect()] == [2]
     sub = groups.sub_mesh(cells, e, nodes, spark.createDataFrame([(2,)], "uid long"))
     assert sorted(r.uid for r in sub["node"].collect()) == [2, 3]
+
+
+def test_checks_and_shapes(spark):
+    from lattica.functions import shapes
+    from lattica.operators import checks
+
+    sides = spark.createDataFrame([(1, [1, 2]), (2, [1, 2]), (3, [2, 1])], "cell long, nodes array<long>")
+    assert [tuple(r) for r in checks.misoriented(sides).collect()] == [(1, 2, 1, 2)]
+    cells = spark.createDataFrame([(0, "hexaedron")], "uid long, type string")
+    e = spark.createDataFrame([(0, i, i) for i in range(8)], "src long, pos int, dst long")
+    assert shapes.faces(cells, e).count() == 6 and len(shapes.edges_of("hexaedron")) == 12 and len(shapes.edges_of("pyramid")) == 8
+    quad = spark.createDataFrame([([[0.0, 0.0], [2.0, 0.0], [3.0, 2.0], [0.0, 1.0]], [1.0, 0.6])], "c array<array<double>>, p array<double>")
+    u = shapes.inverse_map(quad, "c", "p", 2).first().iso
+    corners = [dict(zip("xy", p, strict=True)) for p in ([0.0, 0.0], [2.0, 0.0], [3.0, 2.0], [0.0, 1.0])]
+    back = spark.range(1).select(*(c.alias(a) for a, c in zip("xy", shapes.position([{k: F.lit(v) for k, v in p.items()} for p in corners], [F.lit(v) for v in u]), strict=True))).first()
+    assert abs(back.x - 1.0) < 1e-9 and abs(back.y - 0.6) < 1e-9
+    slaves = spark.createDataFrame([(1, 0.5, 0.05), (2, 5.0, 5.0)], "uid long, x double, y double")
+    masters = spark.createDataFrame([(9, 0.0, 0.0, 1.0, 0.0), (8, 0.0, 0.2, 1.0, 0.2)], "uid long, ax double, ay double, bx double, by double")
+    assert [(r.slave, r.master, r.t) for r in checks.tied_interface(slaves, masters, 0.1).collect()] == [(1, 9, 0.5)]
+    c = spark.createDataFrame([(3, 0.5, 0.5, 1.0, 1.0)], "uid long, cx double, cy double, hx double, hy double")
+    four = checks.subdivide(c, [(-0.25, -0.25), (0.25, -0.25), (0.25, 0.25), (-0.25, 0.25)])
+    assert sorted((r.uid, r.cx, r.hx) for r in four.collect())[0] == (12, 0.25, 0.5)
+    mesh = {"cell": cells, "cell_node": e, "node": spark.range(7).withColumnRenamed("id", "uid")}
+    assert {r.check: r.n_bad for r in checks.check_mesh(mesh).collect()} == {"cell uids": 0, "node uids": 0, "cell_node": 1}
+    with pytest.raises(ValueError):
+        checks.Derived().add("a", ("b",), lambda b: b).add("b", ("a",), lambda a: a).dependencies("a")
