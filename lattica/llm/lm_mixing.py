@@ -15,7 +15,8 @@ summed over all training texts.  The unigram base scores use exact counts of
 every token: map tasks send each word hash once per group of documents,
 buckets add up, and counts return to the groups; that grows with the input.
 
-Defined results: null and empty texts are the end sign alone; repeated rows
+Defined results: null and empty texts are the end sign alone; where ``train``
+is null (no ``doc_id``) a row is held out; repeated rows
 are scored one by one; an empty table gives no rows; extra columns of the input
 are ignored.
 """
@@ -33,21 +34,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import input_bytes, written
-from .textblock import LOWER, SPACE, TextBlock, chunks, mix
+from .textblock import LOWER, SPACE, TextBlock, chunks, mix, order_in_cells, trim
 
-BUCKET_BYTES, GROUP_BYTES, GATHER = 16 << 20, 8 << 20, 2_000_000
+BUCKET_BYTES, GROUP_BYTES, GATHER = 12 << 20, 8 << 20, 1_500_000
 #: Classes of bytes; bits of a table's slots, and of the slices in which tables are summed.
 CLASSES, SLOT_BITS, SLICE_BITS = 64, 24, 4
 SLICES = 1 << SLICE_BITS
 IN_SLICE = 1 << (SLOT_BITS - SLICE_BITS)
-#: A node's slot is its context's with these bits of its number's hash turned.
-_NODE = (mix(np.arange(1, CLASSES + 1, dtype=np.uint64)) % np.uint64(IN_SLICE)).astype(np.int32)
+#: (A node's slot is its context's with the node's number turned into the last bits: one cache line for a context.)
 END, OTHER = 0, CLASSES - 1
 ORDERS = 3
 #: The mixer's first weights, its rate, and the first stretch of symbols it reads before it learns (each next is twice as long).
-FIRST, RATE, STRETCH = (0.30, 0.45, 0.35), 0.02, 256
+FIRST, RATE, STRETCH = (0.25, 0.50, 0.45), 0.02, 256
 #: Learning looks at every such symbol.
-STRIDE = 4
+STRIDE = 16
 _LN10 = math.log(10)
 
 # ---------------------------------------------------------------- alphabet and tree
@@ -84,8 +84,8 @@ class Alphabet:
                 todo += [(kid, [*path, (node - CLASSES, bit)]) for bit, kid in enumerate(kids[node])]
         self.length = np.array([len(p) for p in paths])
         self.begin = np.cumsum(self.length) - self.length
-        self.node = np.array([n for p in paths for n, _ in p], np.int32)
-        self.sign = np.array([2 * b - 1 for p in paths for _, b in p], np.float32)
+        self.node = np.array([n for p in paths for n, _ in p], np.int64)
+        self.one = np.array([b for p in paths for _, b in p], np.float32)
 
 
 def stream(block: TextBlock, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,15 +103,17 @@ def stream(block: TextBlock, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def contexts(cls: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Hash (of SLOT_BITS) of each predictor's context before every position (from the fifth on; earlier ones are end signs)."""
-    c = cls.astype(np.uint64)
-    one, two, three, four = (np.concatenate([np.zeros(k, np.uint64), c[:-k]]) for k in (1, 2, 3, 4))
-    near = (one << np.uint64(6)) | two
+    c = cls.astype(np.uint32)
+    one, two, three, four = (np.concatenate([np.zeros(k, np.uint32), c[:-k]]) for k in (1, 2, 3, 4))
+    near = (one << np.uint32(6)) | two
+    far = (near << np.uint32(12)) | (three << np.uint32(6)) | four
     solid = (cls != END) & ~SPACE[raw]
     lone = TextBlock(raw, np.array([0, len(raw)]))
     begin = np.maximum.accumulate(np.where(solid, 0, np.arange(1, len(c) + 1)))  # after the last byte that is no word's
     begin = np.concatenate([[0], begin[:-1]])
-    hashes = mix(near + np.uint64(1)), mix(((near << np.uint64(12)) | (three << np.uint64(6)) | four) + np.uint64(1 << 30)), lone.hash_ranges(begin, np.arange(len(c)))
-    return np.stack([(h >> np.uint64(64 - SLOT_BITS)).astype(np.int32) for h in hashes])
+    word = lone.spread_ranges(begin, np.arange(len(c))) >> np.uint64(64 - SLOT_BITS)
+    # two bytes back: every context its own slots; the others by the high bits of a product
+    return np.stack([(near << np.uint32(6)).astype(np.int64), ((far * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64), word.astype(np.int64)])
 
 
 def context_counts(block: TextBlock, alphabet: Alphabet) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -138,9 +140,9 @@ def slice_odds(keys: np.ndarray, counts: np.ndarray, alphabet: Alphabet) -> np.n
     base = (keys // CLASSES).astype(np.int64) % IN_SLICE
     length = alphabet.length[cls]
     flat = np.arange(length.sum()) + np.repeat(alphabet.begin[cls] - (np.cumsum(length) - length), length)
-    slot = np.repeat(base, length) ^ _NODE[alphabet.node[flat]]
+    slot = np.repeat(base, length) ^ alphabet.node[flat]
     n = np.repeat(counts, length)
-    one = alphabet.sign[flat] > 0
+    one = alphabet.one[flat] > 0
     ones, zeros = (np.bincount(slot[m], weights=n[m], minlength=IN_SLICE) for m in (one, ~one))
     return np.clip(np.rint(np.log((ones + 0.2) / (zeros + 0.2)) * 8), -127, 127).astype(np.int8)
 
@@ -165,53 +167,61 @@ class Predictors:
         a = self.alphabet
         cls, first, raw = stream(block, a.of)
         slots = contexts(cls, raw)
-        total = np.bincount(np.repeat(np.arange(block.n), np.diff(block.offsets)), weights=a.other_cost[LOWER[block.data]], minlength=block.n) if len(block.data) else np.zeros(block.n)
+        rare = np.flatnonzero(cls == OTHER)
+        total = np.bincount(np.searchsorted(first, rare, "right") - 1, weights=a.other_cost[raw[rare]], minlength=block.n).astype(float)
         left = np.diff(block.offsets) + 1
         at = first.copy()
         weights = np.tile(np.array(FIRST, np.float32)[:, None], (1, block.n * CLASSES))
         # adaptive map, per text: bits seen and ones among them by bucket of predicted log-odds; begins at the identity
-        buckets = 24
-        mid = 1 / (1 + np.exp(-(np.arange(buckets) - buckets / 2 + 0.5) / 1.5))
+        buckets = 48
+        mid = 1 / (1 + np.exp(-(np.arange(buckets) - buckets / 2 + 0.5) * 32 / buckets))
         seen = np.full(block.n * buckets, 30.0)
         ones = np.tile(mid * 30.0, block.n)
         live, size = np.arange(block.n), STRETCH
         while len(live):
             take = np.minimum(left[live], size)
-            which = np.repeat(live, take)
-            pos = np.arange(len(which)) + np.repeat(at[live] - (np.cumsum(take) - take), take)
-            sym = cls[pos]
-            length = a.length[sym]
-            rep = np.repeat(np.arange(len(sym), dtype=np.int32), length)
+            pos = np.arange(int(take.sum())) + np.repeat(at[live] - (np.cumsum(take) - take), take)
+            sym = cls.take(pos)
+            length = a.length.take(sym)
             ends = np.cumsum(length)
-            flat = np.arange(len(rep), dtype=np.int32) + (a.begin[sym] - (ends - length)).astype(np.int32)[rep]
-            node, sign = a.node[flat], a.sign[flat]
-            gate = (which.astype(np.int32) * CLASSES)[rep] + node
-            turn = _NODE[node]
-            x = [self.tables[k][slots[k][pos][rep] ^ turn].astype(np.float32) for k in range(ORDERS)]
-            z = weights[0][gate] * x[0]
-            for k in range(1, ORDERS):
-                z += weights[k][gate] * x[k]
+            stops = ends[np.cumsum(take) - 1]
+            bits = np.diff(stops, prepend=0)
+            rep = np.repeat(np.arange(len(sym)), length)
+            flat = (a.begin.take(sym) - (ends - length)).take(rep)
+            flat += np.arange(len(rep))
+            node, one = a.node.take(flat), a.one.take(flat)
+            gate = np.repeat(live * CLASSES, bits)
+            gate += node
+            z, x = None, []
+            for k in range(ORDERS):
+                slot = slots[k].take(pos).take(rep)
+                slot ^= node
+                x.append(self.tables[k].take(slot))
+                part = weights[k].take(gate)
+                part *= x[k]
+                z = part if z is None else np.add(z, part, out=z)
             z *= np.float32(0.125)
-            bucket = np.clip(z * np.float32(1.5) + np.float32(buckets / 2), 0, buckets - 1).astype(np.int32) + (which.astype(np.int32) * buckets)[rep]
-            mapped = (ones / seen).astype(np.float32)[bucket]
-            p = 1 / (1 + np.exp(-np.clip(z, -16, 16)))
-            q = np.float32(0.75) * p + np.float32(0.25) * mapped
-            one = sign > 0
-            cost = -np.log(np.where(one, q, 1 - q))
-            per = np.add.reduceat(cost, (ends - length)[np.cumsum(take) - take], dtype=np.float64)
-            total[live] += per
+            np.clip(z, -16, 16, out=z)
+            bucket = (z * np.float32(buckets / 32) + np.float32(buckets / 2 - 1e-3)).astype(np.int32) + np.repeat(live * buckets, bits)
+            p = 1 / (1 + np.exp(-z))
+            q = np.float32(0.75) * p + (0.25 * ones / seen).astype(np.float32).take(bucket)
+            cost = np.log(np.abs(one - np.float32(1) + q))  # one is 0 or 1: the probability of what came
+            total[live] -= np.add.reduceat(cost, stops - bits, dtype=np.float64)
             left[live] -= take
             at[live] += take
             more = left[live] > 0
             if more.any():
-                s = np.flatnonzero(((pos - first[which]) % STRIDE == 0)[rep])  # by place in the text, whatever stands beside it
-                err, g, hot = one[s] - p[s], gate[s], bucket[s]
+                # by place in the text, whatever stands beside it, and only in texts that go on
+                chosen = ((pos - np.repeat(first[live], take)) % STRIDE == 0) & np.repeat(more, take)
+                s = np.flatnonzero(chosen.take(rep))
+                up = one.take(s)
+                err, g, hot = up - p.take(s), gate.take(s), bucket.take(s)
                 n_gate = block.n * CLASSES
                 hits = np.sqrt(np.bincount(g, minlength=n_gate) + 1.0)
                 for k in range(ORDERS):
-                    weights[k] += (RATE * 0.125 * np.bincount(g, weights=err * x[k][s], minlength=n_gate) / hits).astype(np.float32)
+                    weights[k] += (RATE * 0.125 * np.bincount(g, weights=err * x[k].take(s), minlength=n_gate) / hits).astype(np.float32)
                 seen += np.bincount(hot, minlength=len(seen))
-                ones += np.bincount(hot, weights=one[s], minlength=len(ones))
+                ones += np.bincount(hot, weights=up, minlength=len(ones))
             live, size = live[more], min(2 * size, 1 << 15)
         return total
 
@@ -250,7 +260,7 @@ def _send(buckets: int):
 
     def rows(grp, h, train):
         b = _bucket(h, buckets)
-        o = np.lexsort((h, grp, b))
+        o = order_in_cells(b * (int(grp.max()) + 1) + grp, h)
         b, grp, h, train = b[o], grp[o], h[o], train[o]
         new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (grp[1:] != grp[:-1]) | (h[1:] != h[:-1])])
         counts = np.add.reduceat(train.astype(np.int64), new)
@@ -259,7 +269,9 @@ def _send(buckets: int):
         for i in range(buckets):
             lo, hi = cuts[i], cuts[i + 1]
             if lo < hi:
-                u, size = np.unique(grp[lo:hi], return_counts=True)
+                part = grp[lo:hi]  # ascending
+                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                u, size = part[at], np.diff(np.r_[at, len(part)])
                 yield row(i, u.astype("<i4").tobytes(), size.astype("<u4").tobytes(), _six(h[lo:hi]), counts[lo:hi].astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +288,7 @@ def _send(buckets: int):
             if held > GATHER:
                 yield from rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 parts, held = [], 0
+                trim()
         if parts:
             yield from rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         yield row(-1, b"", b"", b"", seen.astype("<i8").tobytes())
@@ -334,6 +347,7 @@ def _learn(alphabet: Alphabet):
                         cols = [pa.array([k], pa.int32()), pa.array([s], pa.int32())] + [pa.array([press(x.astype("<u4").tobytes())], pa.binary()) for x in (np.diff(ks, prepend=np.uint32(0)), n)]
                         yield pa.RecordBatch.from_arrays(cols, ["k", "s", "keys", "counts"])
                 parts.clear()
+            trim()
 
         size = 0
         for part in chunks(batches):
@@ -371,6 +385,7 @@ def _score(shared, buckets: int, n_train: int):
         out = [pa.table([pa.array([], t) for t in types], names)]
         if not texts.num_rows:
             return out[0]
+        trim()
         model = shared.value
         known = np.concatenate([np.zeros(0, np.uint64), *(_unsix(x) * np.uint64(buckets) + np.uint64(b) for b, x in zip(freq.column("bucket").to_pylist(), freq.column("hashes").to_pylist(), strict=True))])
         count = np.frombuffer(b"".join(freq.column("counts").to_pylist()), "<u4")
@@ -400,7 +415,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     size = input_bytes(docs)
     buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
     grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int")
-    d = docs.select(grp.alias("grp"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"), F.col("doc_id").cast("long"))
+    d = docs.select(grp.alias("grp"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.col("doc_id").cast("long"))
 
     freq = written(d.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_count, _FREQ), "counts")
     n_words, v_words = freq.filter("grp = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
