@@ -19,9 +19,8 @@ meet in one shard:
    is removed if its 50 bytes start in a document with a smaller ``doc_id``.
    An anchor with more than ``HOT`` different runs is spread by window instead.
 
-Exact copies of a text of a smaller ``doc_id`` are removed whole and take no
-part (their windows are those of the first copy).  Matches never cross
-documents.  Hashes (at least 72 bits per decision) stand for runs and windows.
+All runs of an exact copy equal those of the copy with the least ``doc_id``, so
+copies are settled by the first comparison.  Matches never cross documents.  Hashes (at least 72 bits per decision) stand for runs and windows.
 
 Defined results: a null text counts as empty; texts under 50 bytes are kept
 whole; a row without ``doc_id`` neither loses anything nor makes others lose;
@@ -41,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import input_bytes, written
+from .shared import drop, input_bytes, written
 from .textblock import TextBlock, chunks, mix, trim
 
 MATCH, GRAM = 50, 20
@@ -368,37 +367,55 @@ _SPLIT_NAMES = [f.split()[0] for f in _SPLIT.split(", ")]
 _SPLIT_TYPES = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in _SPLIT.split(", ")]
 
 
-def _rows(n: int, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(_SPLIT_NAMES, _SPLIT_TYPES, strict=True)], _SPLIT_NAMES)
+def _rows(n: int, row_type=None, **cols) -> pa.RecordBatch:
+    names, types = list(_SPLIT_NAMES), list(_SPLIT_TYPES)
+    if row_type is not None:
+        names.append("row")
+        types.append(row_type)
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols and not isinstance(cols[c], pa.Array) else cols.get(c) if c in cols else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
 
 def _split(buckets: int, shards: int, texts_too: bool):
-    """Pass 2, a group of texts with what pass 1 found: finished documents (kind 0), open ones (1), runs for the shards (2)."""
+    """Pass 2, a group of texts with what pass 1 found: finished documents (kind 0), open ones (1), runs for the shards (2).
+
+    With ``texts_too`` every text comes out again, with its ``row`` of other columns; else those in which something was found.
+    """
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
         trim()
         out = []
-        if not texts.num_rows or not found.num_rows:
-            return pa.table([pa.nulls(0, t) for t in _SPLIT_TYPES], _SPLIT_NAMES)
+        row_type = texts.schema.field("row").type if texts_too else None
+        schema = pa.schema(list(zip(_SPLIT_NAMES, _SPLIT_TYPES, strict=True)) + ([("row", row_type)] if texts_too else []))
+        if not texts.num_rows or not (found.num_rows or texts_too):
+            return schema.empty_table()
         squeeze = zstandard.ZstdCompressor(3).compress
-        rows = {}
+        rows, again = {}, {}
         for i, name in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist(), strict=True)):
-            rows.setdefault(name, i)
+            if rows.setdefault(name, i) != i:
+                again.setdefault(name, []).append(i)
         get = lambda c, kind: np.frombuffer(b"".join(found.column(c).to_pylist()), kind)
         names = list(zip(get("docs", "<i8").tolist(), get("tags", "<u2").tolist(), strict=True))
-        row = np.array([rows.get(n, -1) for n in names])
+        row = np.array([rows.get(n, -1) for n in names], dtype=np.int64)
+        more = [(j, i) for j, n in enumerate(names) if n in again for i in again[n]] if again and texts_too else []
         bucket = np.repeat(found.column("bucket").to_numpy(), [len(x) // 8 for x in found.column("docs").to_pylist()]).astype(np.int64)
         listed = []
         for c in ("same", "near", "hot"):
-            counts = get(f"n_{c}", "<u4")
+            counts = get(f"n_{c}", "<u4").astype(np.int64)
+            ends = np.cumsum(counts)
             r, b, at = np.repeat(row, counts), np.repeat(bucket, counts), get(c, "<u4").astype(np.int64)
+            if more:  # repeated rows get what their first one got
+                r = np.concatenate([r, *(np.full(counts[j], i) for j, i in more)])
+                b = np.concatenate([b, *(np.full(counts[j], bucket[j]) for j, _ in more)])
+                at = np.concatenate([at, *(at[ends[j] - counts[j] : ends[j]] for j, _ in more)])
             o = np.argsort(r, kind="stable")
             listed.append((r[o], b[o], at[o]))
-        touched = np.unique(row[row >= 0])
-        texts = texts.take(pa.array(touched)).combine_chunks()
-        new_row = np.full(int(touched.max(initial=-1)) + 2, -1)
-        new_row[touched] = np.arange(len(touched))
-        listed = [(np.where(r >= 0, new_row[np.maximum(r, 0)], -1), b, at) for r, b, at in listed]
+        if not texts_too:
+            touched = np.unique(row[row >= 0])
+            texts = texts.take(pa.array(touched))
+            new_row = np.full(int(touched.max(initial=-1)) + 2, -1)
+            new_row[touched] = np.arange(len(touched))
+            listed = [(np.where(r >= 0, new_row[np.maximum(r, 0)], -1), b, at) for r, b, at in listed]
+        texts = texts.combine_chunks()
         done_rows = 0
         for part in chunks(texts.to_batches()):
             block = TextBlock.from_arrow(part.column(part.schema.get_field_index("text")))
@@ -432,19 +449,22 @@ def _split(buckets: int, shards: int, texts_too: bool):
             base = block.offsets
             cuts = np.searchsorted(of, np.arange(block.n + 1))
             raw = block.data.tobytes()
-            done, wait = [], []
+            done, wait, done_at, wait_at = [], [], [], []
+            others = lambda at: {"row_type": row_type, "row": part.column(part.schema.get_field_index("row")).take(pa.array(at))} if texts_too else {}  # noqa: B023, E731
             for i in range(block.n):
                 lo, hi = cuts[i], cuts[i + 1]
                 if open_[i]:
+                    wait_at.append(i)
                     wait.append((ids[i], tags[i], np.stack([start[lo:hi], end[lo:hi]], 1).astype("<i8") - base[i], squeeze(raw[base[i] : base[i + 1]])))
                 else:
+                    done_at.append(i)
                     done.append((ids[i], tags[i], *_cut(raw[base[i] : base[i + 1]], (start[lo:hi] - base[i]).tolist(), (end[lo:hi] - base[i]).tolist())))
             if done:
                 x = list(zip(*done, strict=True))
-                out.append(_rows(len(done), kind=[0] * len(done), doc_id=x[0], tag=x[1], n_removed=x[2], n_spans=x[3], kept_sha256=x[4], **({"kept": x[5]} if texts_too else {})))
+                out.append(_rows(len(done), kind=[0] * len(done), doc_id=x[0], tag=x[1], n_removed=x[2], n_spans=x[3], kept_sha256=x[4], **({"kept": x[5]} if texts_too else {}), **others(done_at)))
             if wait:
                 x = list(zip(*wait, strict=True))
-                out.append(_rows(len(wait), kind=[1] * len(wait), doc_id=x[0], tag=x[1], ranges=[r.tobytes() for r in x[2]], body=x[3]))
+                out.append(_rows(len(wait), kind=[1] * len(wait), doc_id=x[0], tag=x[1], ranges=[r.tobytes() for r in x[2]], body=x[3], **others(wait_at)))
             if len(d):
                 shard = (mix(h) % np.uint64(shards)).astype(np.int64)
                 o = np.argsort(shard, kind="stable")
@@ -453,6 +473,7 @@ def _split(buckets: int, shards: int, texts_too: bool):
                 parts = [slice(x, y) for x, y in zip(first, np.r_[first[1:], len(shard)], strict=True)]
                 out.append(_rows(
                     len(u),
+                    row_type,
                     kind=[2] * len(u),
                     shard=u,
                     docs=[ids[d[p]].astype("<i8").tobytes() for p in parts],
@@ -462,7 +483,7 @@ def _split(buckets: int, shards: int, texts_too: bool):
                     bytes=[b"".join([raw[x:y] for x, y in zip(a[p], b[p], strict=True)]) for p in parts],
                 ))
 
-        return pa.Table.from_batches(out, pa.schema(list(zip(_SPLIT_NAMES, _SPLIT_TYPES, strict=True))))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -507,68 +528,67 @@ def _finish(texts_too: bool):
         expand = zstandard.ZstdDecompressor().decompress
         for part in batches:
             out = []
-            for i, t, ranges, body, more in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for i, t, ranges, body, more in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
                 pairs = np.frombuffer(b"".join([ranges, *(more or [])]), "<i8").reshape(-1, 2)
                 s, e, _ = _merged(pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
                 *found, kept = _cut(expand(body), s.tolist(), e.tolist())
                 out.append((i, t, *found, kept if texts_too else None))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
+                cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols + ([part.column(5)] if texts_too else []), names + ["row"] * texts_too)
 
     return run
 
 
-def _decide(docs: DataFrame, texts_too: bool) -> tuple[DataFrame, DataFrame]:
-    """Every row's ``doc_id, tag, n_bytes, whole_sha, copy``, and the results of the texts in which something was found."""
+def _results(docs: DataFrame, texts_too: bool) -> DataFrame:
+    """``doc_id, tag, n_removed, n_spans, kept_sha256, kept[, row]``: of the texts in which something was found, or of all rows with an id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tag = F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
     size = input_bytes(docs)
     buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
     grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int")
-    d = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), tag.alias("tag"), grp.alias("grp"), text.alias("text"))
-
+    own = [F.col("doc_id").cast("long"), _tag(text).alias("tag"), grp.alias("grp"), text.alias("text")]
+    has = docs.filter("doc_id is not null")
+    d = has.select(*own)
     found = written(d.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_meet, _FOUND), "runs")
 
-    whole = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), F.md5(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole_sha"))
-    base = written(whole, "digests")
-    firsts = base.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    state = base.join(firsts, "digest").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
-
     n_near, n_hot = found.agg(F.coalesce(F.sum(F.length("near")), F.lit(0)), F.coalesce(F.sum(F.length("hot")), F.lit(0))).first()
     shards = max(1, math.ceil((n_near / 4 * 70 + n_hot / 4 * 16 * MATCH) / SHARD_BYTES))
-    split = written(d.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_split(buckets, shards, texts_too), _SPLIT), "windows")
+    extra = ["row"] if texts_too else []
+    schema, result = _SPLIT, _RESULT
+    if texts_too:
+        others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+        d = has.select(*own, others.alias("row"))
+        kind = d.schema["row"].dataType.simpleString()
+        schema, result = f"{_SPLIT}, row {kind}", f"{_RESULT}, row {kind}"
+    split = written(d.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_split(buckets, shards, texts_too), schema), "windows")
+    drop(found)
 
     more = split.filter("kind = 2").select("shard", "docs", "tags", "starts", "lens", "bytes").groupBy("shard").applyInArrow(_sort_shard, "doc_id long, tag int, more binary")
     more = more.groupBy("doc_id", "tag").agg(F.collect_list("more").alias("more"))
-    late = split.filter("kind = 1").select("doc_id", "tag", "ranges", "body").join(more, ["doc_id", "tag"], "left").mapInArrow(_finish(texts_too), _RESULT)
-    done = split.filter("kind = 0").select("doc_id", "tag", "n_removed", "n_spans", "kept_sha256", "kept").unionByName(late)
-    return state, done.groupBy("doc_id", "tag").agg(F.first("n_removed").alias("cut"), F.first("n_spans").alias("spans"), F.first("kept_sha256").alias("sha"), F.first("kept").alias("kept"))
+    late = split.filter("kind = 1").select("doc_id", "tag", "ranges", "body", *extra).join(more, ["doc_id", "tag"], "left").select("doc_id", "tag", "ranges", "body", "more", *extra)
+    done = split.filter("kind = 0").select("doc_id", "tag", "n_removed", "n_spans", "kept_sha256", "kept", *extra)
+    return done.unionByName(late.mapInArrow(_finish(texts_too), result))
+
+
+def _tag(text):
+    """Tells rows of one id with different texts apart."""
+    return F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    state, done = _decide(docs, texts_too=False)
-    gone, stays = F.col("copy") & (F.col("n_bytes") >= MATCH), F.col("copy")
-    return state.join(done, ["doc_id", "tag"], "left").select(
-        "doc_id",
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).when(stays, 0).otherwise(F.coalesce("cut", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, 1).when(stays, 0).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).when(stays, F.col("whole_sha")).otherwise(F.coalesce("sha", "whole_sha")).alias("kept_sha256"),
-    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = docs.select(F.col("doc_id").cast("long"), _tag(text).alias("tag"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole_sha"))
+    done = _results(docs, texts_too=False).select("doc_id", "tag", F.col("n_removed").alias("cut"), F.col("n_spans").alias("spans"), F.col("kept_sha256").alias("sha"))
+    zero = F.lit(0).cast("long")
+    return whole.join(done, ["doc_id", "tag"], "left").select("doc_id", "n_bytes", F.coalesce("cut", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with the repeated spans cut out of ``text`` (a null text stays null).
+    """The rows of ``docs``, all columns, with the repeated spans cut out of ``text`` (a null text becomes empty).
 
-    A cut may split a character; its left-over bytes are dropped with it.
+    A cut may split a character; its left-over bytes are dropped with it.  Rows travel once, with their texts.
     """
-    state, done = _decide(docs, texts_too=True)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    tag = F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    marks = state.filter("copy").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.lit(True).alias("_copy"), F.col("n_bytes").alias("_n_bytes")).distinct()
-    found = done.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_kept"))
-    notes = marks.join(found, ["_id", "_tag"], "full_outer")
-    rows = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_crc": tag}).join(notes, (F.col("_own") == F.col("_id")) & (F.col("_crc") == F.col("_tag")), "left")
-    cut = F.when(F.col("_copy") & (F.col("_n_bytes") >= MATCH), F.lit("")).when(F.col("_copy").isNull() & F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    return rows.withColumn("text", cut).select(*docs.columns)
+    out = _results(docs, texts_too=True)
+    cols = [F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*cols).unionByName(docs.filter("doc_id is null"))
