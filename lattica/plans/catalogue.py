@@ -982,7 +982,7 @@ def cartesian_neighbours(spark, sf):
     return n.select("uid", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("previous", "next")))
 
 
-@query("SELECT round(sum(0.025 * 0.05), 9) AS area, count(*) AS n FROM range(800)")
+@query("SELECT round(sum(0.025::DOUBLE * 0.05), 9) AS area, count(*) AS n FROM range(800)")
 def mesh_measure(spark, sf):
     m = generators.cartesian(spark, (40, 20), (1.0, 1.0))
     j = m["cell_node"].join(m["node"], F.col("dst") == F.col("uid")).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
@@ -1026,7 +1026,7 @@ def mesh_unique_faces(spark, sf):
     return f.agg(F.count("*").alias("n_faces"), F.sum(F.col("front").isNull().cast("long")).alias("n_border"))
 
 
-@query("SELECT round(3.0, 6) AS gx, round(-2.0, 6) AS gy, 600::BIGINT AS n")
+@query("SELECT 3.0::DOUBLE AS gx, -2.0::DOUBLE AS gy, 600::BIGINT AS n")
 def mesh_gradient(spark, sf):
     m = generators.cartesian(spark, (30, 20), (1.0, 1.0))
     v = m["node"].select("uid", (3.0 * F.col("x") - 2.0 * F.col("y") + 1.0).alias("v"))
@@ -1034,7 +1034,7 @@ def mesh_gradient(spark, sf):
     return g.groupBy(r("gx", 6).alias("gx"), r("gy", 6).alias("gy")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT round(1.0, 9) AS area, 3600::BIGINT AS n")
+@query("SELECT 1.0::DOUBLE AS area, 3600::BIGINT AS n")
 def corefine_grids(spark, sf):
     grid = lambda n: generators.cartesian(spark, (n, n), (1.0, 1.0))["cell"].select("uid", (F.col("i") / n).alias("x0"), (F.col("j") / n).alias("y0"), ((F.col("i") + 1) / n).alias("x1"), ((F.col("j") + 1) / n).alias("y1"))
     c = checks.corefine(grid(20), grid(45)).filter("area > 1e-12")
