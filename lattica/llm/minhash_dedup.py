@@ -13,13 +13,17 @@ text whose other shingles hold less than ``threshold`` of its weight can have
 no partner and is neither sampled nor compared; vectors leave such shingles
 out but count their weight.
 
-Exact copies count as links of the first copy and are not compared.  In a band
-bucket the members are compared with a leader, not with one another (the least
-id in even bands, the least hashed id in odd ones); those that are not linked
-to it choose leaders among themselves in ``ROUNDS`` rounds.  The work of a
-round is linear in the members.  A pair is thus proposed if the two share a
-band bucket with a common leader that both are linked to, or with each other
-as leader; ten bands and three rounds give every member up to thirty leaders.
+Exact copies count as links of the first copy and are not compared.  Two texts
+that share a band bucket and reach the threshold always end in one class.  In a
+bucket the members are first compared with a leader (the least id in even bands,
+the least hashed id in odd ones); those that are not linked to it choose leaders
+among themselves in ``ROUNDS`` rounds, each linear in the members.  Buckets that
+then still hold several classes are finished exactly: where at most ``FAN``
+members stand outside the largest class, these are compared with every member of
+another class; other buckets are first split by the members' rarest shingles (of
+two texts with the threshold's similarity, the rarest shingles that make up
+``1 - threshold`` of each one's weight have one in common), get leader rounds of
+their own, and all pairs of different classes in a part are compared.
 
 Defined results: a null or empty text is a duplicate of other such texts only;
 rows that share a ``doc_id`` share a class; rows without one have none; an empty table gives no rows; extra
@@ -40,6 +44,8 @@ from .shared import drop, input_bytes, written
 from .textblock import TextBlock, chunks, mix, order_in_cells, trim, windows
 
 WIDTH, BANDS, ROWS, DAMP, ROUNDS = 5, 10, 3, 0.1, 3
+#: Members outside a bucket's largest class up to which the bucket is not split.
+FAN = 16
 #: Input bytes per bucket of hashes and per group of documents; shingles a map task gathers before it sends.
 BUCKET_BYTES, GROUP_BYTES, GATHER = 6 << 20, 8 << 20, 1_000_000
 
@@ -122,6 +128,17 @@ def weighted_jaccard(a: bytes, total_a: float, b: bytes, total_b: float) -> floa
     return shared / (total_a + total_b - shared)
 
 
+def rare(doc: np.ndarray, h: np.ndarray, df: np.ndarray, weight: np.ndarray, total: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of each text's rarest shingles, by text: those from which on, by (df, hash), at least ``threshold`` of its whole weight follows.
+
+    The rest weighs less than two texts of that similarity share, so they have one of these in common.
+    """
+    o = np.lexsort((h, df, doc))
+    upto = np.cumsum(weight[o])
+    ends = np.searchsorted(doc[o], doc[o], "right") - 1
+    return o[upto[ends] - upto + weight[o] >= threshold * total[doc[o]] * (1 - 1e-6)]
+
+
 # ---------------------------------------------------------------- document frequencies
 
 _MASK = np.uint64((1 << 40) - 1)
@@ -203,14 +220,14 @@ def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(u.astype(np.int32)), pa.array(np.full(len(u), key[0].as_py(), np.int32)), pa.array([_five(h[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([df[a:b].astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], [f.split()[0] for f in _FREQ.split(", ")])
 
 
-_VECTOR = "doc_id long, total double, vec binary, keys array<long>"
+_VECTOR = "doc_id long, total double, vec binary, keys array<long>, rare array<int>"
 
 
 def _vectors(buckets: int, n_docs: int, threshold: float):
     """A group of texts with its frequencies: vectors and band keys of those texts that can have a partner."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, freq: pa.Table) -> pa.Table:
-        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64()))], [f.split()[0] for f in _VECTOR.split(", ")])
+        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))], [f.split()[0] for f in _VECTOR.split(", ")])
         if not texts.num_rows or not freq.num_rows:
             return none
         known = np.concatenate([_unfive(x) | np.uint64(b) << np.uint64(40) for b, x in zip(freq.column("bucket").to_pylist(), freq.column("hashes").to_pylist(), strict=True)])
@@ -239,11 +256,14 @@ def _vectors(buckets: int, n_docs: int, threshold: float):
             keys = band_keys(samples(doc[take], h[take], w[take], block.n))
             take &= held
             d, v, x = doc[take], (h[take] >> np.uint64(32)).astype("<u4"), w[take].astype("<f4")
+            r = rare(d, h[take], df[at[take]], w[take], total, threshold)
+            r_cuts = np.searchsorted(d[r], np.arange(block.n + 1))
+            r = v[r].view(np.int32)
             o = np.lexsort((v, d))
             d, v, x = d[o], v[o], x[o]
             cuts = np.searchsorted(d, np.arange(block.n + 1))
             who = np.flatnonzero(may)
-            out.append(pa.table([pa.array(ids[who]), pa.array(total[who]), pa.array([v[cuts[i] : cuts[i + 1]].tobytes() + x[cuts[i] : cuts[i + 1]].tobytes() for i in who], pa.binary()), pa.array(list(keys[who].view(np.int64)), pa.list_(pa.int64()))], none.column_names))
+            out.append(pa.table([pa.array(ids[who]), pa.array(total[who]), pa.array([v[cuts[i] : cuts[i + 1]].tobytes() + x[cuts[i] : cuts[i + 1]].tobytes() for i in who], pa.binary()), pa.array(list(keys[who].view(np.int64)), pa.list_(pa.int64())), pa.array([r[r_cuts[i] : r_cuts[i + 1]] for i in who], pa.list_(pa.int32()))], none.column_names))
         return pa.concat_tables(out)
 
     return run
@@ -279,10 +299,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("id").alias("doc_id"), F.col("label").alias("class_id"))
 
 
-def links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Verified links ``a, b`` between band neighbours."""
-    band = F.posexplode("keys").alias("band", "key")
-    open_ = vectors.select("doc_id", band)
+def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame | None:
+    """Verified links ``a, b`` with the leaders of ``ROUNDS`` rounds in the cells of ``open_(doc_id, band, key)``; None if no cell has two members."""
     found = None
     for turn in range(ROUNDS):
         # another leader in every round: the least id or, in odd bands and later rounds, the least hash
@@ -299,6 +317,44 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame:
     return found
 
 
+def mixed(cells: DataFrame, vectors: DataFrame, found: DataFrame) -> DataFrame:
+    """Of ``cells(doc_id, key)``, the members of those that hold several classes by ``found``: also ``total, label, top`` (the cell's largest class) and ``others`` (members outside it)."""
+    known = components(found).withColumnRenamed("class_id", "label")
+    m = cells.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    sizes = m.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    return written(m.join(sizes, "key").join(vectors.select("doc_id", "total"), "doc_id"), "mixed")
+
+
+def across(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Verified links ``a, b`` among all pairs of different classes in a cell of ``mixed`` (whole weights further apart than the threshold cannot reach it)."""
+    a = members.filter("label <> top").select("key", "doc_id", "label", "total")
+    b = members.select("key", F.col("doc_id").alias("leader"), F.col("label").alias("l_label"), F.col("total").alias("l_total"), "top")
+    near = F.least("total", "l_total") >= threshold * (1 - 1e-6) * F.greatest("total", "l_total")
+    pairs = a.join(b, "key").filter((F.col("label") != F.col("l_label")) & ((F.col("l_label") == F.col("top")) | (F.col("doc_id") < F.col("leader"))) & near)
+    sure = verified(pairs.select("doc_id", "leader"), vectors).filter(F.col("similarity") >= threshold)
+    return written(sure.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "links")
+
+
+def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
+    """Verified links ``a, b``: texts that share a band bucket and reach the threshold are connected by them."""
+    bands = vectors.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    found = leaders(bands, vectors, threshold)
+    if found is None:
+        return None
+    left = mixed(bands.select("doc_id", "key"), vectors, found)
+    found = found.unionByName(across(left.filter(F.col("others") <= FAN), vectors, threshold))
+    large = left.filter(F.col("others") > FAN).select("doc_id", "key")
+    if not large.limit(1).count():
+        return found
+    parts = large.join(vectors.select("doc_id", F.explode("rare").alias("token")), "doc_id").select("doc_id", F.lit(0).alias("band"), F.xxhash64("key", "token").alias("key"))
+    parts = written(parts, "parts")
+    more = leaders(parts, vectors, threshold)
+    if more is None:
+        return found
+    found = found.unionByName(more)
+    return found.unionByName(across(mixed(parts.select("doc_id", "key"), vectors, found), vectors, threshold))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per row: ``doc_id, class_id, copy_of`` (least id with the same text)."""
     text = F.coalesce(F.col("text"), F.lit(""))

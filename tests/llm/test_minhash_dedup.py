@@ -79,3 +79,41 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.class_id or 0) for r in md.near_duplicates(docs).collect())
     assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3)]
     assert md.near_duplicates(docs.limit(0)).count() == 0
+
+
+def one_bucket(spark, texts, bands, threshold=0.8):
+    """Vectors of texts (shingle hash -> weight) that share every band bucket."""
+    df = Counter(x for v in texts for x in v)
+    doc = np.repeat(np.arange(len(texts)), [len(v) for v in texts])
+    h = np.array([x for v in texts for x in v], np.uint64) << np.uint64(32)
+    w = np.array([x for v in texts for x in v.values()], float)
+    total = np.bincount(doc, weights=w)
+    token = (h >> np.uint64(32)).astype("<u4")
+    r = md.rare(doc, h, np.array([df[int(x)] for x in token]), w, total, threshold)
+    rows = []
+    for i in range(len(texts)):
+        at = np.flatnonzero(doc == i)
+        at = at[np.argsort(token[at])]
+        rows.append((i, float(total[i]), bytearray(token[at].tobytes() + w[at].astype("<f4").tobytes()), list(range(100, 100 + bands)), token[r[doc[r] == i]].view(np.int32).tolist()))
+    return spark.createDataFrame(rows, md._VECTOR).repartition(4)
+
+
+def classes_of(edges):
+    return {(r.doc_id, r.class_id) for r in md.components(edges).collect()}
+
+
+def test_bucket_of_hundreds_of_unlike_groups(spark):
+    # 60 of 100 shingles are everyone's, 35 the group's, 5 a text's own
+    texts, n = [], 300
+    for g in range(n):
+        for i in (0, 1):
+            own = [*range(1000 + g * 50, 1035 + g * 50), *range(100_000 + g * 20 + i * 5, 100_005 + g * 20 + i * 5)]
+            texts.append(dict.fromkeys([*range(1, 61), *own], 1.0))
+    got = classes_of(md.links(one_bucket(spark, texts, 10), 0.8))
+    assert got == {(2 * g + i, 2 * g) for g in range(n) for i in (0, 1)}
+
+
+def test_chain_through_a_linked_member(spark):
+    # 0 ~ 1, 1 ~ 2, 0 !~ 2; 0 leads, and 1 leaves the only bucket with it
+    chain = [dict.fromkeys(range(1 + 8 * i, 101 + 8 * i), 1.0) for i in range(3)]
+    assert classes_of(md.links(one_bucket(spark, chain, 1), 0.8)) == {(0, 0), (1, 0), (2, 0)}
