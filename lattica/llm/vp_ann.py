@@ -1,12 +1,14 @@
 """Nearest neighbours by largest inner product with vantage-point trees, one per shard.
 
 Vectors get one more coordinate, ``sqrt(M - |x|^2)`` with M the largest squared
-norm, and queries a zero there, so that the largest inner product is the least
-Euclidean distance, a metric.  Every shard (a hash class of rows of bounded
-size) holds a vantage-point tree; query blocks meet every shard once.  A branch
-is passed over when ``factor`` times its triangle-inequality bound exceeds the
-query's k-th distance so far: factor 1 is exact search, larger factors prune
-more and may miss neighbours.
+norm of their tree, and queries (scaled to that norm) a zero there, so that the
+largest inner product is the least Euclidean distance, a metric.  Every shard (a
+hash class of rows of bounded size) holds a vantage-point tree for each class of
+norms within a factor of two, so that a long vector costs the others no
+precision; query blocks meet every shard once.  A branch is passed over when
+``factor`` times its triangle-inequality bound, less what rounding may add,
+exceeds the distance that belongs to the query's k-th score so far: factor 1 is
+exact search, ties included, larger factors prune more and may miss neighbours.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and rows without an id, take no part; vectors of another length than the query's are no
@@ -84,10 +86,15 @@ class VPTree:
                 best[w], row[w] = np.take_along_axis(every, s, 1), np.take_along_axis(rows, s, 1)
             return d
 
+        self.walk(q, offer, lambda who: best[who, -1], factor)
+        return row, best
+
+    def walk(self, q: int, offer, radius, factor: float) -> None:
+        """Offer points ``lo:hi`` to queries (``offer`` returns distances), but no branch whose bound times ``factor`` exceeds the query's radius."""
         todo = [(0, np.arange(q), np.zeros(q))]
         while todo:
             node, who, bound = todo.pop()
-            live = bound * factor <= best[who, -1]
+            live = bound * factor <= radius(who)
             who, bound = who[live], bound[live]
             if not len(who):
                 continue
@@ -102,7 +109,47 @@ class VPTree:
             first = b_in <= b_out
             # the nearer side first: pushed last
             todo += [(outer, who[first], b_out[first]), (inner, who[~first], b_in[~first]), (inner, who[first], b_in[first]), (outer, who[~first], b_out[~first])]
-        return row, best
+
+    def products(self, queries: np.ndarray, best: np.ndarray, first: np.ndarray, row: np.ndarray, ids: np.ndarray, start: int, factor: float = 1.0) -> None:
+        """Improve every query's best points by (score, least id), exactly, in place: scores, least ids, and rows (from ``start``); ``ids`` are the points' least ids."""
+        k, dim = best.shape[1], queries.shape[1]
+        x = self.points[:, :dim]
+        ids = ids[self.order]
+        square = (self.points**2).sum(1)
+        most = float(square.max())
+        norm = np.sqrt((queries**2).sum(1))
+        scale = np.divide(math.sqrt(most), norm, out=np.zeros(len(norm)), where=norm > 0)
+        scaled = queries * scale[:, None]
+        own = (scaled**2).sum(1)
+        # what rounding may add to a squared distance, and to an inner product
+        loose = 8 * (dim + 4) * np.finfo(float).eps * (own + most)
+        slack = 4 * (dim + 4) * np.finfo(float).eps * norm * math.sqrt(most)
+
+        def radius(who):
+            limit = own[who] + most - 2 * np.where(np.isinf(best[who, -1]), -np.inf, scale[who] * np.where(np.isinf(best[who, -1]), 0, best[who, -1])) + loose[who]
+            return np.where(limit < 0, -1, np.sqrt(np.maximum(limit, 0)) + 2 * np.sqrt(loose[who]) * factor)
+
+        def offer(who, lo, hi):
+            ip = queries[who] @ x[lo:hi].T
+            least = best[who, -1] - slack[who]
+            if hi - lo > k:
+                least = np.maximum(least, np.partition(ip, hi - lo - k, axis=1)[:, hi - lo - k] - 2 * slack[who])
+            i, j = np.nonzero(ip >= least[:, None])
+            if len(i):
+                score = _exact(queries[who[i]], x[lo + j])
+                w, at = np.unique(i, return_inverse=True)
+                g = who[w]
+                n = len(w)
+                at = np.concatenate([at, np.repeat(np.arange(n), k)])
+                score = np.concatenate([score, best[g].ravel()])
+                least_id = np.concatenate([ids[lo + j], first[g].ravel()])
+                place = np.concatenate([start + self.order[lo + j], row[g].ravel()])
+                o = np.lexsort((least_id, -score, at))
+                o = o[(np.searchsorted(at[o], np.arange(n))[:, None] + np.arange(k)).ravel()]
+                best[g], first[g], row[g] = score[o].reshape(n, k), least_id[o].reshape(n, k), place[o].reshape(n, k)
+            return np.sqrt(np.maximum(own[who, None] + square[None, lo:hi] - 2 * scale[who, None] * ip, 0))
+
+        self.walk(len(queries), offer, radius, factor)
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -113,7 +160,7 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _build(k: int, most: float):
+def _build(k: int):
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim = key[1].as_py()
         ids = table.column("vec_id").to_numpy()
@@ -125,23 +172,33 @@ def _build(k: int, most: float):
         first = np.flatnonzero(new)
         keep = np.arange(len(ids)) - first[group] <= k
         members = np.split(ids[keep], np.cumsum(np.bincount(group[keep]))[:-1])
-        x = x[first]
-        full = np.concatenate([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]], 1)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "tree": [pickle.dumps((VPTree(full), x, members))]})
+        x, least = x[first], ids[first]
+        square = (x * x).sum(1)
+        size = np.frexp(square)[1] // 2  # norms within a factor of two
+        order = np.argsort(-size, kind="stable")
+        x, least, square, size, members = x[order], least[order], square[order], size[order], [members[i] for i in order]
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(x)]
+        trees = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # long vectors first
+            more = np.sqrt(np.maximum(square[lo:hi].max() - square[lo:hi], 0))
+            trees.append((VPTree(np.concatenate([x[lo:hi], more[:, None]], 1)), lo, hi))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "tree": [pickle.dumps((trees, x, least, members))]})
 
     return build
 
 
 def _search(k: int, factor: float):
-    spare = k + 8  # rounding may swap near-equal distances; exact scores decide among a few more
-
+    # a top k without the query's own row lies within the first k + 1 distinct vectors by score and least id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree, dim, qids, qvecs in zip(*(batch.column(c).to_pylist() for c in ("tree", "dim", "qids", "qvecs")), strict=True):
-                tree, x, members = pickle.loads(tree)
+                trees, x, least, members = pickle.loads(tree)
                 ids = np.frombuffer(qids, "<i8")
                 q = np.frombuffer(qvecs, "<f8").reshape(-1, dim)
-                row, _ = tree.search(np.concatenate([q, np.zeros((len(q), 1))], 1), spare, factor)
+                best, first = np.full((len(q), k + 1), -np.inf), np.full((len(q), k + 1), np.iinfo(np.int64).max)
+                row = np.full((len(q), k + 1), -1)
+                for t, lo, hi in trees:
+                    t.products(q, best, first, row, least[lo:hi], lo, factor)
                 who, at = np.nonzero(row >= 0)
                 hit = row[who, at]
                 score = _exact(q[who], x[hit])
@@ -177,11 +234,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
     e = F.col("embedding")
     ok = e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = vectors.filter(ok & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.size(e).alias("dim"), e.cast("array<double>").alias("vec"))
-    norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
-    n, queries, most = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(norm)).first()
+    n, queries = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     shards, blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(queries / BLOCK))
     packed = rows.mapInArrow(_doubles, "vec_id long, dim int, vec binary")
-    trees = packed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard", "dim").applyInArrow(_build(k, float(most or 0)), "shard int, dim int, tree binary")
+    trees = packed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard", "dim").applyInArrow(_build(k), "shard int, dim int, tree binary")
     asked = packed.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.col("vec_id") + 1), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInArrow(_packed, "dim int, qids binary, qvecs binary")
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = trees.join(asked, ["shard", "dim"]).select("tree", "dim", "qids", "qvecs").mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")

@@ -41,3 +41,24 @@ def test_query_equals_brute_force(spark, monkeypatch):
     got = sorted(tuple(r) for r in vp_ann.nearest(df, 20, 20).collect())
     assert got == brute(rows, 20, 20)
     assert vp_ann.nearest(df.limit(0)).count() == 0
+
+
+def same(spark, v):
+    rows = [(i, [float(np.float32(c)) for c in x]) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(tuple(r) for r in vp_ann.nearest(df, 20, 20).collect()) == brute(rows, 20, 20)
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(2)
+    same(spark, rng.choice([-1.0, 1.0], size=(900, 16)))
+    same(spark, (rng.random((900, 40)) < 0.1) + np.eye(40)[np.arange(900) % 40])
+
+
+def test_one_long_vector_costs_the_others_no_precision(spark):
+    v = np.random.default_rng(3).normal(size=(900, 8))
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    v[40] *= 1e8
+    same(spark, v)
+    v[40], v[41] = v[41], v[40].copy()
+    same(spark, v)
