@@ -6,7 +6,8 @@ Huffman tree.  Predictors keep, per hashed context and tree node, the log-odds
 of the bit in the training texts: two bytes back, four bytes back, and the word
 so far.  A mixer adds them with weights gated by tree node; the weights follow
 the gradient of the coding cost while a text is read, and the mixed probability
-is refined by an adaptive map from predicted to seen frequencies.  Both start
+is refined by an adaptive map from predicted to seen frequencies.  Both learn
+from every symbol, at the end of each stretch of ``STRETCH`` symbols, and start
 anew for every text, so a score depends on nothing but the text and the model.
 The result is the text's log10 probability (and bits per byte).
 
@@ -44,10 +45,8 @@ IN_SLICE = 1 << (SLOT_BITS - SLICE_BITS)
 #: (A node's slot is its context's with the node's number turned into the last bits: one cache line for a context.)
 END, OTHER = 0, CLASSES - 1
 ORDERS = 3
-#: The mixer's first weights, its rate, and the first stretch of symbols it reads before it learns (each next is twice as long).
-FIRST, RATE, STRETCH = (0.25, 0.50, 0.45), 0.02, 256
-#: Learning looks at every such symbol.
-STRIDE = 16
+#: The mixer's first weights, its rate, and the symbols it reads before it learns from them.
+FIRST, RATE, STRETCH = (0.25, 0.50, 0.45), 0.02, 32
 _LN10 = math.log(10)
 
 # ---------------------------------------------------------------- alphabet and tree
@@ -171,15 +170,17 @@ class Predictors:
         total = np.bincount(np.searchsorted(first, rare, "right") - 1, weights=a.other_cost[raw[rare]], minlength=block.n).astype(float)
         left = np.diff(block.offsets) + 1
         at = first.copy()
-        weights = np.tile(np.array(FIRST, np.float32)[:, None], (1, block.n * CLASSES))
-        # adaptive map, per text: bits seen and ones among them by bucket of predicted log-odds; begins at the identity
+        # rows of texts that go on: mixer weights by node, and the adaptive map, begun at the identity: bits seen and ones among them by bucket of predicted log-odds
+        weights = np.tile(np.array(FIRST, np.float32)[:, None, None], (1, block.n, CLASSES))
         buckets = 48
         mid = 1 / (1 + np.exp(-(np.arange(buckets) - buckets / 2 + 0.5) * 32 / buckets))
-        seen = np.full(block.n * buckets, 30.0)
-        ones = np.tile(mid * 30.0, block.n)
-        live, size = np.arange(block.n), STRETCH
+        seen = np.full((block.n, buckets), 30.0)
+        ones = np.tile(mid * 30.0, (block.n, 1))
+        live = np.arange(block.n)
         while len(live):
-            take = np.minimum(left[live], size)
+            take = np.minimum(left[live], STRETCH)
+            m = len(live)
+            row = np.arange(m)
             pos = np.arange(int(take.sum())) + np.repeat(at[live] - (np.cumsum(take) - take), take)
             sym = cls.take(pos)
             length = a.length.take(sym)
@@ -190,7 +191,7 @@ class Predictors:
             flat = (a.begin.take(sym) - (ends - length)).take(rep)
             flat += np.arange(len(rep))
             node, one = a.node.take(flat), a.one.take(flat)
-            gate = np.repeat(live * CLASSES, bits)
+            gate = np.repeat(row * CLASSES, bits)
             gate += node
             z, x = None, []
             for k in range(ORDERS):
@@ -202,7 +203,7 @@ class Predictors:
                 z = part if z is None else np.add(z, part, out=z)
             z *= np.float32(0.125)
             np.clip(z, -16, 16, out=z)
-            bucket = (z * np.float32(buckets / 32) + np.float32(buckets / 2 - 1e-3)).astype(np.int32) + np.repeat(live * buckets, bits)
+            bucket = (z * np.float32(buckets / 32) + np.float32(buckets / 2 - 1e-3)).astype(np.int32) + np.repeat(row * buckets, bits)
             p = 1 / (1 + np.exp(-z))
             q = np.float32(0.75) * p + (0.25 * ones / seen).astype(np.float32).take(bucket)
             cost = np.log(np.abs(one - np.float32(1) + q))  # one is 0 or 1: the probability of what came
@@ -210,19 +211,16 @@ class Predictors:
             left[live] -= take
             at[live] += take
             more = left[live] > 0
-            if more.any():
-                # by place in the text, whatever stands beside it, and only in texts that go on
-                chosen = ((pos - np.repeat(first[live], take)) % STRIDE == 0) & np.repeat(more, take)
-                s = np.flatnonzero(chosen.take(rep))
-                up = one.take(s)
-                err, g, hot = up - p.take(s), gate.take(s), bucket.take(s)
-                n_gate = block.n * CLASSES
-                hits = np.sqrt(np.bincount(g, minlength=n_gate) + 1.0)
+            if more.any():  # a text's last stretch changes nothing that is still to be read
+                err = one - p
+                hits = np.sqrt(np.bincount(gate, minlength=m * CLASSES) + 1.0)
                 for k in range(ORDERS):
-                    weights[k] += (RATE * 0.125 * np.bincount(g, weights=err * x[k].take(s), minlength=n_gate) / hits).astype(np.float32)
-                seen += np.bincount(hot, minlength=len(seen))
-                ones += np.bincount(hot, weights=up, minlength=len(ones))
-            live, size = live[more], min(2 * size, 1 << 15)
+                    step = RATE * 0.125 * np.bincount(gate, weights=err * x[k], minlength=m * CLASSES) / hits
+                    weights[k] += step.astype(np.float32).reshape(m, CLASSES)
+                seen += np.bincount(bucket, minlength=m * buckets).reshape(m, buckets)
+                ones += np.bincount(bucket, weights=one, minlength=m * buckets).reshape(m, buckets)
+            if not more.all():
+                live, weights, seen, ones = live[more], weights[:, more], seen[more], ones[more]
         return total
 
 

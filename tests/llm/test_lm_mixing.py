@@ -63,3 +63,19 @@ def test_base_counts_and_held_out_bits(spark, monkeypatch):
     share = np.bincount(data) / len(data)
     assert np.mean(bits) < -(share[share > 0] * np.log2(share[share > 0])).sum() - 0.3
     assert lm.score(docs.limit(0), fold != 2).count() == 0
+
+
+def test_every_stretch_teaches_the_next():
+    rows = corpus(40)
+    counts = np.bincount(np.frombuffer("".join(t or "" for _, t in rows).encode(), np.uint8), minlength=257)
+    counts[256] = len(rows)
+    a = lm.Alphabet(counts)
+    tables = lm.Predictors.of(TextBlock.of([t for _, t in rows]), a).tables
+    model, text = lm.Predictors(a, -tables), "abc defg hij " * 15  # predictors that are always wrong: only learning helps
+    assert len(text) < 256
+    rate, lm.RATE = lm.RATE, 0.0
+    try:
+        still = model.cost(TextBlock.of([text]))[0]
+    finally:
+        lm.RATE = rate
+    assert model.cost(TextBlock.of([text]))[0] < still
