@@ -26,7 +26,8 @@ two texts with the threshold's similarity, the rarest shingles that make up
 their own, and all pairs of different classes in a part are compared.
 
 Defined results: a null or empty text is a duplicate of other such texts only;
-rows that share a ``doc_id`` share a class; rows without one have none; an empty table gives no rows; extra
+rows that share a ``doc_id`` share a class, whose
+texts are all compared (ids lie below 2**62); rows without one have none; an empty table gives no rows; extra
 columns of the input are ignored.
 """
 
@@ -355,34 +356,46 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
     return found.unionByName(across(mixed(parts.select("doc_id", "key"), vectors, found), vectors, threshold))
 
 
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``node``, a number for each text of an id: the id, but 2**62 and more (by id and text) where there is no id, and for all but one of the different texts that share one."""
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    several = docs.filter("doc_id is not null").select("doc_id", text.alias("t")).groupBy("doc_id").agg(F.min("t").alias("main"), F.max("t").alias("last")).filter("main <> last")
+    several = written(several.select(F.col("doc_id").alias("several"), "main"), "several")
+    n = several.count()
+    other = F.xxhash64("doc_id", text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    if not n:
+        return docs.withColumn("node", F.coalesce(F.col("doc_id").cast("long"), other))
+    joined = docs.join(F.broadcast(several) if n <= 100_000 else several, F.col("doc_id") == F.col("several"), "left")
+    return joined.withColumn("node", F.when(F.col("doc_id").isNull() | (F.col("main") != text), other).otherwise(F.col("doc_id").cast("long"))).drop("several", "main")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per row: ``doc_id, class_id, copy_of`` (least id with the same text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = input_bytes(docs)
     buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
-    rows, docs = docs, docs.filter("doc_id is not null")
-    d = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int").alias("grp"), text.alias("text"), F.col("doc_id").cast("long"))
+    rows, docs = docs, with_nodes(docs.filter("doc_id is not null").select("doc_id", "text"))
+    d = docs.select(F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("grp"), text.alias("text"), F.col("node").alias("doc_id"))
 
-    base = written(docs.select(F.col("doc_id").cast("long"), F.md5(text.cast("binary")).alias("digest")), "digests")
-    copies = base.groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
-    state = base.join(copies, "digest").select("doc_id", "copy_of")
+    base = written(docs.select(F.col("doc_id").cast("long"), "node", F.md5(text.cast("binary")).alias("digest")), "digests")
+    copies = base.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    state = base.join(copies, "digest").select("doc_id", "node", F.col("first.doc_id").alias("copy_of"), F.col("first.node").alias("copy_node"))
     n_docs = base.count()
 
     freq = d.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_count, _FREQ)
     every = d.groupBy("grp").cogroup(freq.groupBy("grp")).applyInArrow(_vectors(buckets, n_docs, threshold), _VECTOR)
-    firsts = state.filter("doc_id = copy_of").select("doc_id").distinct()
+    firsts = state.filter("node = copy_node").select(F.col("node").alias("doc_id")).distinct()
     each = written(every, "vectors")
     vectors = written(each.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "vectors")
     drop(each)
 
     found = links(vectors, threshold)
     # rows of one doc_id with different texts link those texts' first copies
-    edges = state.filter("doc_id <> copy_of").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
-    repeated = base.groupBy("doc_id").agg(F.countDistinct("digest").alias("n")).filter("n > 1").select("doc_id")
-    tied = edges.join(repeated.withColumnRenamed("doc_id", "a"), "a", "left_semi")
+    repeated = state.filter("node <> doc_id").select("doc_id").distinct()
+    tied = state.join(repeated, "doc_id", "left_semi").filter("doc_id <> copy_node").select(F.col("doc_id").alias("a"), F.col("copy_node").alias("b"))
     found = tied if found is None else found.unionByName(tied)
     classes = components(found)
-    node = classes.select(F.col("doc_id").alias("copy_of"), "class_id")
-    out = state.join(node, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
+    node = classes.select(F.col("doc_id").alias("copy_node"), "class_id")
+    out = state.join(node, "copy_node", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
     none = F.lit(None).cast("long")
     return out.unionByName(rows.filter("doc_id is null").select(none.alias("doc_id"), none.alias("class_id"), none.alias("copy_of")))

@@ -117,3 +117,11 @@ def test_chain_through_a_linked_member(spark):
     # 0 ~ 1, 1 ~ 2, 0 !~ 2; 0 leads, and 1 leaves the only bucket with it
     chain = [dict.fromkeys(range(1 + 8 * i, 101 + 8 * i), 1.0) for i in range(3)]
     assert classes_of(md.links(one_bucket(spark, chain, 1), 0.8)) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_each_text_of_a_shared_id_has_its_near_duplicates(spark):
+    say = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=200))
+    texts = [say(i) for i in range(4)]
+    rows = [(1, t) for t in texts] + [(10 + i, t + " more") for i, t in enumerate(texts)] + [(20, say(9))]
+    got = {(r.doc_id, r.class_id) for r in md.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (20, 20)} | {(10 + i, 1) for i in range(4)}
