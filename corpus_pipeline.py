@@ -29,11 +29,17 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id."""
+    """One document of each near-duplicate class: the one with the least id.
+
+    Different texts that share an id are documents of their own here, and so are texts without an id; all but one text
+    of an id and those without one come after all others, so they are kept only if no other document of their class is.
+    Rows equal in id and text count once, as do rows without an id and with the same text.
+    """
     drop_intermediate(spark)
-    classes = minhash_dedup.near_duplicates(docs.select("doc_id", "text"), 0.8)
-    first = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    nodes = minhash_dedup.with_nodes(docs)
+    classes = minhash_dedup.near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text"), 0.8)
+    first = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("node")).distinct()
+    return nodes.join(first, "node", "left_semi").dropDuplicates(["node"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

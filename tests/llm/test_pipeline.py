@@ -28,3 +28,15 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert passage in seen[3][42].text and passage not in seen[3][43].text
     assert {r.doc_id for r in seen[4]} == set(seen[3])
     assert pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_near_duplicates_keeps_texts_without_id_and_different_texts_of_one_id(spark):
+    say = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=200))
+    rows = [(1, say(1)), (1, say(2)), (1, say(2)), (2, say(1)), (3, say(2) + " more"), (None, say(3)), (None, say(3)), (None, say(4)), (None, say(1)), (4, say(5))]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id or 0, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect())
+    # by its hash text 2 keeps id 1, so the class of text 1 is kept as document 2
+    assert {x for x in kept if x[0] in (0, 4)} == {(0, say(3)), (0, say(4)), (4, say(5))}
+    assert len(kept) == 5
+    assert sorted(x[1][: len(say(1))] == say(1) for x in kept) == [False] * 4 + [True]
+    assert sum(x[1].startswith(say(2)) for x in kept) == 1
