@@ -5,8 +5,8 @@ histogram of remainder lengths (at most ``size - 1`` lengths, whatever the
 corpus) decides the packing.  The linear program "fewest sequences that cover
 the histogram" is solved over patterns; an unbounded-knapsack dynamic program
 prices new patterns from the duals, a revised simplex brings them in, and the
-search ends when the program is optimal or within ``gap`` of the bound that
-total length gives.  Patterns are rounded down, what is left is packed
+search ends, at every size, when no pattern has a price above one, that is when
+the program is optimal.  Patterns are rounded down, what is left is packed
 best-fit, and the k-th document of each length takes the k-th slot that the
 patterns have for that length.  Ranks come from counts per length and hash
 class, so a length that a third of all documents share is ranked in many tasks.
@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .textblock import chunks
 
 #: Documents per hash class in which they are ranked.
 RANKED = 10_000
+#: A column's price above one that counts as an improvement; columns looked at for one knapsack.
+PRICE, POOL = 1e-9, 200
 #: Characters on which all Unicode versions agree how to split; other texts go to the tokenizer whole.
 _ODD = re.compile("[^\x00-\x1b\x20-ſ‐-‧€]")
 
@@ -66,110 +69,121 @@ def _unwind(took: np.ndarray, length: np.ndarray, c: int) -> list[int]:
     return items
 
 
-def start(length: np.ndarray, demand: np.ndarray, size: int) -> tuple[list[list[int]], np.ndarray]:
-    """A basis to begin with: fill a sequence behind the longest length left, as well as the lengths left allow, until one of its lengths is used up.
+def start(length: np.ndarray, demand: np.ndarray, size: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[int]]:
+    """A basis to begin with: patterns (lengths' indices, times), how often each is used, and the length that each one uses up.
 
-    Each pattern uses up a length that no later pattern holds, so the patterns are independent; there are as many as lengths.
+    A sequence is filled behind the longest length left, as well as the lengths left allow, until one of its lengths is
+    used up.  No later pattern holds that length, so the basis is triangular in this order.  Lengths that end together
+    with another one get a pattern of their own, used zero times.
     """
     left = demand.astype(float).copy()
-    patterns, counts = [], []
+    patterns, counts, ended = [], [], []
     while True:
         open_ = np.flatnonzero(left > 0)
         if not len(open_):
-            return patterns, np.array(counts)
+            break
         i = int(open_[-1])
         some = length[open_]
-        best, took = knapsack(some + some * some / (size * size * 4.0), some, size - int(length[i]))
-        pattern = [i, *(int(open_[k]) for k in _unwind(took, some, size - int(length[i])))]
-        items, times = np.unique(pattern, return_counts=True)
+        _, took = knapsack(some + some * some / (size * size * 4.0), some, size - int(length[i]))
+        items, times = np.unique([i, *(int(open_[k]) for k in _unwind(took, some, size - int(length[i])))], return_counts=True)
         ratio = left[items] / times
         k = int(np.argmin(ratio))
-        patterns.append(pattern)
+        patterns.append((items, times))
         counts.append(float(ratio[k]))
+        ended.append(int(items[k]))
         left[items] -= ratio[k] * times
         left[items[k]] = 0
         left[left < 1e-9] = 0
-
-
-def solve(length: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3, most_pivots: int = 400) -> list[tuple[list[int], float]]:
-    """Patterns (indices into ``length``, ascending lengths) and how often each is used."""
+    for i in sorted(set(range(len(length))) - set(ended)):
+        patterns.append((np.array([i]), np.array([size // int(length[i])])))
+        counts.append(0.0)
+        ended.append(i)
+    return patterns, np.array(counts), ended
+
+
+def _inverse(patterns: list[tuple[np.ndarray, np.ndarray]], ended: list[int]) -> np.ndarray:
+    """Inverse of the first basis (rows: patterns, columns: lengths), by substitution."""
+    m = len(patterns)
+    at = np.empty(m, np.int64)
+    at[ended] = np.arange(m)
+    out = np.zeros((m, m))
+    out[np.arange(m), ended] = 1
+    for j, (items, times) in enumerate(patterns):
+        out[j] /= times[items == ended[j]]
+        for i, n in zip(items, times, strict=True):
+            if at[i] != j:
+                out[at[i]] -= n * out[j]
+    return out
+
+
+class Solution(NamedTuple):
+    """Patterns (indices into the lengths, times) and uses; columns brought in; the best price left (1: optimal)."""
+
+    patterns: list[tuple[np.ndarray, np.ndarray]]
+    uses: np.ndarray
+    pivots: int
+    price: float
+
+
+def solve(length: np.ndarray, demand: np.ndarray, size: int) -> Solution:
+    """Fewest sequences that cover the histogram (ascending lengths), fractions allowed: columns are priced and brought in until none improves.
+
+    Demands are raised by up to a millionth each, all differently, so that every step makes the total smaller and the
+    search ends.  Sums are written out instead of matrix products: these arrays are too small to share among the threads
+    of a linear-algebra library, in a process that has others.
+    """
     m = len(length)
-    basis, x = start(length, demand, size)
-    bound = float(demand @ length) / size
-    if len(basis) < m:  # two lengths ended at once: unit patterns complete the basis
-        ended = set()
-        left = demand.astype(float).copy()
-        for p, n in zip(basis, x, strict=True):
-            items, times = np.unique(p, return_counts=True)
-            left[items] -= n * times
-            ended.add(int(items[np.argmin(np.abs(left[items]))]))
-        spare = [i for i in range(m) if i not in ended][: m - len(basis)]
-        basis += [[i] * (size // int(length[i])) for i in spare]
-        x = np.concatenate([x, np.zeros(len(spare))])
-    matrix = np.stack([np.bincount(p, minlength=m) for p in basis], axis=1).astype(float)
-    try:
-        inverse = np.linalg.inv(matrix)
-    except np.linalg.LinAlgError:
-        return list(zip(basis, x.tolist(), strict=True))
-    cost = np.ones(m)
+    raised = demand + 1e-6 * (1 + np.arange(m) * 0.6180339887 % 1)
+    patterns, x, ended = start(length, raised, size)
+    inverse = _inverse(patterns, ended)
+    dual = inverse.sum(axis=0)
     pivots = 0
-    while pivots < most_pivots and x.sum() > bound * (1 + gap):
-        dual = cost @ inverse
+    while True:
         best, took = knapsack(dual, length, size)
-        if best[size] <= 1 + 1e-9:
-            break
-        # one pattern through each length: its value is dual + the best of what is left
-        through = dual + best[size - length]
-        pool = []
-        for i in np.argsort(-through)[:200]:
-            if through[i] > 1 + 1e-9:
-                pool.append([int(i), *_unwind(took, length, size - int(length[i]))])
-        columns = np.array([np.bincount(p, minlength=m).astype(float) for p in {tuple(sorted(p)) for p in pool}])
         used = 0
-        while used < 50:
-            gain = columns @ dual - 1
-            k = int(np.argmax(gain))
-            if gain[k] <= 1e-9:
-                break
-            column = inverse @ columns[k]
-            up = column > 1e-9
-            if not up.any():
-                break
-            ratio = np.full(m, np.inf)
-            ratio[up] = x[up] / column[up]
-            r = int(np.argmin(ratio))
-            step = ratio[r]
-            x = np.maximum(x - step * column, 0)
-            x[r] = step
-            row = inverse[r] / column[r]
-            inverse -= np.outer(column, row)
-            inverse[r] = row
-            basis[r] = np.repeat(np.arange(m), columns[k].astype(int)).tolist()
-            dual = cost @ inverse
-            used += 1
-            pivots += 1
-            if x.sum() <= bound * (1 + gap) or pivots >= most_pivots:
-                break
+        if best[size] > 1 + PRICE:
+            # one pattern through each length: its value is dual + the best of what is left
+            through = dual + best[size - length]
+            pool = {tuple(sorted([int(i), *_unwind(took, length, size - int(length[i]))])) for i in np.argsort(-through)[:POOL] if through[i] > 1 + PRICE}
+            columns = [np.unique(p, return_counts=True) for p in sorted(pool)]
+            while used < POOL:
+                gain = [float((dual[items] * times).sum()) - 1 for items, times in columns]
+                k = int(np.argmax(gain))
+                if gain[k] <= PRICE:
+                    break
+                items, times = columns[k]
+                column = (inverse[:, items] * times).sum(axis=1)
+                up = np.flatnonzero(column > 1e-9)
+                r = int(up[np.argmin(x[up] / column[up])])
+                step = x[r] / column[r]
+                row = inverse[r] / column[r]
+                x = np.maximum(x - step * column, 0)
+                x[r] = step
+                some = np.flatnonzero(column)
+                inverse[some] -= column[some, None] * row
+                inverse[r] = row
+                dual = dual - gain[k] * row
+                patterns[r] = (items, times)
+                used += 1
         if not used:
-            break
-    return list(zip(basis, x.tolist(), strict=True))
+            return Solution(patterns, x, pivots, float(best[size]))
+        pivots += used
+        dual = inverse.sum(axis=0)
 
 
-def plan(histogram: dict[int, int], size: int, gap: float = 1e-3) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
     """Patterns (lengths, longest first) with whole counts that cover the histogram exactly."""
     length = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[int(v)] for v in length], dtype=float)
     out: dict[tuple[int, ...], int] = {}
-    left = dict(zip(length.tolist(), demand.astype(int).tolist(), strict=True))
+    left = {v: int(histogram[v]) for v in length.tolist()}
     if len(length):
-        for items, x in solve(length, demand, size, gap):
-            n = int(x + 1e-9)
-            if not n:
-                continue
-            lengths = tuple(sorted((int(length[i]) for i in items), reverse=True))
-            need = {v: lengths.count(v) for v in set(lengths)}
-            n = min(n, *(left[v] // k for v, k in need.items()))
+        found = solve(length, demand, size)
+        for (items, times), x in zip(found.patterns, found.uses, strict=True):
+            need = dict(zip(length[items].tolist(), times.tolist(), strict=True))
+            n = min(int(x + 1e-3), *(left[v] // k for v, k in need.items()))
             if n:
+                lengths = tuple(v for v in sorted(need, reverse=True) for _ in range(need[v]))
                 out[lengths] = out.get(lengths, 0) + n
                 for v, k in need.items():
                     left[v] -= k * n
@@ -202,12 +216,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def spec_of(content: str) -> dict:
+    """The parsed file; an error if its ids are not the ranks of its merges, which the rank encoder takes them for."""
+    spec = json.loads(content)
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    letters = _byte_letters()
+    if sorted(vocab[c] for c in letters) != list(range(256)):
+        raise ValueError("the first 256 ids of the vocabulary must be the bytes")
+    for i, m in enumerate(merges):
+        if vocab["".join(m.split(" ") if isinstance(m, str) else m)] != 256 + i:
+            raise ValueError(f"merge {i} does not have the id {256 + i}")
+    return spec
+
+
 class Tokens:
-    """Ids of whole texts under a byte-level BPE file of the ``tokenizers`` library.
+    """Ids of whole texts under a byte-level BPE file, as the ``tokenizers`` library gives them without special tokens added.
 
-    In these files a token's id is its merge rank, so the rank encoder of ``tiktoken`` gives the same ids several
-    times faster; texts with characters on which the two libraries' Unicode tables might differ go to the file's own
-    library.
+    In these files a token's id is its merge rank (``spec_of`` checks that), so the rank encoder of ``tiktoken`` gives
+    the same ids several times faster.  Texts that hold a special token's name, which the library takes for that token,
+    and texts with characters on which the two libraries' Unicode tables might differ go to the library itself.
     """
 
     def __init__(self, content: str, pattern: str):
@@ -218,16 +245,16 @@ class Tokens:
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = re.compile("|".join([_ODD.pattern, *(re.escape(t) for t in sorted(special))]))
         self.content, self.own = content, None
 
     def ids(self, text: str) -> list[int]:
-        if not _ODD.search(text):
+        if not self.special.search(text):
             return self.fast(text)
         if self.own is None:
             from tokenizers import Tokenizer
 
             self.own = Tokenizer.from_str(self.content)
-            self.own.encode_special_tokens = True
         return self.own.encode(text, add_special_tokens=False).ids
 
 
@@ -237,7 +264,9 @@ _encoders: dict[int, Tokens] = {}
 def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, size: int, end_id: int = 0) -> DataFrame:
     """Per document: ``doc_id, doc_tokens, crcs`` (of each cut of ``size`` ids, the remainder last).  No shuffle."""
     with open(tokenizer_file) as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    spec_of(content)
+    shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(shared.value)
@@ -259,7 +288,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, size: int,
 # ---------------------------------------------------------------- assignment
 
 
-def pack(pieces: DataFrame, size: int = 1024, gap: float = 1e-3) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     """Place every piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     The driver sees at most ``size`` counts; the slots that it broadcasts are bounded by
@@ -271,7 +300,7 @@ def pack(pieces: DataFrame, size: int = 1024, gap: float = 1e-3) -> DataFrame:
     p = pieces.withColumns({"rest": F.col("doc_tokens") % size, "cls": F.pmod(F.xxhash64("doc_id"), F.lit(classes))})
     counts = p.groupBy("rest", "cls").agg(F.count("*").alias("n"))
     histogram = {r.rest: r.n for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
-    patterns = plan({k: v for k, v in histogram.items() if k}, size, gap)
+    patterns = plan({k: v for k, v in histogram.items() if k}, size)
 
     slots, base, upto = [], 0, dict.fromkeys(histogram, 0)
     for lengths, n in patterns:

@@ -38,7 +38,6 @@ def test_pack_documents(spark):
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, offset int")
     rows = packing.pack_documents(docs, FILE, P.PATTERN).collect()
     tok = Tokenizer.from_file(FILE)
-    tok.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -60,13 +59,60 @@ def test_pack_documents(spark):
     assert packing.pack_documents(docs.limit(0), FILE, P.PATTERN).count() == 0
 
 
-def test_column_generation_improves_on_the_first_basis():
+def made_by(solution, m):
+    out = np.zeros(m)
+    for (items, times), x in zip(solution.patterns, solution.uses, strict=True):
+        out[items] += times * x
+    return out
+
+
+def test_column_generation_ends_at_the_optimum():
     length, demand = np.array([300, 352, 420, 604]), np.array([900.0, 700.0, 800.0, 500.0])
-    _, first = packing.start(length, demand, 1024)
-    solved = packing.solve(length, demand, 1024, gap=0)
-    made = sum(np.bincount(p, minlength=4) * x for p, x in solved)
-    assert np.all(made >= demand - 1e-6)
-    assert sum(x for _, x in solved) <= first.sum() + 1e-9
-    # no pattern prices below zero: the program is optimal
-    best = min(sum(x for _, x in packing.solve(length, demand, 1024, 0, n)) for n in (1, 5, 50))
-    assert abs(best - sum(x for _, x in solved)) < 1e-6
+    _, first, _ = packing.start(length, demand, 1024)
+    solved = packing.solve(length, demand, 1024)
+    assert np.abs(made_by(solved, 4) - demand).max() < 1e-4
+    assert solved.price <= 1 + 1e-8 and solved.uses.sum() <= first.sum() + 1e-4
+    # all patterns at once, solved by enumeration of bases
+    from itertools import combinations, product
+
+    every = [p for p in product(*(range(1024 // v + 1) for v in length)) if any(p) and np.dot(p, length) <= 1024]
+    best = np.inf
+    for some in combinations(every, 4):
+        a = np.array(some, float).T
+        if abs(np.linalg.det(a)) > 1e-9:
+            x = np.linalg.solve(a, demand)
+            if x.min() > -1e-9:
+                best = min(best, x.sum())
+    assert abs(best - solved.uses.sum()) < 1e-4
+
+
+def test_many_lengths_are_priced_to_the_optimum():
+    rng = random.Random(7)
+    for scale in (1, 5, 40):
+        hist = Counter(min(1023, int(rng.lognormvariate(5.5, 0.9)) + 1) for _ in range(scale * 2000))
+        length = np.array(sorted(hist))
+        demand = np.array([hist[int(v)] for v in length], float)
+        solved = packing.solve(length, demand, 1024)
+        assert solved.price <= 1 + 1e-8 and solved.pivots > 0
+        assert np.abs(made_by(solved, len(length)) - demand).max() < 1e-3
+        used = sum(n for _, n in packing.plan(dict(hist), 1024))
+        assert used <= solved.uses.sum() * 1.002 + 60
+
+
+def test_ids_are_checked_against_ranks():
+    import json
+
+    import pytest
+
+    with open(FILE) as f:
+        spec = json.load(f)
+    m = spec["model"]["merges"]
+    m[0], m[1] = m[1], m[0]
+    with pytest.raises(ValueError):
+        packing.spec_of(json.dumps(spec))
+
+
+def test_special_names_are_the_librarys():
+    tok = packing.Tokens(open(FILE).read(), P.PATTERN)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "plain"):
+        assert tok.ids(text) == Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids
