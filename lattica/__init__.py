@@ -6,3 +6,9 @@ scans, partitions, histories and comparisons expressed on DataFrames.
 """
 
 __version__ = "0.1.0"
+
+import os
+
+# Numeric work here runs in many processes at once or on small arrays: one thread each for the linear-algebra library,
+# unless the user says otherwise.  (Takes effect where numpy is not loaded yet.)
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")

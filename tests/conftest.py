@@ -1,8 +1,14 @@
 import os
+import signal
 import sys
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 
+#: Seconds after which a test fails, so that one that hangs does not take the others with it.
+LIMIT = 600
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
@@ -17,9 +23,23 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "3g")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.hookimpl(wrapper=True)
+def pytest_runtest_call(item):
+    def stop(*_):
+        raise TimeoutError(f"{item.nodeid} took more than {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    try:
+        return (yield)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
