@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lets Spark remove an execution's shuffle files when it ends; nothing reads them after a table is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode and a folder in the warehouse on a cluster."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lattica_shared", None)
     if not known:
-        known = getattr(spark, "_lattica_shared", None)
-        if known is None:
-            known = spark._lattica_shared = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        if spark.sparkContext.master.startswith("local"):
+            known = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        else:
+            known = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lattica_shared"
+        spark._lattica_shared = known
     return known.rstrip("/")
 
 
@@ -30,8 +36,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Intermediate tables of this process that are still there.
-_intermediate: list[str] = []
+#: Intermediate tables that are still there: path -> the name under which ``owned`` wrote it, or None.
+_intermediate: dict[str, str | None] = {}
+_owner: list[str | None] = [None]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -41,19 +48,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors.
-
-    Then let Spark clean up: the driver's garbage collections decide when the shuffle files behind a written table go.
-    """
+    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    _intermediate.append(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    _intermediate[path] = _owner[-1]
     out = spark.read.schema(df.schema).parquet(path)
     out._lattica_path = path
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -61,14 +67,24 @@ def drop(df: DataFrame) -> None:
     """Remove a written table that nothing reads any more."""
     path = getattr(df, "_lattica_path", None)
     if path in _intermediate:
-        _intermediate.remove(path)
+        del _intermediate[path]
         _remove(df.sparkSession, path)
 
 
-def drop_intermediate(spark: SparkSession) -> None:
-    """Remove all written tables of this process; for callers that have stored every result they asked for."""
-    while _intermediate:
-        _remove(spark, _intermediate.pop())
+@contextlib.contextmanager
+def owned(spark: SparkSession, name: str) -> Iterator[None]:
+    """Remove the intermediate tables that earlier blocks of this name wrote, and own those written in this one.
+
+    For callers that have stored what they asked for; tables written elsewhere stay until the process ends.
+    """
+    for path in [p for p, owner in _intermediate.items() if owner == name]:
+        del _intermediate[path]
+        _remove(spark, path)
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
 
 
 def input_bytes(df: DataFrame, text: str = "text") -> int:
