@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import minhash_dedup, packing, quality_classifier, quality_rules, suffix_dedup
-from lattica.llm.shared import drop_intermediate, fresh_path
+from lattica.llm.shared import fresh_path, owned
 
 # A stage begins once the output of the one before is written, so it first removes the intermediate tables behind that.
 
@@ -19,12 +19,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts have fewer than ten words and go; repeated rows and rows without an id are judged one by one; an empty table stays empty.
+    """
     return quality_rules.keep(docs, "v1").select(*COLUMNS)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier keeps."""
+    """Documents that the weak-label classifier keeps.
+
+    Null and empty texts score 0 and go; repeated rows and rows without an id are judged one by one; an empty table stays empty.
+    """
     return quality_classifier.keep(docs).select(*COLUMNS)
 
 
@@ -35,26 +41,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of an id and those without one come after all others, so they are kept only if no other document of their class is.
     Rows equal in id and text count once, as do rows without an id and with the same text.
     """
-    drop_intermediate(spark)
-    nodes = minhash_dedup.with_nodes(docs)
-    classes = minhash_dedup.near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text"), 0.8)
+    with owned(spark, "pipeline"):
+        nodes = minhash_dedup.with_nodes(docs)
+        classes = minhash_dedup.near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text"), 0.8)
     first = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("node")).distinct()
     return nodes.join(first, "node", "left_semi").dropDuplicates(["node"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 bytes or more that a document with a smaller id has; emptied documents go."""
-    drop_intermediate(spark)
-    cut = suffix_dedup.without_repeats(docs)
+    """Texts without the passages of 50 bytes or more that a document with a smaller id has; emptied documents go.
+
+    Rows without an id keep their texts; a character that a cut splits goes whole.
+    """
+    with owned(spark, "pipeline"):
+        cut = suffix_dedup.without_repeats(docs)
     return cut.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 1024 ids."""
-    drop_intermediate(spark)
+    """Pieces of token sequences of at most 1024 ids.
+
+    Every row that is left is packed, also one without an id; an empty table gives no pieces.
+    """
     import public_tokenizers as tok
 
-    return packing.pack_documents(docs, tok.path("byte_bpe_50k.json"), tok.PATTERN)
+    with owned(spark, "pipeline"):
+        return packing.pack_documents(docs, tok.path("byte_bpe_50k.json"), tok.PATTERN)
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("minhash_dedup", near_duplicates), ("suffix_dedup", repeated_passages), ("packing", packed)]
