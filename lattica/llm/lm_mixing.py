@@ -34,10 +34,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import input_bytes, written
-from .textblock import LOWER, SPACE, TextBlock, chunks, mix, order_in_cells, trim
+from .shared import group_of, text_stats, written
+from .textblock import LOWER, SPACE, TextBlock, chunks, local_groups, mix, order_in_cells, trim
 
-BUCKET_BYTES, GROUP_BYTES, GATHER = 12 << 20, 8 << 20, 1_500_000
+#: Text bytes per bucket of words and per group of documents; words a map task gathers before it sends.
+BUCKET_BYTES, GROUP_BYTES, GATHER = 20 << 20, 14 << 20, 1_500_000
 #: Classes of bytes; bits of a table's slots, and of the slices in which tables are summed.
 CLASSES, SLOT_BITS, SLICE_BITS = 64, 24, 4
 SLICES = 1 << SLICE_BITS
@@ -256,9 +257,9 @@ def _send(buckets: int):
     names = [f.split()[0] for f in _SENT.split(", ")]
     row = lambda b, *blobs: pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names)
 
-    def rows(grp, h, train):
+    def rows(names_of, grp, h, train):
         b = _bucket(h, buckets)
-        o = order_in_cells(b * (int(grp.max()) + 1) + grp, h)
+        o = order_in_cells(b * len(names_of) + grp, h)
         b, grp, h, train = b[o], grp[o], h[o], train[o]
         new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (grp[1:] != grp[:-1]) | (h[1:] != h[:-1])])
         counts = np.add.reduceat(train.astype(np.int64), new)
@@ -270,10 +271,10 @@ def _send(buckets: int):
                 part = grp[lo:hi]  # ascending
                 at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 u, size = part[at], np.diff(np.r_[at, len(part)])
-                yield row(i, u.astype("<i4").tobytes(), size.astype("<u4").tobytes(), _six(h[lo:hi]), counts[lo:hi].astype("<u4").tobytes())
+                yield row(i, names_of[u].astype("<i4").tobytes(), size.astype("<u4").tobytes(), _six(h[lo:hi]), counts[lo:hi].astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, seen = [], 0, np.zeros(257, np.int64)
+        parts, held, seen, met = [], 0, np.zeros(257, np.int64), {}
         for part in chunks(batches):
             low = TextBlock.from_arrow(part.column(1)).lowered()
             train = np.array(part.column(2).to_pylist(), bool)
@@ -281,14 +282,14 @@ def _send(buckets: int):
             seen[256] += train.sum()
             doc, h = _words(low)
             if len(h):
-                parts.append((part.column(0).to_numpy()[doc], h, train[doc]))
+                parts.append((local_groups(part.column(0), met)[doc], h, train[doc]))
                 held += len(h)
             if held > GATHER:
-                yield from rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                parts, held = [], 0
+                yield from rows(np.array(list(met)), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts, held, met = [], 0, {}
                 trim()
         if parts:
-            yield from rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from rows(np.array(list(met)), *(np.concatenate(x) for x in zip(*parts, strict=True)))
         yield row(-1, b"", b"", b"", seen.astype("<i8").tobytes())
 
     return run
@@ -410,9 +411,9 @@ def _score(shared, buckets: int, n_train: int):
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """Per row: ``doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``; learns from rows where ``train``."""
     spark = docs.sparkSession
-    size = input_bytes(docs)
-    buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
-    grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int")
+    n_rows, size = text_stats(docs)
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    grp = group_of(docs, n_rows, size, GROUP_BYTES)
     d = docs.select(grp.alias("grp"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.col("doc_id").cast("long"))
 
     freq = written(d.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_count, _FREQ), "counts")

@@ -14,16 +14,23 @@ no partner and is neither sampled nor compared; vectors leave such shingles
 out but count their weight.
 
 Exact copies count as links of the first copy and are not compared.  Two texts
-that share a band bucket and reach the threshold always end in one class.  In a
-bucket the members are first compared with a leader (the least id in even bands,
-the least hashed id in odd ones); those that are not linked to it choose leaders
-among themselves in ``ROUNDS`` rounds, each linear in the members.  Buckets that
-then still hold several classes are finished exactly: where at most ``FAN``
-members stand outside the largest class, these are compared with every member of
-another class; other buckets are first split by the members' rarest shingles (of
-two texts with the threshold's similarity, the rarest shingles that make up
-``1 - threshold`` of each one's weight have one in common), get leader rounds of
-their own, and all pairs of different classes in a part are compared.
+that share a band bucket and reach the threshold always end in one class,
+without all pairs of the bucket: its members are compared with a leader (the
+least id in even bands, the least hashed id in odd ones), and one minus the
+weighted Jaccard similarity is a metric.  A member further than twice
+``1 - threshold`` from the leader is therefore similar to none that is linked to
+it, and one that is nearer but not linked only to those linked ones whose
+distance from the leader is within ``1 - threshold`` of its own; it is compared
+with these unless it is in the leader's class by then.  Members that are not
+linked choose a leader among themselves, in ``ROUNDS`` rounds, each linear in the
+members.  What is then left of a bucket is compared pair by pair up to ``FAN``
+members; larger remainders are split by the members' rarest shingles (of two
+texts with the threshold's similarity, the rarest shingles that make up
+``1 - threshold`` of each one's weight have one in common), and the parts get
+leader rounds of their own and are then finished pair by pair.
+
+Documents are dealt to groups by their place in the files, so a shingle that
+all texts have is told once per group of some megabytes, not once per text.
 
 Defined results: a null or empty text is a duplicate of other such texts only;
 rows that share a ``doc_id`` share a class, whose
@@ -41,14 +48,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, input_bytes, written
-from .textblock import TextBlock, chunks, mix, order_in_cells, trim, windows
+from .shared import drop, group_of, text_stats, written
+from .textblock import TextBlock, chunks, local_groups, mix, order_in_cells, trim, windows
 
 WIDTH, BANDS, ROWS, DAMP, ROUNDS = 5, 10, 3, 0.1, 3
-#: Members outside a bucket's largest class up to which the bucket is not split.
-FAN = 16
-#: Input bytes per bucket of hashes and per group of documents; shingles a map task gathers before it sends.
-BUCKET_BYTES, GROUP_BYTES, GATHER = 6 << 20, 8 << 20, 1_000_000
+#: Members left after the leader rounds up to which a bucket is not split; parts in which rows of one text are dealt.
+FAN, SALTS = 16, 8
+#: Text bytes per bucket of hashes and per group of documents; shingles a map task gathers before it sends.
+BUCKET_BYTES, GROUP_BYTES, GATHER = 10 << 20, 14 << 20, 1_000_000
 
 # ---------------------------------------------------------------- shingles and samples
 
@@ -165,9 +172,9 @@ _SENT = "bucket int, grps binary, sizes binary, hashes binary, counts binary"
 def _send(buckets: int):
     """Map over texts: per bucket and group of documents, each shingle once with its number of texts in the task."""
 
-    def rows(grp, h):
+    def rows(names_of, grp, h):
         b = _bucket(h, buckets)
-        o = order_in_cells(b * (int(grp.max()) + 1) + grp, h)
+        o = order_in_cells(b * len(names_of) + grp, h)
         b, grp, h = b[o], grp[o], h[o]
         new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (grp[1:] != grp[:-1]) | (h[1:] != h[:-1])])
         counts = np.diff(np.r_[new, len(h)])
@@ -179,22 +186,22 @@ def _send(buckets: int):
                 part = grp[lo:hi]  # ascending
                 at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 u, size = part[at], np.diff(np.r_[at, len(part)])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in (u.astype("<i4").tobytes(), size.astype("<u4").tobytes(), _five(h[lo:hi]), counts[lo:hi].astype("<u4").tobytes()))], [f.split()[0] for f in _SENT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in (names_of[u].astype("<i4").tobytes(), size.astype("<u4").tobytes(), _five(h[lo:hi]), counts[lo:hi].astype("<u4").tobytes()))], [f.split()[0] for f in _SENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, met = [], 0, {}
         for part in chunks(batches):
             doc, h, _ = shingles(TextBlock.from_arrow(part.column(1)))
             if not len(h):
                 continue
-            parts.append((part.column(0).to_numpy()[doc], h))
+            parts.append((local_groups(part.column(0), met)[doc], h))
             held += len(h)
             if held > GATHER:
-                yield from rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                parts, held = [], 0
+                yield from rows(np.array(list(met)), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts, held, met = [], 0, {}
                 trim()
         if parts:
-            yield from rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from rows(np.array(list(met)), *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return run
 
@@ -218,7 +225,7 @@ def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     h, grp, df = h[o], grp[o], df[o]
     u, first = np.unique(grp, return_index=True)
     ends = np.r_[first[1:], len(grp)]
-    return pa.table([pa.array(u.astype(np.int32)), pa.array(np.full(len(u), key[0].as_py(), np.int32)), pa.array([_five(h[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([df[a:b].astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], [f.split()[0] for f in _FREQ.split(", ")])
+    return pa.table([pa.array(u.astype(np.int32)), pa.array(np.full(len(u), key[0].as_py(), np.int32)), pa.array([_five(h[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([np.minimum(df[a:b], 2**32 - 1).astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], [f.split()[0] for f in _FREQ.split(", ")])
 
 
 _VECTOR = "doc_id long, total double, vec binary, keys array<long>, rare array<int>"
@@ -300,60 +307,90 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("id").alias("doc_id"), F.col("label").alias("class_id"))
 
 
-def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame | None:
-    """Verified links ``a, b`` with the leaders of ``ROUNDS`` rounds in the cells of ``open_(doc_id, band, key)``; None if no cell has two members."""
-    found = None
+#: Rounding of similarities from four-byte weights.
+SLACK = 1e-5
+
+
+def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """``ROUNDS`` rounds of leaders in the cells of ``open_(doc_id, band, key)``.
+
+    Verified links ``a, b``; the cells of each round with members' similarities to the leader (``key, leader, doc_id,
+    similarity``); and the members that are still open (``doc_id, band, key``), if there can be any.
+    """
+    found, placed = [], []
     for turn in range(ROUNDS):
         # another leader in every round: the least id or, in odd bands and later rounds, the least hash
         order = F.when((F.col("band") % 2 == 0) & F.lit(turn == 0), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "band", F.lit(turn)))
         heads = open_.groupBy("key", "band").agg(F.min_by("doc_id", order).alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
         member = written(open_.join(heads, "key").filter("doc_id <> leader"), "members")
-        pairs = member.select("doc_id", "leader")
-        if not pairs.limit(1).count():
-            break
-        sure = written(verified(pairs, vectors).filter(F.col("similarity") >= threshold), "links")
-        edges = sure.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-        found = edges if found is None else found.unionByName(edges)
-        open_ = member.join(sure.select("doc_id", "leader"), ["doc_id", "leader"], "left_anti").select("doc_id", "band", "key")
-    return found
-
-
-def mixed(cells: DataFrame, vectors: DataFrame, found: DataFrame) -> DataFrame:
-    """Of ``cells(doc_id, key)``, the members of those that hold several classes by ``found``: also ``total, label, top`` (the cell's largest class) and ``others`` (members outside it)."""
-    known = components(found).withColumnRenamed("class_id", "label")
-    m = cells.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    sizes = m.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
-    return written(m.join(sizes, "key").join(vectors.select("doc_id", "total"), "doc_id"), "mixed")
-
-
-def across(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Verified links ``a, b`` among all pairs of different classes in a cell of ``mixed`` (whole weights further apart than the threshold cannot reach it)."""
-    a = members.filter("label <> top").select("key", "doc_id", "label", "total")
-    b = members.select("key", F.col("doc_id").alias("leader"), F.col("label").alias("l_label"), F.col("total").alias("l_total"), "top")
+        if not member.limit(1).count():
+            return found, placed, None
+        alike = written(verified(member.select("doc_id", "leader"), vectors), "similarities")
+        found.append(alike.filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
+        cells = written(member.join(alike, ["doc_id", "leader"]), "cells")
+        placed.append(cells.select("key", "leader", "doc_id", "similarity"))
+        open_ = cells.filter(F.col("similarity") < threshold).select("doc_id", "band", "key")
+    return found, placed, open_
+
+
+def labelled(rows: DataFrame, known: DataFrame, of: str, name: str) -> DataFrame:
+    """``rows`` with the class of column ``of``: its component, or itself."""
+    k = known.select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class"))
+    return rows.join(k, rows[of] == k["_id"], "left").withColumn(name, F.coalesce("_class", of)).drop("_id", "_class")
+
+
+def beside_leaders(placed: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``doc_id, leader`` of a member linked to a cell's leader and one that is not, but may be similar to it and is in another class."""
+    far = 1 - threshold
+    shell = placed.filter((F.col("similarity") < threshold) & (1 - F.col("similarity") <= 2 * far + SLACK))
+    shell = labelled(labelled(shell, known, "doc_id", "label"), known, "leader", "l_label").filter("label <> l_label")
+    shell = written(shell.select("key", "leader", F.col("doc_id").alias("other"), (1 - F.col("similarity")).alias("away")), "shells")
+    linked = placed.filter(F.col("similarity") >= threshold).select("key", "leader", "doc_id", (1 - F.col("similarity")).alias("near"))
+    pairs = shell.join(linked, ["key", "leader"]).filter(F.col("near") >= F.col("away") - (far + SLACK))
+    return pairs.select("doc_id", F.col("other").alias("leader"))
+
+
+def within(cells: DataFrame, known: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """All pairs ``doc_id, leader`` of different classes in a cell (whole weights further apart than the threshold cannot reach it)."""
+    m = labelled(cells.select("doc_id", "key"), known, "doc_id", "label")
+    several = m.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    a = written(m.join(several, "key").join(vectors.select("doc_id", "total"), "doc_id"), "open")
+    b = a.select("key", F.col("doc_id").alias("leader"), F.col("label").alias("l_label"), F.col("total").alias("l_total"))
     near = F.least("total", "l_total") >= threshold * (1 - 1e-6) * F.greatest("total", "l_total")
-    pairs = a.join(b, "key").filter((F.col("label") != F.col("l_label")) & ((F.col("l_label") == F.col("top")) | (F.col("doc_id") < F.col("leader"))) & near)
-    sure = verified(pairs.select("doc_id", "leader"), vectors).filter(F.col("similarity") >= threshold)
-    return written(sure.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), "links")
+    return a.join(b, "key").filter((F.col("doc_id") < F.col("leader")) & (F.col("label") != F.col("l_label")) & near).select("doc_id", "leader")
 
 
 def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
     """Verified links ``a, b``: texts that share a band bucket and reach the threshold are connected by them."""
-    bands = vectors.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    found = leaders(bands, vectors, threshold)
-    if found is None:
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def sure(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, vectors).filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+
+    found, placed, open_ = leaders(vectors.select("doc_id", F.posexplode("keys").alias("band", "key")), vectors, threshold)
+    if not found:
         return None
-    left = mixed(bands.select("doc_id", "key"), vectors, found)
-    found = found.unionByName(across(left.filter(F.col("others") <= FAN), vectors, threshold))
-    large = left.filter(F.col("others") > FAN).select("doc_id", "key")
-    if not large.limit(1).count():
-        return found
-    parts = large.join(vectors.select("doc_id", F.explode("rare").alias("token")), "doc_id").select("doc_id", F.lit(0).alias("band"), F.xxhash64("key", "token").alias("key"))
-    parts = written(parts, "parts")
-    more = leaders(parts, vectors, threshold)
-    if more is None:
-        return found
-    found = found.unionByName(more)
-    return found.unionByName(across(mixed(parts.select("doc_id", "key"), vectors, found), vectors, threshold))
+    known, pairs = components(union(found)), []
+    if open_ is not None:
+        size = open_.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        open_ = written(open_.join(size, "key"), "left")
+        large = open_.filter(F.col("n") > FAN).select("doc_id", "key")
+        if large.limit(1).count():
+            parts = large.join(vectors.select("doc_id", F.explode("rare").alias("token")), "doc_id").select("doc_id", F.lit(0).alias("band"), F.xxhash64("key", "token").alias("key"))
+            more, beside, rest = leaders(written(parts, "parts"), vectors, threshold)
+            found, placed = found + more, placed + beside
+            if more:
+                known = components(union(found))
+            if rest is not None:
+                pairs.append(within(rest, known, vectors, threshold))
+        pairs.append(within(open_.filter(F.col("n") <= FAN), known, vectors, threshold))
+    pairs.append(beside_leaders(union(placed), known, threshold))
+    return union([*found, written(sure(union(pairs)), "links")])
 
 
 def with_nodes(docs: DataFrame) -> DataFrame:
@@ -372,15 +409,22 @@ def with_nodes(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per row: ``doc_id, class_id, copy_of`` (least id with the same text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = input_bytes(docs)
-    buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
-    rows, docs = docs, with_nodes(docs.filter("doc_id is not null").select("doc_id", "text"))
-    d = docs.select(F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("grp"), text.alias("text"), F.col("node").alias("doc_id"))
+    n_rows, size = text_stats(docs)
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    rows = docs
+    docs = with_nodes(docs.filter("doc_id is not null").select("doc_id", "text", group_of(docs, n_rows, size, GROUP_BYTES).alias("grp")))
+    d = docs.select("grp", text.alias("text"), F.col("node").alias("doc_id"))
 
     base = written(docs.select(F.col("doc_id").cast("long"), "node", F.md5(text.cast("binary")).alias("digest")), "digests")
-    copies = base.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("first"))
-    state = base.join(copies, "digest").select("doc_id", "node", F.col("first.doc_id").alias("copy_of"), F.col("first.node").alias("copy_node"))
-    n_docs = base.count()
+    # texts that several rows have; their rows are dealt to SALTS parts, so that a text of very many rows is no one task's
+    several = base.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    several = several.select(F.col("digest").alias("s_digest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s_salt"), "first")
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(several, (F.col("digest") == F.col("s_digest")) & (F.col("salt") == F.col("s_salt")), "left")
+    state = joined.select("doc_id", "node", F.coalesce("first.doc_id", "doc_id").alias("copy_of"), F.coalesce("first.node", "node").alias("copy_node"))
+    state = written(state, "state")
+    drop(base)
+    n_docs = state.count()
 
     freq = d.mapInArrow(_send(buckets), _SENT).groupBy("bucket").applyInArrow(_count, _FREQ)
     every = d.groupBy("grp").cogroup(freq.groupBy("grp")).applyInArrow(_vectors(buckets, n_docs, threshold), _VECTOR)

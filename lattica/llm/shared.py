@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lets Spark remove an execution's shuffle files when it ends; nothing reads them after a table is written.
@@ -87,12 +89,31 @@ def owned(spark: SparkSession, name: str) -> Iterator[None]:
         _owner.pop()
 
 
-def input_bytes(df: DataFrame, text: str = "text") -> int:
-    """Catalyst's size estimate of a scan (file bytes), at least 1; where it has none, the bytes of the texts."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 58:
-        size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    return max(1, size)
+def text_stats(df: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Rows, and bytes of their texts."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return n, size
+
+
+def group_of(df: DataFrame, rows: int, size: int, group_bytes: int, text: str = "text") -> Column:
+    """A number for the group of documents of each row, for groups of about ``group_bytes`` of text, the same in every job.
+
+    Rows that stand next to each other in a Parquet file form a group, so a task that reads them meets few groups, and
+    a word that every text has is told once per group.  Texts of four times the mean length or more, sixteen times, and
+    so on form smaller groups by themselves, which bounds a group at four times ``group_bytes`` or one text, whatever
+    the order of the rows.  (Two groups in four billion pairs get one number.)  Where rows do not come straight from
+    files, they are dealt by a hash.
+    """
+    mean = max(1.0, size / max(1, rows))
+    per = max(1.0, group_bytes / mean)
+    long = F.greatest(F.lit(0.0), F.floor(F.log(4.0, F.greatest(F.octet_length(text), F.lit(1)) / F.lit(mean))))
+    long = F.coalesce(long, F.lit(0.0)).cast("int")
+    block = F.col("_metadata.row_index") / F.greatest(F.lit(1.0), F.lit(per) / F.pow(F.lit(4.0), long))
+    try:
+        df.select(block)
+        return F.xxhash64(F.col("_metadata.file_path"), long, F.floor(block)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    except AnalysisException:
+        return F.pmod(F.xxhash64(F.octet_length(text), F.xxhash64(text)), F.lit(max(1, math.ceil(size / group_bytes)))).cast("int")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,12 +40,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, input_bytes, written
+from .shared import drop, group_of, text_stats, written
 from .textblock import TextBlock, chunks, mix, trim
 
 MATCH, GRAM = 50, 20
-#: Input bytes per bucket of anchors and per group of documents, bytes of runs per shard, runs an anchor may have in one shard.
-BUCKET_BYTES, GROUP_BYTES, SHARD_BYTES, HOT = 8 << 20, 8 << 20, 1 << 20, 4096
+#: Text bytes per bucket of anchors and per group of documents, bytes of runs per shard, runs an anchor may have in one shard.
+BUCKET_BYTES, GROUP_BYTES, SHARD_BYTES, HOT = 14 << 20, 14 << 20, 1 << 20, 4096
 #: Anchors a map task gathers before it sends them on.
 GATHER = 700_000
 
@@ -543,9 +543,9 @@ def _finish(texts_too: bool):
 def _results(docs: DataFrame, texts_too: bool) -> DataFrame:
     """``doc_id, tag, n_removed, n_spans, kept_sha256, kept[, row]``: of the texts in which something was found, or of all rows with an id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = input_bytes(docs)
-    buckets, groups = max(1, math.ceil(size / BUCKET_BYTES)), max(1, math.ceil(size / GROUP_BYTES))
-    grp = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int")
+    n_rows, size = text_stats(docs)
+    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    grp = group_of(docs, n_rows, size, GROUP_BYTES)
     own = [F.col("doc_id").cast("long"), _tag(text).alias("tag"), grp.alias("grp"), text.alias("text")]
     has = docs.filter("doc_id is not null")
     d = has.select(*own)

@@ -197,6 +197,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             at = to
 
 
+def local_groups(column, met: dict[int, int]) -> np.ndarray:
+    """Numbers 0, 1, ... for groups, in the order in which ``met`` first has them."""
+    u, inverse = np.unique(column.to_numpy(), return_inverse=True)
+    return np.array([met.setdefault(int(g), len(met)) for g in u], np.int64)[inverse]
+
+
 def first_in_group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stable order of keys, and a mark at the first of each run of equal keys in that order."""
     order = np.argsort(keys, kind="stable")
