@@ -311,26 +311,24 @@ def components(edges: DataFrame) -> DataFrame:
 SLACK = 1e-5
 
 
-def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame | None]:
     """``ROUNDS`` rounds of leaders in the cells of ``open_(doc_id, band, key)``.
 
-    Verified links ``a, b``; the cells of each round with members' similarities to the leader (``key, leader, doc_id,
-    similarity``); and the members that are still open (``doc_id, band, key``), if there can be any.
+    Of each round, members' similarities to their leaders (``doc_id, leader, similarity``, each pair once); and the
+    members that are still open (``doc_id, band, key``), if there can be any.
     """
-    found, placed = [], []
+    compared = []
     for turn in range(ROUNDS):
         # another leader in every round: the least id or, in odd bands and later rounds, the least hash
         order = F.when((F.col("band") % 2 == 0) & F.lit(turn == 0), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "band", F.lit(turn)))
         heads = open_.groupBy("key", "band").agg(F.min_by("doc_id", order).alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
         member = written(open_.join(heads, "key").filter("doc_id <> leader"), "members")
         if not member.limit(1).count():
-            return found, placed, None
-        alike = written(verified(member.select("doc_id", "leader"), vectors), "similarities")
-        found.append(alike.filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
-        cells = written(member.join(alike, ["doc_id", "leader"]), "cells")
-        placed.append(cells.select("key", "leader", "doc_id", "similarity"))
-        open_ = cells.filter(F.col("similarity") < threshold).select("doc_id", "band", "key")
-    return found, placed, open_
+            return compared, None
+        compared.append(written(verified(member.select("doc_id", "leader"), vectors), "similarities"))
+        sure = compared[-1].filter(F.col("similarity") >= threshold).select("doc_id", "leader")
+        open_ = member.join(sure, ["doc_id", "leader"], "left_anti").select("doc_id", "band", "key")
+    return compared, open_
 
 
 def labelled(rows: DataFrame, known: DataFrame, of: str, name: str) -> DataFrame:
@@ -339,14 +337,14 @@ def labelled(rows: DataFrame, known: DataFrame, of: str, name: str) -> DataFrame
     return rows.join(k, rows[of] == k["_id"], "left").withColumn(name, F.coalesce("_class", of)).drop("_id", "_class")
 
 
-def beside_leaders(placed: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``doc_id, leader`` of a member linked to a cell's leader and one that is not, but may be similar to it and is in another class."""
+def beside_leaders(compared: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``doc_id, leader`` of a text linked to a leader and one that is not, but may be similar to it and is not in the leader's class."""
     far = 1 - threshold
-    shell = placed.filter((F.col("similarity") < threshold) & (1 - F.col("similarity") <= 2 * far + SLACK))
+    shell = compared.filter((F.col("similarity") < threshold) & (1 - F.col("similarity") <= 2 * far + SLACK))
     shell = labelled(labelled(shell, known, "doc_id", "label"), known, "leader", "l_label").filter("label <> l_label")
-    shell = written(shell.select("key", "leader", F.col("doc_id").alias("other"), (1 - F.col("similarity")).alias("away")), "shells")
-    linked = placed.filter(F.col("similarity") >= threshold).select("key", "leader", "doc_id", (1 - F.col("similarity")).alias("near"))
-    pairs = shell.join(linked, ["key", "leader"]).filter(F.col("near") >= F.col("away") - (far + SLACK))
+    shell = written(shell.select("leader", F.col("doc_id").alias("other"), (1 - F.col("similarity")).alias("away")).distinct(), "shells")
+    linked = compared.filter(F.col("similarity") >= threshold).select("leader", "doc_id", (1 - F.col("similarity")).alias("near")).distinct()
+    pairs = shell.join(linked, "leader").filter(F.col("near") >= F.col("away") - (far + SLACK))
     return pairs.select("doc_id", F.col("other").alias("leader"))
 
 
@@ -369,28 +367,29 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
             out = out.unionByName(f)
         return out
 
-    def sure(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, vectors).filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    def linked(compared: list[DataFrame]) -> DataFrame:
+        return union(compared).filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
 
-    found, placed, open_ = leaders(vectors.select("doc_id", F.posexplode("keys").alias("band", "key")), vectors, threshold)
-    if not found:
+    compared, open_ = leaders(vectors.select("doc_id", F.posexplode("keys").alias("band", "key")), vectors, threshold)
+    if not compared:
         return None
-    known, pairs = components(union(found)), []
+    known, pairs = components(linked(compared)), []
     if open_ is not None:
         size = open_.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         open_ = written(open_.join(size, "key"), "left")
         large = open_.filter(F.col("n") > FAN).select("doc_id", "key")
         if large.limit(1).count():
             parts = large.join(vectors.select("doc_id", F.explode("rare").alias("token")), "doc_id").select("doc_id", F.lit(0).alias("band"), F.xxhash64("key", "token").alias("key"))
-            more, beside, rest = leaders(written(parts, "parts"), vectors, threshold)
-            found, placed = found + more, placed + beside
+            more, rest = leaders(written(parts, "parts"), vectors, threshold)
             if more:
-                known = components(union(found))
+                compared += more
+                known = components(linked(compared))
             if rest is not None:
                 pairs.append(within(rest, known, vectors, threshold))
         pairs.append(within(open_.filter(F.col("n") <= FAN), known, vectors, threshold))
-    pairs.append(beside_leaders(union(placed), known, threshold))
-    return union([*found, written(sure(union(pairs)), "links")])
+    pairs.append(beside_leaders(union(compared), known, threshold))
+    late = verified(union(pairs), vectors).filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    return union([linked(compared), written(late, "links")])
 
 
 def with_nodes(docs: DataFrame) -> DataFrame:
