@@ -1,20 +1,26 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Texts (A-Z in lower case, then an end sign) are coded as bits: each byte is one
-of 64 classes (end, the 62 most frequent bytes, others), each class a path in a
-Huffman tree.  Predictors keep, per hashed context and tree node, the log-odds
-of the bit in the training texts: two bytes back, four bytes back, and the word
-so far.  A mixer adds them with weights gated by tree node; the weights follow
-the gradient of the coding cost while a text is read, and the mixed probability
-is refined by an adaptive map from predicted to seen frequencies.  Both learn
-from every symbol, at the end of each stretch of ``STRETCH`` symbols, and start
-anew for every text, so a score depends on nothing but the text and the model.
-The result is the text's log10 probability (and bits per byte).
-
-The context tables have a fixed size (they are what is broadcast) and are
-summed over all training texts.  The unigram base scores use exact counts of
-every token: map tasks send each word hash once per group of documents,
-buckets add up, and counts return to the groups; that grows with the input.
+Texts (A-Z in lower case, then an end sign) are coded as bits: each byte is a
+path in a Huffman tree of the 256 byte values, of which 0xFF, which UTF-8 does
+not use, is the end sign.  Predictors keep, per hashed context and tree node,
+the log-odds of the bit in the training texts: two bytes back, four bytes back,
+and the word so far.  A mixer adds them with weights gated by tree node; the
+weights follow the gradient of the coding cost while a text is read, and the
+mixed probability is refined by an adaptive map from predicted to seen
+frequencies.  Both learn from every symbol, at the end of each stretch of
+``STRETCH`` symbols, and start anew for every text, so a score depends on
+nothing but the text and the model.  What is learned online are the weights and
+the map; the predictors' counts are those of the training texts.
+
+A last predictor says whole words: the bits of a word and of the space or end
+after it are mixed with the word's share of all training tokens, at rates
+(``WORD_RATES``) among which each text's own words decide.  The result is the
+text's log10 probability (and bits per byte).
+
+The words' exact counts grow with the input: map tasks send each word hash once
+per group of documents, buckets add up, and counts return to the groups; the
+unigram base scores use them too.  The context tables have a fixed size (they
+are what is broadcast) and are summed over all training texts.
 
 Defined results: null and empty texts are the end sign alone; where ``train``
 is null (no ``doc_id``) a row is held out; repeated rows
@@ -30,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,39 +46,40 @@ from .textblock import LOWER, SPACE, TextBlock, chunks, local_groups, mix, order
 
 #: Text bytes per bucket of words and per group of documents; words a map task gathers before it sends.
 BUCKET_BYTES, GROUP_BYTES, GATHER = 20 << 20, 14 << 20, 1_500_000
-#: Classes of bytes; bits of a table's slots, and of the slices in which tables are summed.
-CLASSES, SLOT_BITS, SLICE_BITS = 64, 24, 4
+#: Byte values; bits of a table's slots, and of the slices in which tables are summed.
+CLASSES, SLOT_BITS, SLICE_BITS = 256, 24, 4
 SLICES = 1 << SLICE_BITS
 IN_SLICE = 1 << (SLOT_BITS - SLICE_BITS)
-#: (A node's slot is its context's with the node's number turned into the last bits: one cache line for a context.)
-END, OTHER = 0, CLASSES - 1
+#: (A node's slot is its context's with the node's number turned into the last bits.)
+END = 255
 ORDERS = 3
-#: The mixer's first weights, its rate, and the symbols it reads before it learns from them.
-FIRST, RATE, STRETCH = (0.25, 0.50, 0.45), 0.02, 32
+#: Gates of the mixer (the most frequent nodes have one each, the others share the last), its first weights, its rate,
+#: the symbols it reads before it learns from them, and buckets of the adaptive map.
+GATES, FIRST, RATE, STRETCH, BUCKETS = 32, (0.25, 0.50, 0.45), 0.02, 32, 48
+#: Bits that are looked up at once.
+WINDOW = 100_000
+#: Rates at which whole words are mixed in, and what each is given beforehand.
+WORD_RATES, WORD_PRIOR = (0.01, 0.05, 0.2), (0.4, 0.4, 0.2)
 _LN10 = math.log(10)
 
 # ---------------------------------------------------------------- alphabet and tree
 
 
 class Alphabet:
-    """Classes of bytes and their Huffman paths, from byte counts of the training texts (256, and texts)."""
+    """Huffman paths of byte values, from byte counts of the training texts (256, and texts)."""
 
     def __init__(self, counts: np.ndarray):
         counts = counts.astype(np.int64)
-        top = np.argsort(-counts[:256], kind="stable")[: CLASSES - 2]
-        self.of = np.full(256, OTHER, np.uint8)
-        self.of[top] = np.arange(1, CLASSES - 1)
-        rest = np.flatnonzero(self.of == OTHER)
-        self.other_cost = np.zeros(256)
-        self.other_cost[rest] = -np.log((counts[rest] + 1) / (counts[rest].sum() + len(rest)))
-        weight = np.bincount(self.of, weights=counts[:256], minlength=CLASSES) + 1
+        weight = counts[:256] + 1.0
         weight[END] += counts[256]
         heap = [(float(w), i, i) for i, w in enumerate(weight)]
         heapq.heapify(heap)
         kids, n = {}, CLASSES
+        seen = np.zeros(CLASSES)
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
             kids[n] = (a[2], b[2])
+            seen[n - CLASSES] = a[0] + b[0]
             heapq.heappush(heap, (a[0] + b[0], n, n))
             n += 1
         paths: list[list[tuple[int, int]]] = [[] for _ in range(CLASSES)]
@@ -86,43 +94,74 @@ class Alphabet:
         self.begin = np.cumsum(self.length) - self.length
         self.node = np.array([n for p in paths for n, _ in p], np.int64)
         self.one = np.array([b for p in paths for _, b in p], np.float32)
-
-
-def stream(block: TextBlock, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all texts, each after four end signs and before one; where its first class stands; bytes at the same places."""
+        gate = np.empty(CLASSES, np.int64)
+        order = np.argsort(-seen, kind="stable")
+        gate[order] = np.minimum(np.arange(CLASSES), GATES - 1)
+        self.gate = gate[self.node]
+        # a gate's step shrinks with the bits that it is expected to see in a stretch
+        self.step = RATE / 8 / np.sqrt(1 + STRETCH * np.bincount(gate, weights=seen, minlength=GATES) / weight.sum())
+        spaces = np.flatnonzero(SPACE)
+        after = np.zeros(256)
+        after[spaces] = counts[spaces] + 1
+        after[END] = counts[256] + 1
+        self.after = np.log(np.maximum(after, 1e-300) / after.sum())
+
+
+def stream(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, each after four end signs and before one; where its first byte stands."""
     n = np.diff(block.offsets)
     first = block.offsets[:-1] + np.arange(block.n) * 5 + 4
-    size = len(block.data) + 5 * block.n
-    at = np.arange(len(block.data)) + np.repeat(first - block.offsets[:-1], n)
-    raw = np.zeros(size, np.uint8)
-    raw[at] = LOWER[block.data]
-    cls = np.zeros(size, np.uint8)
-    cls[at] = of[raw[at]]
-    return cls, first, raw
+    raw = np.full(len(block.data) + 5 * block.n, END, np.uint8)
+    raw[np.arange(len(block.data)) + np.repeat(first - block.offsets[:-1], n)] = LOWER[block.data]
+    return raw, first
+
+
+_LETTER = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_BASE = 0x9E3779B1
+_known: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**32, at least ``n``; kept for the next call."""
+    if not _known or len(_known[0]) < n:
+        _known.clear()
+        for base in (_BASE, pow(_BASE, -1, 2**32)):
+            out = np.full(max(n, 3 << 20), base, np.uint32)
+            out[0] = 1
+            _known.append(np.multiply.accumulate(out, out=out))
+    return _known[0], _known[1]
 
 
-def contexts(cls: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def contexts(raw: np.ndarray) -> list[np.ndarray]:
     """Hash (of SLOT_BITS) of each predictor's context before every position (from the fifth on; earlier ones are end signs)."""
-    c = cls.astype(np.uint32)
+    c = raw.astype(np.uint32)
     one, two, three, four = (np.concatenate([np.zeros(k, np.uint32), c[:-k]]) for k in (1, 2, 3, 4))
-    near = (one << np.uint32(6)) | two
-    far = (near << np.uint32(12)) | (three << np.uint32(6)) | four
-    solid = (cls != END) & ~SPACE[raw]
-    lone = TextBlock(raw, np.array([0, len(raw)]))
-    begin = np.maximum.accumulate(np.where(solid, 0, np.arange(1, len(c) + 1)))  # after the last byte that is no word's
-    begin = np.concatenate([[0], begin[:-1]])
-    word = lone.spread_ranges(begin, np.arange(len(c))) >> np.uint64(64 - SLOT_BITS)
+    near = (one << np.uint32(8)) | two
+    far = (near << np.uint32(16)) | (three << np.uint32(8)) | four
+    solid = (raw != END) & ~SPACE[raw]
+    begin = np.where(solid, np.int32(0), np.arange(1, len(c) + 1, dtype=np.int32))
+    np.maximum.accumulate(begin, out=begin)  # after the last byte that is no word's
+    begin = np.concatenate([np.zeros(1, np.int32), begin[:-1]])
+    # sums of bytes times powers of an odd number: the same for a word wherever it stands, once divided by its first power
+    power, inverse = _powers(len(c))
+    sums = np.zeros(len(c) + 1, np.uint32)
+    np.cumsum(_LETTER[raw] * power[: len(c)], dtype=np.uint32, out=sums[1:])
+    word = (sums[:-1] - sums[begin]) * inverse[begin]
+    word ^= word >> np.uint32(15)
+    word *= np.uint32(0x85EBCA77)
+    word ^= word >> np.uint32(13)
+    word *= np.uint32(0xC2B2AE3D)
+    word >>= np.uint32(32 - SLOT_BITS)
     # two bytes back: every context its own slots; the others by the high bits of a product
-    return np.stack([(near << np.uint32(6)).astype(np.int64), ((far * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64), word.astype(np.int64)])
+    return [near << np.uint32(8), (far * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS), word]
 
 
-def context_counts(block: TextBlock, alphabet: Alphabet) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per predictor: keys ``context * CLASSES + class``, ascending, and how often each occurs."""
-    cls, first, raw = stream(block, alphabet.of)
-    slots = contexts(cls, raw)
-    n = np.diff(block.offsets) + 1
-    at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-    return [np.unique(s[at].astype(np.uint32) * np.uint32(CLASSES) + cls[at], return_counts=True) for s in slots]
+def context_counts(block: TextBlock) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per predictor: keys ``context * CLASSES + byte``, ascending, and how often each occurs."""
+    raw, first = stream(block)
+    own = np.ones(len(raw), bool)
+    own[(first[:, None] + np.arange(-4, 0)).ravel()] = False
+    return [np.unique(((s << np.uint32(8)) | raw)[own], return_counts=True) for s in contexts(raw)]
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,73 +195,116 @@ class Predictors:
     @classmethod
     def of(cls, block: TextBlock, alphabet: Alphabet) -> Predictors:
         out = np.zeros((ORDERS, SLICES * IN_SLICE), np.int8)
-        for k, (keys, counts) in enumerate(context_counts(block, alphabet)):
-            part = keys // np.uint32(CLASSES * IN_SLICE)
+        for k, (keys, counts) in enumerate(context_counts(block)):
+            part = keys >> np.uint32(32 - SLICE_BITS)
             for s in np.unique(part):
                 out[k, s * IN_SLICE : (s + 1) * IN_SLICE] = slice_odds(keys[part == s], counts[part == s], alphabet)
         return cls(alphabet, out)
 
-    def cost(self, block: TextBlock) -> np.ndarray:
-        """Per text, minus the natural logarithm of its probability."""
+    def symbol_costs(self, block: TextBlock) -> np.ndarray:
+        """Minus the natural logarithm of the probability of each byte and end sign, text by text."""
         a = self.alphabet
-        cls, first, raw = stream(block, a.of)
-        slots = contexts(cls, raw)
-        rare = np.flatnonzero(cls == OTHER)
-        total = np.bincount(np.searchsorted(first, rare, "right") - 1, weights=a.other_cost[raw[rare]], minlength=block.n).astype(float)
-        left = np.diff(block.offsets) + 1
-        at = first.copy()
-        # rows of texts that go on: mixer weights by node, and the adaptive map, begun at the identity: bits seen and ones among them by bucket of predicted log-odds
-        weights = np.tile(np.array(FIRST, np.float32)[:, None, None], (1, block.n, CLASSES))
-        buckets = 48
-        mid = 1 / (1 + np.exp(-(np.arange(buckets) - buckets / 2 + 0.5) * 32 / buckets))
-        seen = np.full((block.n, buckets), 30.0)
-        ones = np.tile(mid * 30.0, (block.n, 1))
-        live = np.arange(block.n)
-        while len(live):
-            take = np.minimum(left[live], STRETCH)
-            m = len(live)
-            row = np.arange(m)
-            pos = np.arange(int(take.sum())) + np.repeat(at[live] - (np.cumsum(take) - take), take)
-            sym = cls.take(pos)
-            length = a.length.take(sym)
-            ends = np.cumsum(length)
-            stops = ends[np.cumsum(take) - 1]
-            bits = np.diff(stops, prepend=0)
-            rep = np.repeat(np.arange(len(sym)), length)
-            flat = (a.begin.take(sym) - (ends - length)).take(rep)
-            flat += np.arange(len(rep))
+        raw, first = stream(block)
+        slots = contexts(raw)
+        n = np.diff(block.offsets) + 1
+        begin = np.cumsum(n) - n
+        # texts by length, the longest first, so that those that go on are always the first ones; their symbols stretch by stretch
+        texts = np.argsort(-n, kind="stable")
+        row = np.repeat(np.arange(block.n), n[texts])
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n[texts]) - n[texts], n[texts])
+        turn = within // STRETCH
+        order = np.argsort(turn if len(turn) and turn.max() >= 1 << 16 else turn.astype(np.uint16), kind="stable")
+        row, within = row[order], within[order]
+        ends_of_turn = np.cumsum(np.bincount(turn))
+        pos = first[texts][row] + within
+        sym = raw[pos]
+        length = a.length.take(sym)
+        upto = np.concatenate([[0], np.cumsum(length)])
+        stops = upto[ends_of_turn]  # bits up to the end of each turn
+        live = (n[texts][None, :] > STRETCH * np.arange(1, len(stops) + 1)[:, None]).sum(axis=1) if len(stops) * block.n < 1 << 22 else np.array([int((n > STRETCH * (t + 1)).sum()) for t in range(len(stops))])
+        weights = [np.full(block.n * GATES, w, np.float32) for w in FIRST]
+        mid = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) * 32 / BUCKETS))
+        seen, ones = np.full(block.n * BUCKETS, 30.0), np.tile(mid * 30.0, block.n)
+        refined = np.tile((0.25 * mid).astype(np.float32), block.n)
+        out = np.empty(len(sym), np.float32)
+        turns = len(stops)
+        t = 0
+        while t < turns:
+            # the turns of a window: what does not depend on learning is looked up for all of them at once
+            begun = int(stops[t - 1]) if t else 0
+            to = max(t + 1, int(np.searchsorted(stops, begun + WINDOW, "right")))
+            i, j = (int(ends_of_turn[t - 1]) if t else 0), int(ends_of_turn[to - 1])
+            rep = np.repeat(np.arange(i, j), length[i:j])
+            flat = (a.begin.take(sym[i:j]) - upto[i:j]).take(rep - i)
+            flat += np.arange(begun, begun + len(rep))
             node, one = a.node.take(flat), a.one.take(flat)
-            gate = np.repeat(row * CLASSES, bits)
-            gate += node
-            z, x = None, []
-            for k in range(ORDERS):
-                slot = slots[k].take(pos).take(rep)
-                slot ^= node
-                x.append(self.tables[k].take(slot))
-                part = weights[k].take(gate)
-                part *= x[k]
-                z = part if z is None else np.add(z, part, out=z)
-            z *= np.float32(0.125)
-            np.clip(z, -16, 16, out=z)
-            bucket = (z * np.float32(buckets / 32) + np.float32(buckets / 2 - 1e-3)).astype(np.int32) + np.repeat(row * buckets, bits)
-            p = 1 / (1 + np.exp(-z))
-            q = np.float32(0.75) * p + (0.25 * ones / seen).astype(np.float32).take(bucket)
-            cost = np.log(np.abs(one - np.float32(1) + q))  # one is 0 or 1: the probability of what came
-            total[live] -= np.add.reduceat(cost, stops - bits, dtype=np.float64)
-            left[live] -= take
-            at[live] += take
-            more = left[live] > 0
-            if more.any():  # a text's last stretch changes nothing that is still to be read
-                err = one - p
-                hits = np.sqrt(np.bincount(gate, minlength=m * CLASSES) + 1.0)
-                for k in range(ORDERS):
-                    step = RATE * 0.125 * np.bincount(gate, weights=err * x[k], minlength=m * CLASSES) / hits
-                    weights[k] += step.astype(np.float32).reshape(m, CLASSES)
-                seen += np.bincount(bucket, minlength=m * buckets).reshape(m, buckets)
-                ones += np.bincount(bucket, weights=one, minlength=m * buckets).reshape(m, buckets)
-            if not more.all():
-                live, weights, seen, ones = live[more], weights[:, more], seen[more], ones[more]
-        return total
+            who = row.take(rep)
+            gate = who * GATES
+            gate += a.gate.take(flat)
+            shelf = who * BUCKETS
+            tally = one * np.float32(65536)
+            tally += np.float32(1)
+            at = pos.take(rep)
+            x = [self.tables[k].take(slots[k].take(at) ^ node).astype(np.float32) for k in range(ORDERS)]
+            chance = np.empty(len(rep), np.float32)
+            for u in range(t, to):
+                b = slice((int(stops[u - 1]) if u else 0) - begun, int(stops[u]) - begun)
+                g, o = gate[b], one[b]
+                z = weights[0].take(g)
+                z *= x[0][b]
+                for k in range(1, ORDERS):
+                    part = weights[k].take(g)
+                    part *= x[k][b]
+                    z += part
+                z *= np.float32(0.125)
+                np.clip(z, -16, 16, out=z)
+                bucket = (z * np.float32(BUCKETS / 32) + np.float32(BUCKETS / 2 - 1e-3)).astype(np.int64)
+                bucket += shelf[b]
+                np.negative(z, out=z)
+                np.exp(z, out=z)
+                z += np.float32(1)
+                p = np.reciprocal(z, out=z)
+                q = p * np.float32(0.75)
+                q += refined.take(bucket)
+                chance[b] = q
+                m = int(live[u])
+                if m:  # a text's last stretch changes nothing that is still to be read
+                    last = int(np.searchsorted(who[b], m)) if m < block.n else len(g)
+                    g, err, bucket = g[:last], (o - p)[:last], bucket[:last]
+                    for k in range(ORDERS):
+                        weights[k][: m * GATES].reshape(m, GATES)[:] += np.bincount(g, weights=err * x[k][b][:last], minlength=m * GATES).reshape(m, GATES) * a.step
+                    new = np.bincount(bucket, weights=tally[b][:last], minlength=m * BUCKETS)
+                    came = np.floor(new / 65536)
+                    ones[: m * BUCKETS] += came
+                    seen[: m * BUCKETS] += new - came * 65536
+                    refined[: m * BUCKETS] = 0.25 * ones[: m * BUCKETS] / seen[: m * BUCKETS]
+            chance += one
+            chance -= np.float32(1)  # one is 0 or 1: now, up to its sign, the probability of what came
+            cost = -np.log(np.abs(chance, out=chance), out=chance)
+            out[i:j] = np.diff(np.cumsum(cost, dtype=np.float64).take(upto[i + 1 : j + 1] - (begun + 1)), prepend=0.0)
+            t = to
+        back = np.empty(len(out), np.float32)
+        back[begin[texts][row] + within] = out
+        return back
+
+    def cost(self, block: TextBlock, share: np.ndarray | None = None) -> np.ndarray:
+        """Per text, minus the natural logarithm of its probability; ``share``: each word's share of the training tokens."""
+        n = np.diff(block.offsets) + 1
+        begin = np.cumsum(n) - n
+        each = self.symbol_costs(block)
+        upto = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
+        total = upto[begin + n] - upto[begin]
+        start, end, first = block.words()
+        if share is None or not len(start):
+            return total
+        doc = np.repeat(np.arange(block.n), np.diff(first))
+        # symbols have one end sign per text more than the bytes
+        by_bytes = upto[end + doc + 1] - upto[start + doc]
+        next_ = np.append(block.data, 0)[end]
+        next_[end == block.offsets[doc + 1]] = END
+        whole = np.log(np.maximum(share, 1e-300)) + self.alphabet.after[next_]
+        gained = np.stack([np.bincount(doc, weights=by_bytes + np.logaddexp(math.log(1 - r) - by_bytes, math.log(r) + whole), minlength=block.n) for r in WORD_RATES])
+        return total - np.logaddexp.reduce(gained + np.log(WORD_PRIOR)[:, None], axis=0)
 
 
 # ---------------------------------------------------------------- token counts
@@ -241,7 +323,21 @@ def _unsix(raw: bytes) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _code(h: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """An identity from the part of a hash that is sent and its bucket."""
+    return mix(h) + np.asarray(bucket).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _wide(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one needs them."""
+    return counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<u8").tobytes()
+
+
+def _unwide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
 
 
 def _words(low: TextBlock) -> tuple[np.ndarray, np.ndarray]:
@@ -323,13 +419,13 @@ def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     h, grp, total = h[o], grp[o], total[o]
     u, first = np.unique(grp, return_index=True)
     cut = list(zip(first, np.r_[first[1:], len(grp)], strict=True))
-    return rows([*u.tolist(), -1], [*(_six(h[a:b]) for a, b in cut), b""], [*(total[a:b].astype("<u4").tobytes() for a, b in cut), b""], [0] * len(u) + [int(each.sum())], [0] * len(u) + [int((each > 0).sum())])
+    return rows([*u.tolist(), -1], [*(_six(h[a:b]) for a, b in cut), b""], [*(_wide(total[a:b]) for a, b in cut), b""], [0] * len(u) + [int(each.sum())], [0] * len(u) + [int((each > 0).sum())])
 
 
 # ---------------------------------------------------------------- the whole
 
 
-def _learn(alphabet: Alphabet):
+def _learn():
     """Map over training texts: the task's context counts by predictor and slice (keys as differences)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +435,7 @@ def _learn(alphabet: Alphabet):
         def send():
             for k, parts in enumerate(held):
                 keys, counts = added(parts)
-                cuts = np.searchsorted(keys, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64(CLASSES * IN_SLICE))
+                cuts = np.searchsorted(keys, np.arange(SLICES + 1, dtype=np.uint64) << np.uint64(32 - SLICE_BITS))
                 for s in range(SLICES):
                     ks, n = keys[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]
                     if len(ks):
@@ -350,7 +446,7 @@ def _learn(alphabet: Alphabet):
 
         size = 0
         for part in chunks(batches):
-            for parts, c in zip(held, context_counts(TextBlock.from_arrow(part.column(0)), alphabet), strict=True):
+            for parts, c in zip(held, context_counts(TextBlock.from_arrow(part.column(0))), strict=True):
                 parts.append(c)
                 size += len(c[0])
             if size > 6_000_000:
@@ -377,7 +473,7 @@ def _sum(alphabet: Alphabet):
 _OUT = "doc_id long, train boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double"
 
 
-def _score(shared, buckets: int, n_train: int):
+def _score(shared, buckets: int, n_train: int, n_tokens: int):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, freq: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in _OUT.split(", ")]
         types = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[f.split()[1]] for f in _OUT.split(", ")]
@@ -386,21 +482,24 @@ def _score(shared, buckets: int, n_train: int):
             return out[0]
         trim()
         model = shared.value
-        known = np.concatenate([np.zeros(0, np.uint64), *(_unsix(x) * np.uint64(buckets) + np.uint64(b) for b, x in zip(freq.column("bucket").to_pylist(), freq.column("hashes").to_pylist(), strict=True))])
-        count = np.frombuffer(b"".join(freq.column("counts").to_pylist()), "<u4")
+        hashes = [_unsix(x) for x in freq.column("hashes").to_pylist()]
+        known = np.concatenate([np.zeros(0, np.uint64), *(_code(h, b) for b, h in zip(freq.column("bucket").to_pylist(), hashes, strict=True))])
+        count = np.concatenate([np.zeros(0, np.int64), *(_unwide(x, len(h)) for x, h in zip(freq.column("counts").to_pylist(), hashes, strict=True))])
         o = np.argsort(known)
         known, count = np.r_[known[o], np.uint64(2**64 - 1)], np.r_[count[o], 0]
-        for part in chunks(texts.to_batches()):
+        # texts of like lengths together: they are read in step
+        texts = texts.take(np.argsort(pc.binary_length(texts.column("text")).to_numpy(), kind="stable"))
+        for part in chunks(texts.combine_chunks().to_batches()):
             col = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
             block = TextBlock.from_arrow(col("text"))
             doc, h = _words(block.lowered())
-            code = (h & _MASK) * np.uint64(buckets) + _bucket(h, buckets).astype(np.uint64)
-            at = np.searchsorted(known, code)
+            code = _code(h & _MASK, _bucket(h, buckets))
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
             c = np.where(known[at] == code, count[at], 0)
             n = np.bincount(doc, minlength=block.n) + 1
             logs = np.bincount(doc, weights=np.log10(c + 1.0), minlength=block.n) + math.log10(n_train + 1.0)
             has = np.bincount(doc[c > 0], minlength=block.n) + (n_train > 0)
-            cost = model.cost(block)
+            cost = model.cost(block, c / max(1, n_tokens))
             size = np.maximum(np.diff(block.offsets), 1)
             out.append(pa.table([col("doc_id"), col("train"), pa.array(n), pa.array(has), pa.array(logs), pa.array(-cost / _LN10), pa.array(cost / math.log(2) / size)], names))
         return pa.concat_tables(out)
@@ -424,13 +523,13 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     n, v = n_words + n_train, v_words + (n_train > 0)
 
     alphabet = Alphabet(seen)
-    sums = d.filter("train").select("text").mapInArrow(_learn(alphabet), "k int, s int, keys binary, counts binary").groupBy("k", "s").applyInArrow(_sum(alphabet), "k int, s int, odds binary")
+    sums = d.filter("train").select("text").mapInArrow(_learn(), "k int, s int, keys binary, counts binary").groupBy("k", "s").applyInArrow(_sum(alphabet), "k int, s int, odds binary")
     tables = np.zeros((ORDERS, SLICES, IN_SLICE), np.int8)
     for r in sums.toLocalIterator():  # tables of fixed size
         tables[r.k, r.s] = np.frombuffer(r.odds, np.int8)
     tables = tables.reshape(ORDERS, -1)
     shared = spark.sparkContext.broadcast(Predictors(alphabet, tables))
 
-    rows = d.groupBy("grp").cogroup(freq.filter("grp >= 0").groupBy("grp")).applyInArrow(_score(shared, buckets, n_train), _OUT)
+    rows = d.groupBy("grp").cogroup(freq.filter("grp >= 0").groupBy("grp")).applyInArrow(_score(shared, buckets, n_train, n), _OUT)
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     return rows.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte")
