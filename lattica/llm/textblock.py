@@ -84,7 +84,7 @@ class TextBlock:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        self._prefix = None
+        self._prefix = self._words = self._word_hashes = None
 
     @classmethod
     def of(cls, texts: list) -> TextBlock:
@@ -141,8 +141,19 @@ class TextBlock:
         np.cumsum(marks, out=total[1:])
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
+    def word_hashes(self) -> np.ndarray:
+        if self._word_hashes is None:
+            start, end, _ = self.words()
+            self._word_hashes = self.hash_ranges(start, end)
+        return self._word_hashes
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every word, and per text the index of its first word (n + 1 entries)."""
+        if self._words is None:
+            self._words = self._find_words()
+        return self._words
+
+    def _find_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         solid = np.zeros(len(self.data) + 2, bool)
         solid[1:-1] = ~SPACE[self.data]
         start = np.flatnonzero(solid[1:-1] & ~solid[:-2])
