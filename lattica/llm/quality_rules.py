@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .textblock import LEAD, SPACE, TextBlock, chunks, first_in_group, mix, windows
 
@@ -69,7 +70,7 @@ def measure(block: TextBlock) -> dict[str, np.ndarray]:
     order, new = first_in_group(mix(block.hash_ranges(ls, le) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     out["n_dup_lines"] = np.bincount(owner[order[~new]], minlength=block.n)
     # words covered by 5-word windows found twice or more in their text
-    h, at = windows(block.hash_ranges(start, end), first, 5)
+    h, at = windows(block.word_hashes(), first, 5)
     doc = np.repeat(np.arange(block.n), n_words)
     order, new = first_in_group(mix(h + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     twice = ~new
@@ -121,16 +122,23 @@ def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.withColumns({"base_failed": F.col("fail_bits").bitwiseAND(F.lit(BASE_BITS)) != 0, "kept": F.col("fail_bits").bitwiseAND(F.lit(mask | BASE_BITS)) == 0})
 
 
-def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, all columns; no shuffle."""
-    mask = POLICIES[policy] | BASE_BITS
+def with_bits(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the ledger's ``fail_bits`` as a further column ``name``; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             bits = fail_bits(measure(TextBlock.from_arrow(part.column(part.schema.get_field_index("text")))))
-            yield part.filter(pa.array(bits & mask == 0))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bits)], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
-    return docs.mapInArrow(run, docs.schema)
+
+def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps by their ledger bits, all columns; no shuffle."""
+    name = "fail_bits"
+    while name in docs.columns:
+        name += "_"
+    return with_bits(docs, name).filter(F.col(name).bitwiseAND(F.lit(POLICIES[policy] | BASE_BITS)) == 0).drop(name)
 
 
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:

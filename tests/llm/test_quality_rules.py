@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -51,3 +52,28 @@ def test_ledger_policy_and_ablation(spark):
     ab = {r.rule: r for r in q.ablations(full, "v1").collect()}
     assert ab["few_words"].n_failed == sum(brute(t)[0] < 10 for t in TEXTS)
     assert q.ledger(docs.limit(0)).count() == 0
+
+
+def test_keep_follows_the_ledger_under_each_policy(spark):
+    texts = [None, "", "too few words", "plain words that say something about nothing much at all today", "### " * 30 + "a b c d e f g h i j", "1234567 " * 12 + "a b c d e f g h", "AB " * 4 + "LOUD WORDS EVERYWHERE IN THIS SHORT TEXT OF MINE"]
+    docs = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, fail_bits int")
+    for policy in q.POLICIES:
+        want = {r.doc_id for r in q.apply_policy(q.ledger(docs), policy).filter("kept").collect()}
+        got = q.keep(docs, policy)
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == want
+        assert {r.fail_bits for r in got.collect()} <= {-1}
+    v1, v2 = ({r.doc_id for r in q.keep(docs, p).collect()} for p in ("v1", "v2"))
+    assert 3 in v2 and v2 <= v1
+
+
+def test_ablations_equal_counting(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["word", "###", "12345678", "LOUD", "a", "!!", "\n"], k=rng.randint(3, 60))) for _ in range(120)]
+    led = q.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    bits = [r.fail_bits for r in led.collect()]
+    for policy, mask in q.POLICIES.items():
+        for r in q.ablations(led, policy).collect():
+            bit = q.BIT[r.rule]
+            assert r.n_failed == sum(b & bit != 0 for b in bits)
+            assert r.n_only == sum(b & mask == bit for b in bits)
+            assert r.n_kept_without == sum(b & mask & ~bit == 0 for b in bits)
