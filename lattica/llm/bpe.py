@@ -33,36 +33,52 @@ REMEMBER = 250_000
 
 
 def read_ranks(path: str) -> list[bytes]:
-    """The tokens of a rank file; the position is the rank."""
+    """The tokens of a rank file; the position is the rank.  Ranks that the file leaves out hold no token (empty bytes)."""
     with open(path, "rb") as f:
         pairs = [line.split() for line in f if line.strip()]
-    tokens: list[bytes] = [b""] * (max(int(r) for _, r in pairs) + 1)
+    tokens: list[bytes] = [b""] * (max((int(r) for _, r in pairs), default=-1) + 1)
     for token, rank in pairs:
+        if tokens[int(rank)]:
+            raise ValueError(f"rank {int(rank)} stands twice in {path}")
         tokens[int(rank)] = base64.b64decode(token)
     return tokens
 
 
 class PerfectHash:
-    """Minimal perfect hash of byte strings: n keys, n slots, one displacement per bucket of about four keys."""
+    """Minimal perfect hash of byte strings: n keys, n slots, one displacement per bucket of about four keys.
+
+    Empty strings are no keys.  Equal keys are an error.  Where a bucket finds no place, all are hashed anew with the
+    next seed.
+    """
 
     def __init__(self, keys: list[bytes]):
-        n = self.n = max(1, len(keys))
-        self.buckets = n // 4 + 1
+        self.keys = keys
+        real = [i for i, k in enumerate(keys) if k]
+        if len({keys[i] for i in real}) < len(real):
+            raise ValueError("a key stands twice")
+        self.n = max(1, len(real))
+        self.buckets = self.n // 4 + 1
+        self.seed = 0
+        while not self._place(real):
+            self.seed += 1
+
+    def _place(self, real: list[int]) -> bool:
+        n = self.n
         groups: dict[int, list[tuple[int, int, int]]] = {}
-        for i, k in enumerate(keys):
-            bucket, a, b = self._parts(k)
+        for i in real:
+            bucket, a, b = self._parts(self.keys[i])
             groups.setdefault(bucket, []).append((a, b, i))
         self.shift = [0] * self.buckets
         self.key_at = [-1] * n
         free = None
         for bucket, members in sorted(groups.items(), key=lambda g: -len(g[1])):
             if len(members) > 1:
-                d = 0
-                while True:
+                for d in range(16 * n + 64):
                     at = [(a + d * b) % n for a, b, _ in members]
                     if len(set(at)) == len(at) and all(self.key_at[s] < 0 for s in at):
                         break
-                    d += 1
+                else:
+                    return False
                 self.shift[bucket] = d
             else:  # single keys take the slots that are left, directly
                 free = free or iter([s for s in range(n) if self.key_at[s] < 0])
@@ -70,10 +86,10 @@ class PerfectHash:
                 self.shift[bucket] = -at[0] - 1
             for s, (_, _, i) in zip(at, members, strict=True):
                 self.key_at[s] = i
-        self.keys = keys
+        return True
 
     def _parts(self, key: bytes) -> tuple[int, int, int]:
-        h = xxhash.xxh3_128_intdigest(key)
+        h = xxhash.xxh3_128_intdigest(key, self.seed)
         return (h & 0xFFFFFFFF) % self.buckets, (h >> 32) & 0xFFFFFFFF, ((h >> 64) & 0xFFFFFFFF) | 1
 
     def get(self, key: bytes) -> int:
@@ -166,10 +182,10 @@ _codecs: dict[str, Codec] = {}
 
 
 def _codec(shared) -> Codec:
-    key, tokens, pattern, shift, key_at = shared.value
+    key, tokens, pattern, seed, shift, key_at = shared.value
     if key not in _codecs:
         table = PerfectHash.__new__(PerfectHash)
-        table.n, table.buckets, table.shift, table.key_at, table.keys = len(key_at), len(shift), shift, key_at, tokens
+        table.seed, table.n, table.buckets, table.shift, table.key_at, table.keys = seed, len(key_at), len(shift), shift, key_at, tokens
         _codecs.clear()
         _codecs[key] = Codec(tokens, pattern, table)
     return _codecs[key]
@@ -184,7 +200,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
     tokens = read_ranks(rank_file)
     table = PerfectHash(tokens)
     key = hashlib.sha1(b"\0".join(tokens) + pattern.encode()).hexdigest()
-    shared = spark.sparkContext.broadcast((key, tokens, pattern, table.shift, table.key_at))
+    shared = spark.sparkContext.broadcast((key, tokens, pattern, table.seed, table.shift, table.key_at))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

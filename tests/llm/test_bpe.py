@@ -47,3 +47,23 @@ def test_query_form(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((ODD[r.doc_id] or "").encode()).hexdigest()
     assert bpe.encode_documents(docs.limit(0), FILE, P.PATTERN).count() == 0
+
+
+def test_gaps_and_repeated_keys(tmp_path):
+    import base64
+
+    import pytest
+
+    line = lambda t, r: base64.b64encode(t) + b" %d\n" % r
+    (tmp_path / "gaps").write_bytes(line(b"a", 0) + line(b"b", 3) + line(b"ab", 5))
+    tokens = bpe.read_ranks(str(tmp_path / "gaps"))
+    table = bpe.PerfectHash(tokens)
+    assert [table.get(t) for t in (b"a", b"b", b"ab", b"", b"c")] == [0, 3, 5, -1, -1] and table.n == 3
+    assert bpe.Codec(tokens, r"\S+|\s+").encode("ab")[0] == [5]
+    with pytest.raises(ValueError):
+        bpe.PerfectHash([b"x", b"y", b"x"])
+    (tmp_path / "twice").write_bytes(line(b"a", 0) + line(b"b", 0))
+    with pytest.raises(ValueError):
+        bpe.read_ranks(str(tmp_path / "twice"))
+    (tmp_path / "empty").write_bytes(b"")
+    assert bpe.read_ranks(str(tmp_path / "empty")) == []
