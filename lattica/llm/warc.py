@@ -34,6 +34,8 @@ from .shared import fresh_path, written
 REVISIT_BYTES = 1000
 #: Compressed bytes after which a package is closed.
 PACKAGE_BYTES = 8 << 20
+#: Packages that a task reads, one after the other; parts in which pages of one payload are dealt.
+PACKAGES, SALTS = 16, 8
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 
 # ---------------------------------------------------------------- ZIP
@@ -161,7 +163,9 @@ def _page(uri: str) -> int | None:
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    # names by which Hadoop knows stores that Arrow knows by others
+    scheme, colon, rest = uri.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
 
 
 def _write(folder: str):
@@ -194,13 +198,22 @@ def _write(folder: str):
     return run
 
 
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with a ``part`` of SALTS, so that rows of one key are no one task's."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _in_all_parts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     """Write all pages; returns ``package, n_records`` of the packages that count."""
     p = pages.select(F.col("page_id").cast("long"), "url", "html")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     small = p.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= REVISIT_BYTES).select("page_id", "digest")
     groups = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = small.join(groups, "digest").filter(F.col("page_id") < F.col("refers_to")).distinct()
+    revisits = _dealt(small, "page_id").join(_in_all_parts(groups), ["digest", "part"]).filter(F.col("page_id") < F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
     keyed = p.withColumn("digest", F.sha1(payload))
     placed = keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     return written(placed.mapInArrow(_write(folder), "package string, n_records long"), "packages")
@@ -238,11 +251,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_packages(packages: DataFrame) -> DataFrame:
     """Per record: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``; a revisit has its response's payload."""
     n = packages.count()
-    read = written(packages.select("package").repartition(max(1, n)).mapInArrow(_read, _READ), "records")
-    responses = read.filter("record_type = 'response'").select(F.col("page_id").alias("r_id"), F.col("header_digest").alias("r_digest"), F.col("payload_bytes").alias("r_bytes")).distinct()
-    revisits = read.filter("record_type = 'revisit'").join(responses, (F.col("refers_to") == F.col("r_id")) & (F.col("header_digest") == F.col("r_digest")))
+    cores = packages.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max(4 * cores, n // PACKAGES)))
+    read = written(packages.select("package").repartition(tasks).mapInArrow(_read, _READ), "records")
+    responses = read.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "header_digest", F.col("payload_bytes").alias("r_bytes")).distinct()
+    again = read.filter("record_type = 'revisit'")
+    referred = again.select("refers_to", "header_digest").distinct().join(responses, ["refers_to", "header_digest"])
+    revisits = _dealt(again, "page_id").join(_in_all_parts(referred), ["refers_to", "header_digest", "part"])
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
-    whole = revisits.select("page_id", F.col("r_bytes").alias("payload_bytes"), F.col("r_digest").alias("payload_digest"), "record_type", "refers_to", "url")
+    whole = revisits.select("page_id", F.col("r_bytes").alias("payload_bytes"), F.col("header_digest").alias("payload_digest"), "record_type", "refers_to", "url")
     return read.filter("record_type = 'response'").select(out).unionByName(whole)
 
 
