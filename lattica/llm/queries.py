@@ -57,7 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(_fold(4) != 2).select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, 0.3).select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted", "n_segments")
+    return toxicity.score(docs, model, 0.3).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(True)).alias("held_out"), "score", "predicted", "n_segments")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

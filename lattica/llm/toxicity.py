@@ -1,23 +1,25 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Fitting, on a bounded sample of labelled rows (``fit_rows``): document counts
-of words and of their byte prefixes in toxic and other texts give log-odds
+of words and of their prefixes in toxic and other texts give log-odds
 under an informative Dirichlet prior (the pooled shares); a token takes the
-most specific feature that enough texts hold, so unseen inflections and
-compounds fall back on their prefix.  Features whose log-odds are not
-significant score nothing, and every token pays ``DRIFT``, so scores drift
-down outside toxic passages.
+most specific feature that ``LEAST`` texts of the sample hold, so unseen
+inflections and compounds fall back on their prefix.  Features whose log-odds
+are not significant score nothing, and every token pays ``DRIFT``, so scores
+drift down outside toxic passages.
 
 Scoring, of every whole text: one linear scan finds all maximal scoring
 segments (Ruzzo and Tompa).  The scale of segment scores by chance comes from
 the extreme-value theory of such segments (lambda from the token score
-distribution of non-toxic texts, K from their best segments); the best
+distribution of non-toxic texts, K from a quantile of their best segments
+that lies above the texts without any); the best
 segment's calibrated score, the sum over significant segments and their number
 pass through a logistic function fitted on the sample's other part.
 
 Defined results: null and empty texts have no segments and get the score of
-that; repeated rows are scored one by one; an empty table gives no rows; extra
-columns of the input are ignored.
+that; repeated rows are scored one by one; rows without an id are scored and
+never learned from; an empty table gives no rows; extra columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblock import TextBlock, chunks
+from .textblock import LEAD, TextBlock, chunks
 
-#: Labelled rows used in fitting (in expectation), features kept, texts a feature needs, its least z score, cost of a token.
-FIT_ROWS, KEEP, LEAST, Z, DRIFT = 20_000, 50_000, 8, 3.0, 0.25
-#: Bytes of the prefixes that stand in for rarer words.
+#: Labelled rows used in fitting (in expectation), texts a feature needs, its least z score, cost of a token.
+FIT_ROWS, LEAST, Z, DRIFT = 20_000, 8, 3.0, 0.25
+#: Bytes (up to the beginning of a character) of the prefixes that stand in for rarer words.
 PREFIXES = (8, 7, 6, 5)
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[ord(c) for c in ".,;:!?\"'()[]*#$%&|"]] = True
@@ -44,13 +47,16 @@ def tokens(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
     low = block.lowered()
     start, end, first = low.words()
     doc = np.repeat(np.arange(low.n), np.diff(first))
-    for _ in range(4):
-        cut = _PUNCT[low.data[np.maximum(end - 1, 0)]] & (end - 1 > start)
-        end = end - cut
+    if len(end):  # without the signs that end it, but for the first byte
+        last = np.maximum.accumulate(np.where(_PUNCT[low.data], -1, np.arange(len(low.data))))
+        end = np.maximum(last[end - 1], start) + 1
     h = [low.hash_ranges(start, end)]
+    lead = np.append(LEAD[low.data], True)
     for n in PREFIXES:
-        long = end - start > n
-        h.append(np.where(long, low.hash_ranges(start, np.minimum(start + n, end)) ^ np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0)))
+        to = np.minimum(start + n, end)
+        for _ in range(3):
+            to = to - (~lead[to] & (to > start))
+        h.append(np.where((end > to) & (to > start), low.hash_ranges(start, to) ^ np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0)))
     return doc, np.stack(h, 1)
 
 
@@ -71,6 +77,19 @@ class Model:
                 open_ &= ~hit
         return out - DRIFT
 
+    def best(self, block: TextBlock) -> np.ndarray:
+        """Per text: lambda times its best segment's score, less the logarithm of its tokens; minus infinity without one."""
+        doc, h = tokens(block)
+        s = self.token_scores(h)
+        n = np.bincount(doc, minlength=block.n)
+        total = np.concatenate([[0.0], np.cumsum(s)])
+        up = np.flatnonzero(s > 0)
+        where = np.searchsorted(doc[up], np.arange(block.n + 1))
+        out = np.full(block.n, -np.inf)
+        for i in np.flatnonzero(np.diff(where)):
+            out[i] = self.scale[0] * max(v for v, _, _ in segments(total, up[where[i] : where[i + 1]])) - np.log(n[i])
+        return out
+
     def stats(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
         """Per text: best calibrated segment, sum over significant ones, their number; and tokens."""
         doc, h = tokens(block)
@@ -137,6 +156,17 @@ def solve_lambda(values: np.ndarray, p: np.ndarray) -> float:
     return hi
 
 
+def log_k_of(best: np.ndarray) -> float:
+    """log K from the best segments of texts by chance, P(best <= x) = exp(-K exp(-x)): read off the middle of those that have one."""
+    have = np.sort(best[np.isfinite(best)])
+    if not len(have):
+        return 0.0
+    none = 1 - len(have) / len(best)
+    at = len(have) // 2
+    q = none + (1 - none) * (at + 0.5) / len(have)
+    return float(have[at] + np.log(-np.log(q)))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -156,7 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     n = lab.count()
     h = F.xxhash64("doc_id")
     chosen = lab.filter(F.pmod(h, F.lit(max(n, 1))) < fit_rows).withColumn("part", F.pmod(F.shiftright(h, 40), F.lit(4)) == 0)
-    d = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # at most about fit_rows rows
+    d = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long")).join(F.broadcast(chosen), "doc_id").count()
+    if rows > 2 * fit_rows:  # ids that very many rows share
+        d = d.filter(F.rand(3) < fit_rows / rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -173,14 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     counts = d.filter("not part").select("doc_id", "text", "toxic").mapInArrow(count, "f long, t long, o long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     counts = counts.filter((F.col("f") == 0) | (F.col("t") + F.col("o") >= LEAST))
-    kept = counts.orderBy(F.desc(F.col("f") == 0), F.desc(F.col("t") + F.col("o")), "f").limit(4 * KEEP).toPandas()
+    kept = counts.toPandas()  # bounded by the sample
     head = kept[kept.f == 0]
     n_toxic, n_other = (float(head.t.sum()), float(head.o.sum())) if len(head) else (0.0, 0.0)
     kept = kept[kept.f != 0]
     odds, z = log_odds(kept.t.to_numpy(float), kept.o.to_numpy(float), n_toxic, n_other)
-    odds = np.where(np.abs(z) >= Z, odds, 0.0)
-    best = np.argsort(-np.abs(z), kind="stable")[: 4 * KEEP]
-    model = Model(kept.f.to_numpy(np.int64).view(np.uint64)[best], odds[best])
+    model = Model(kept.f.to_numpy(np.int64).view(np.uint64), np.where(np.abs(z) >= Z, odds, 0.0))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -200,10 +231,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             s, n = model.stats(TextBlock.from_arrow(part.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in s.T] + [part.column(2).cast(pa.int64()), pa.array(n.astype(np.int64))], ["a", "b", "c", "toxic", "n"])
 
+    def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            part = part.filter(pc.equal(part.column(2), 0))
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(model.best(TextBlock.from_arrow(part.column(1))))], ["best"])
+
     sample = d.filter("part").select("doc_id", "text", "toxic")
-    plain = sample.mapInArrow(stat, "a double, b double, c double, toxic long, n long").filter("toxic = 0 and a > 0").toPandas()
-    # the best segments of other texts follow exp(-K n exp(-lambda s)): lambda s - log n has mean log K + 0.5772
-    model.scale = (lam, max(float(plain.a.median()) - 0.3665, 0.0) if len(plain) else 0.0)
+    model.scale = (lam, log_k_of(sample.mapInArrow(chance, "best double").toPandas().best.to_numpy()))
     stats = sample.mapInArrow(stat, "a double, b double, c double, toxic long, n long").toPandas()
     x = _design(stats[["a", "b", "c"]].to_numpy())
     model.weights = fit_logistic(x, stats.toxic.to_numpy(float)) if len(stats) else np.array([-2.0, 1.0, 0.0, 0.0])
@@ -211,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """Per document: ``doc_id, score, predicted, n_segments``.  No shuffle; the model (at most 4 * KEEP features) is broadcast."""
+    """Per document: ``doc_id, score, predicted, n_segments``.  No shuffle; the model (features of the bounded sample) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

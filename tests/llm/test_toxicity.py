@@ -77,3 +77,50 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert right >= 0.95 * len(held)
     assert got[10_000] == got[10_001] == 0 and got[10_002] == 1
     assert tx.score(docs.limit(0), tx.Model(np.zeros(0, np.uint64), np.zeros(0), weights=np.zeros(4))).count() == 0
+
+
+def slow_score(model, text):
+    """One text: tokens by splitting, features by single hashes, segments by their definition."""
+    import re
+
+    odds = dict(zip(model.features.tolist(), model.odds.tolist(), strict=True))
+    one = lambda b: int(TextBlock.of([b.decode("utf-8")]).hash_ranges(np.array([0]), np.array([len(b)]))[0])
+    s = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).encode()):
+        w = w[:1] + w[1:].rstrip(b".,;:!?\"'()[]*#$%&|")
+        found = [one(w)]
+        for n in tx.PREFIXES:
+            p = w[:n].decode("utf-8", "ignore").encode()
+            if p and len(p) < len(w):
+                found.append(one(p) ^ 0xA5A5A5A5A5A5A5A5)
+        s.append(next((odds[f] for f in found if f in odds), 0.0) - tx.DRIFT)
+    lam, log_k = model.scale
+    gain = [lam * sum(s[a : b + 1]) - log_k - math.log(len(s)) for a, b in brute_segments(s)]
+    sure = [g for g in gain if g > 0]
+    x = [1.0, *(math.log1p(v) for v in (max([0.0, *gain]), sum(sure), len(sure)))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+
+def test_scores_equal_a_slow_version(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tx.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = [t[:150] for _, t in rows[:40]] + ["vile. vile!!!!!!!! ROTTEN; scoundrelsé x", "!!!!!! ...", "ééééé scoundréls"]
+    stats, _ = model.stats(TextBlock.of(texts))
+    assert np.allclose(model.score(stats), [slow_score(model, t) for t in texts], atol=1e-9)
+
+
+def test_log_k_from_a_sample_by_chance():
+    rng = np.random.default_rng(1)
+    x = math.log(0.05) - np.log(-np.log(rng.random(20_000)))
+    x[x < -2.5] = -np.inf  # texts without a segment
+    assert abs(tx.log_k_of(x) - math.log(0.05)) < 0.05
+    assert tx.log_k_of(np.full(5, -np.inf)) == 0.0
+
+
+def test_rows_without_id_and_many_rows_of_one_id(spark):
+    rows, labels = corpus(400)
+    docs = spark.createDataFrame([*rows, *([(3, "same id again")] * 500), (None, "vile vile vile rotten")], "doc_id long, text string")
+    model = tx.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), fit_rows=150)
+    out = tx.score(docs, model).collect()
+    assert len(out) == 901 and all(0 <= r.score <= 1 for r in out)
