@@ -240,7 +240,7 @@ def _found(doc_id, tag, grp, bucket: int, doc, ordinal, same, near, hot) -> pa.T
         o = np.argsort(place[doc[m]], kind="stable")
         ords.append(ordinal[m][o].astype("<u4"))
         totals.append(np.bincount(row, weights=c[order], minlength=len(groups)).astype(np.int64))
-    cols = [pa.array(groups.astype(np.int32)), pa.array(np.full(len(groups), bucket, np.int32)), _packed(doc_id[order].astype("<i8"), per), _packed(tag[order].astype("<u2"), per)]
+    cols = [pa.array(groups.astype(np.int32)), pa.array(np.full(len(groups), bucket, np.int32)), _packed(doc_id[order].astype("<i8"), per), _packed(tag[order].astype("<i8"), per)]
     cols += [_packed(c[order].astype("<u4"), per) for c in counts] + [_packed(v, t) for v, t in zip(ords, totals, strict=True)]
     return pa.table(cols, [f.split()[0] for f in _FOUND.split(", ")])
 
@@ -276,7 +276,7 @@ def _send(buckets: int):
                 if not len(pick):
                     continue
                 u, count = np.unique(doc[pick], return_counts=True)
-                blob = [ids[u].astype("<i8"), tags[u].astype("<u2"), grps[u].astype("<i4"), count.astype("<u4"), place[pick].astype("<u4")]
+                blob = [ids[u].astype("<i8"), tags[u].astype("<i8"), grps[u].astype("<i4"), count.astype("<u4"), place[pick].astype("<u4")]
                 blob += [np.zeros(0, np.uint8)] * 2 if here else [g[pick].astype("<u4"), _five(r[pick])]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([here]), *(pa.array([x.tobytes()], pa.binary()) for x in blob)], names)
 
@@ -312,7 +312,7 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if not t.num_rows:
             continue
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)  # noqa: B023, E731
-        ids, tags, grps, counts, place = get("docs", "<i8"), get("tags", "<u2"), get("grps", "<i4"), get("counts", "<u4"), get("places", "<u4")
+        ids, tags, grps, counts, place = get("docs", "<i8"), get("tags", "<i8"), get("grps", "<i4"), get("counts", "<u4"), get("places", "<u4")
         doc = np.repeat(np.arange(len(ids)), counts)
         same, near, hot = (np.zeros(len(doc), bool) for _ in range(3))
         if local:
@@ -362,7 +362,7 @@ def _cut(text: bytes, start: list[int], end: list[int]) -> tuple[int, int, str,
     return sum(end) - sum(start), len(start), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
 
-_SPLIT = "kind int, doc_id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept string, ranges binary, body binary, shard int, docs binary, tags binary, starts binary, lens binary, bytes binary"
+_SPLIT = "kind int, doc_id long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string, ranges binary, body binary, shard int, docs binary, tags binary, starts binary, lens binary, bytes binary"
 _SPLIT_NAMES = [f.split()[0] for f in _SPLIT.split(", ")]
 _SPLIT_TYPES = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in _SPLIT.split(", ")]
 
@@ -394,7 +394,7 @@ def _split(buckets: int, shards: int, texts_too: bool):
             if rows.setdefault(name, i) != i:
                 again.setdefault(name, []).append(i)
         get = lambda c, kind: np.frombuffer(b"".join(found.column(c).to_pylist()), kind)
-        names = list(zip(get("docs", "<i8").tolist(), get("tags", "<u2").tolist(), strict=True))
+        names = list(zip(get("docs", "<i8").tolist(), get("tags", "<i8").tolist(), strict=True))
         row = np.array([rows.get(n, -1) for n in names], dtype=np.int64)
         more = [(j, i) for j, n in enumerate(names) if n in again for i in again[n]] if again and texts_too else []
         bucket = np.repeat(found.column("bucket").to_numpy(), [len(x) // 8 for x in found.column("docs").to_pylist()]).astype(np.int64)
@@ -477,7 +477,7 @@ def _split(buckets: int, shards: int, texts_too: bool):
                     kind=[2] * len(u),
                     shard=u,
                     docs=[ids[d[p]].astype("<i8").tobytes() for p in parts],
-                    tags=[tags[d[p]].astype("<i4").tobytes() for p in parts],
+                    tags=[tags[d[p]].astype("<i8").tobytes() for p in parts],
                     starts=[(a[p] - base[d[p]]).astype("<i8").tobytes() for p in parts],
                     lens=[(b[p] - a[p]).astype("<u4").tobytes() for p in parts],
                     bytes=[b"".join([raw[x:y] for x, y in zip(a[p], b[p], strict=True)]) for p in parts],
@@ -492,7 +492,7 @@ def _sort_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Suffix-sort the runs of a shard; ranges to remove, per document."""
     trim()
     get = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    ids, tags, starts, lens, data = get("docs", "<i8"), get("tags", "<i4"), get("starts", "<i8"), get("lens", "<u4").astype(np.int64), get("bytes", np.uint8)
+    ids, tags, starts, lens, data = get("docs", "<i8"), get("tags", "<i8"), get("starts", "<i8"), get("lens", "<u4").astype(np.int64), get("bytes", np.uint8)
     base = np.cumsum(lens) - lens
     n = lens - MATCH + 1
     seg = np.repeat(np.arange(len(ids)), n)
@@ -516,13 +516,13 @@ def _sort_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(i[first]), "tag": pa.array(t[first]), "more": blob})
 
 
-_RESULT = "doc_id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept string"
+_RESULT = "doc_id long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _finish(texts_too: bool):
     """Open documents with the ranges from all shards."""
     names = [f.split()[0] for f in _RESULT.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -563,7 +563,7 @@ def _results(docs: DataFrame, texts_too: bool) -> DataFrame:
     split = written(d.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_split(buckets, shards, texts_too), schema), "windows")
     drop(found)
 
-    more = split.filter("kind = 2").select("shard", "docs", "tags", "starts", "lens", "bytes").groupBy("shard").applyInArrow(_sort_shard, "doc_id long, tag int, more binary")
+    more = split.filter("kind = 2").select("shard", "docs", "tags", "starts", "lens", "bytes").groupBy("shard").applyInArrow(_sort_shard, "doc_id long, tag long, more binary")
     more = more.groupBy("doc_id", "tag").agg(F.collect_list("more").alias("more"))
     late = split.filter("kind = 1").select("doc_id", "tag", "ranges", "body", *extra).join(more, ["doc_id", "tag"], "left").select("doc_id", "tag", "ranges", "body", "more", *extra)
     done = split.filter("kind = 0").select("doc_id", "tag", "n_removed", "n_spans", "kept_sha256", "kept", *extra)
@@ -572,7 +572,7 @@ def _results(docs: DataFrame, texts_too: bool) -> DataFrame:
 
 def _tag(text):
     """Tells rows of one id with different texts apart."""
-    return F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return F.xxhash64(text.cast("binary"), F.octet_length(text))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -580,6 +580,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long"), _tag(text).alias("tag"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole_sha"))
     done = _results(docs, texts_too=False).select("doc_id", "tag", F.col("n_removed").alias("cut"), F.col("n_spans").alias("spans"), F.col("kept_sha256").alias("sha"))
+    done = done.dropDuplicates(["doc_id", "tag"])  # repeated rows may lie in different groups
     zero = F.lit(0).cast("long")
     return whole.join(done, ["doc_id", "tag"], "left").select("doc_id", "n_bytes", F.coalesce("cut", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))
 

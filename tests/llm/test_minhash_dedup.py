@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lattica.llm import minhash_dedup as md
 
@@ -125,3 +126,37 @@ def test_each_text_of_a_shared_id_has_its_near_duplicates(spark):
     rows = [(1, t) for t in texts] + [(10 + i, t + " more") for i, t in enumerate(texts)] + [(20, say(9))]
     got = {(r.doc_id, r.class_id) for r in md.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 1), (20, 20)} | {(10 + i, 1) for i in range(4)}
+
+
+def test_groups_by_place_in_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(md, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(md, "GROUP_BYTES", 5000)
+    rows = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    got = sorted((r.doc_id, r.class_id) for r in md.near_duplicates(spark.read.parquet(f"{tmp_path}/d")).collect())
+    assert got == plain_classes(rows)
+
+
+def test_group_sizes_are_bounded(spark, tmp_path):
+    from lattica.llm.shared import group_of, text_stats
+
+    texts = ["w " * (5 if i < 900 else 3000) for i in range(1000)]  # the long ones last
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    n, size = text_stats(docs)
+    by = docs.select(group_of(docs, n, size, 20_000).alias("g"), "text").groupBy("g").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert max(r.b for r in by) <= 4 * 20_000 and sum(r.n for r in by) == 1000
+    assert len(by) <= 3 * size / 20_000
+
+
+def test_a_word_of_all_texts_is_told_once_per_group(spark, tmp_path):
+    import pyarrow as pa
+
+    texts = [f"the same five words stand here and then {i} {i + 1} {i + 2}" for i in range(2000)]
+    grp = [i // 100 for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(texts), pa.array(range(2000))], ["grp", "text", "doc_id"])
+    sent = list(md._send(7)([batch]))
+    per_bucket = [sum(np.frombuffer(x, "<u4").sum() for x in b.column(2).to_pylist()) for b in sent]
+    # every text has 4 shared shingles and a few of its own; the shared ones are told 20 times, not 2000
+    assert sum(per_bucket) <= 2000 * 5 + 20 * 4
+    assert max(per_bucket) < 1.5 * np.median(per_bucket) + 80

@@ -99,3 +99,15 @@ def test_texts_without_repeats(spark):
         b = (r.text or "").encode()
         assert r.kept == "x" and (hashlib.sha256(b).hexdigest() == sha or len(b) < n)
     assert sum(hashlib.sha256((r.text or "").encode()).hexdigest() == want[r.doc_id][1] for r in out) > 0.9 * len(out)
+
+
+def test_groups_by_place_in_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(sd, "GROUP_BYTES", 2500)
+    monkeypatch.setattr(sd, "SHARD_BYTES", 3000)
+    rows = corpus()
+    rows = rows + rows[:5] + [(rows[7][0], rows[8][1] + " another text of one id")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    got = sorted(tuple(r) for r in sd.repeated_spans(spark.read.parquet(f"{tmp_path}/d")).collect())
+    assert got == brute(rows)
+    assert sd.without_repeats(spark.read.parquet(f"{tmp_path}/d")).count() == len(rows)
