@@ -20,8 +20,9 @@ least id in even bands, the least hashed id in odd ones), and one minus the
 weighted Jaccard similarity is a metric.  A member further than twice
 ``1 - threshold`` from the leader is therefore similar to none that is linked to
 it, and one that is nearer but not linked only to those linked ones whose
-distance from the leader is within ``1 - threshold`` of its own; it is compared
-with these unless it is in the leader's class by then.  Members that are not
+distance from the leader is within ``1 - threshold`` of its own.  It is compared
+with these unless it is in the leader's class by then, or the two cannot share
+enough: their weights in each of ``SHARES`` parts of all shingles bound that.  Members that are not
 linked choose a leader among themselves, in ``ROUNDS`` rounds, each linear in the
 members.  What is then left of a bucket is compared pair by pair up to ``FAN``
 members; larger remainders are split by the members' rarest shingles (of two
@@ -45,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop, group_of, text_stats, written
@@ -54,6 +55,8 @@ from .textblock import TextBlock, chunks, local_groups, mix, order_in_cells, tri
 WIDTH, BANDS, ROWS, DAMP, ROUNDS = 5, 10, 3, 0.1, 3
 #: Members left after the leader rounds up to which a bucket is not split; parts in which rows of one text are dealt.
 FAN, SALTS = 16, 8
+#: Parts of all shingles for which texts' weights are kept apart (a power of two).
+SHARES = 32
 #: Text bytes per bucket of hashes and per group of documents; shingles a map task gathers before it sends.
 BUCKET_BYTES, GROUP_BYTES, GATHER = 10 << 20, 14 << 20, 1_000_000
 
@@ -63,7 +66,7 @@ BUCKET_BYTES, GROUP_BYTES, GATHER = 10 << 20, 14 << 20, 1_000_000
 def shingles(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, shingle hash and count of every distinct shingle of every text, ordered by text and hash."""
     start, end, first = block.words()
-    words = block.hash_ranges(start, end)
+    words = block.word_hashes()
     n = np.diff(first)
     h, at = windows(words, first, WIDTH)
     doc = np.repeat(np.arange(block.n), n)[at]
@@ -71,7 +74,7 @@ def shingles(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(few):
         own = np.array([mix(np.uint64(len(w)) + np.bitwise_xor.reduce(mix(w + np.arange(len(w), dtype=np.uint64)))) for w in (words[first[i] : first[i + 1]] for i in few)], np.uint64)
         doc, h = np.r_[doc, few], np.r_[h, own]
-    o = np.lexsort((h, doc))
+    o = order_in_cells(doc, h)
     doc, h = doc[o], h[o]
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
     return doc[new], h[new], np.diff(np.r_[new, len(h)])
@@ -228,14 +231,14 @@ def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(u.astype(np.int32)), pa.array(np.full(len(u), key[0].as_py(), np.int32)), pa.array([_five(h[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([np.minimum(df[a:b], 2**32 - 1).astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], [f.split()[0] for f in _FREQ.split(", ")])
 
 
-_VECTOR = "doc_id long, total double, vec binary, keys array<long>, rare array<int>"
+_VECTOR = "doc_id long, total double, shares array<float>, vec binary, keys array<long>, rare array<int>"
 
 
 def _vectors(buckets: int, n_docs: int, threshold: float):
     """A group of texts with its frequencies: vectors and band keys of those texts that can have a partner."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, freq: pa.Table) -> pa.Table:
-        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))], [f.split()[0] for f in _VECTOR.split(", ")])
+        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.float32())), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))], [f.split()[0] for f in _VECTOR.split(", ")])
         if not texts.num_rows or not freq.num_rows:
             return none
         known = np.concatenate([_unfive(x) | np.uint64(b) << np.uint64(40) for b, x in zip(freq.column("bucket").to_pylist(), freq.column("hashes").to_pylist(), strict=True)])
@@ -264,6 +267,7 @@ def _vectors(buckets: int, n_docs: int, threshold: float):
             keys = band_keys(samples(doc[take], h[take], w[take], block.n))
             take &= held
             d, v, x = doc[take], (h[take] >> np.uint64(32)).astype("<u4"), w[take].astype("<f4")
+            shares = np.bincount(d * SHARES + (h[take] & np.uint64(SHARES - 1)).astype(np.int64), weights=w[take], minlength=block.n * SHARES).reshape(-1, SHARES).astype(np.float32)
             r = rare(d, h[take], df[at[take]], w[take], total, threshold)
             r_cuts = np.searchsorted(d[r], np.arange(block.n + 1))
             r = v[r].view(np.int32)
@@ -271,7 +275,7 @@ def _vectors(buckets: int, n_docs: int, threshold: float):
             d, v, x = d[o], v[o], x[o]
             cuts = np.searchsorted(d, np.arange(block.n + 1))
             who = np.flatnonzero(may)
-            out.append(pa.table([pa.array(ids[who]), pa.array(total[who]), pa.array([v[cuts[i] : cuts[i + 1]].tobytes() + x[cuts[i] : cuts[i + 1]].tobytes() for i in who], pa.binary()), pa.array(list(keys[who].view(np.int64)), pa.list_(pa.int64())), pa.array([r[r_cuts[i] : r_cuts[i + 1]] for i in who], pa.list_(pa.int32()))], none.column_names))
+            out.append(pa.table([pa.array(ids[who]), pa.array(total[who]), pa.array(list(shares[who]), pa.list_(pa.float32())), pa.array([v[cuts[i] : cuts[i + 1]].tobytes() + x[cuts[i] : cuts[i + 1]].tobytes() for i in who], pa.binary()), pa.array(list(keys[who].view(np.int64)), pa.list_(pa.int64())), pa.array([r[r_cuts[i] : r_cuts[i + 1]] for i in who], pa.list_(pa.int32()))], none.column_names))
         return pa.concat_tables(out)
 
     return run
@@ -293,6 +297,12 @@ def verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return own.join(lead, "leader").select("doc_id", "leader", "vec", "total", "l_vec", "l_total").mapInArrow(_similar, "doc_id long, leader long, similarity double")
 
 
+def can_reach(threshold: float, total: str, shares: str, other_total: str, other_shares: str) -> Column:
+    """Whether two texts can have the similarity: in each of the SHARES parts of all shingles they share no more than either one's weight there of those that more than one text has."""
+    most = F.aggregate(F.zip_with(shares, other_shares, F.least), F.lit(0.0), lambda x, y: x + y)
+    return (1 + SLACK) * most >= threshold * (F.col(total) + F.col(other_total) - most)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``doc_id, class_id`` (least id of the component) for the ids in ``edges(a, b)``: neighbours' least label, then the label's label, until nothing changes."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -311,24 +321,25 @@ def components(edges: DataFrame) -> DataFrame:
 SLACK = 1e-5
 
 
-def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame | None]:
+def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
     """``ROUNDS`` rounds of leaders in the cells of ``open_(doc_id, band, key)``.
 
-    Of each round, members' similarities to their leaders (``doc_id, leader, similarity``, each pair once); and the
-    members that are still open (``doc_id, band, key``), if there can be any.
+    Of each round, the members (``key, doc_id, leader``) and their similarities to their leaders (``doc_id, leader,
+    similarity``, each pair once); and the members that are still open (``doc_id, band, key``), if there can be any.
     """
-    compared = []
+    cells, compared = [], []
     for turn in range(ROUNDS):
         # another leader in every round: the least id or, in odd bands and later rounds, the least hash
         order = F.when((F.col("band") % 2 == 0) & F.lit(turn == 0), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "band", F.lit(turn)))
         heads = open_.groupBy("key", "band").agg(F.min_by("doc_id", order).alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
         member = written(open_.join(heads, "key").filter("doc_id <> leader"), "members")
         if not member.limit(1).count():
-            return compared, None
+            return cells, compared, None
+        cells.append(member.select("key", "doc_id", "leader"))
         compared.append(written(verified(member.select("doc_id", "leader"), vectors), "similarities"))
         sure = compared[-1].filter(F.col("similarity") >= threshold).select("doc_id", "leader")
         open_ = member.join(sure, ["doc_id", "leader"], "left_anti").select("doc_id", "band", "key")
-    return compared, open_
+    return cells, compared, open_
 
 
 def labelled(rows: DataFrame, known: DataFrame, of: str, name: str) -> DataFrame:
@@ -337,24 +348,29 @@ def labelled(rows: DataFrame, known: DataFrame, of: str, name: str) -> DataFrame
     return rows.join(k, rows[of] == k["_id"], "left").withColumn(name, F.coalesce("_class", of)).drop("_id", "_class")
 
 
-def beside_leaders(compared: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``doc_id, leader`` of a text linked to a leader and one that is not, but may be similar to it and is not in the leader's class."""
+def beside_leaders(cells: DataFrame, compared: DataFrame, known: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``doc_id, leader`` of a cell: a text linked to its leader, and one that is not, but may be similar to it and is not in the leader's class."""
     far = 1 - threshold
-    shell = compared.filter((F.col("similarity") < threshold) & (1 - F.col("similarity") <= 2 * far + SLACK))
+    weights = vectors.select("doc_id", "total", "shares")
+    shell = compared.filter((F.col("similarity") < threshold) & (1 - F.col("similarity") <= 2 * far + SLACK)).distinct()
     shell = labelled(labelled(shell, known, "doc_id", "label"), known, "leader", "l_label").filter("label <> l_label")
-    shell = written(shell.select("leader", F.col("doc_id").alias("other"), (1 - F.col("similarity")).alias("away")).distinct(), "shells")
-    linked = compared.filter(F.col("similarity") >= threshold).select("leader", "doc_id", (1 - F.col("similarity")).alias("near")).distinct()
-    pairs = shell.join(linked, "leader").filter(F.col("near") >= F.col("away") - (far + SLACK))
+    shell = written(shell.join(weights, "doc_id").select("leader", F.col("doc_id").alias("other"), (1 - F.col("similarity")).alias("away"), F.col("total").alias("o_total"), F.col("shares").alias("o_shares")), "shells")
+    out = written(cells.withColumnRenamed("doc_id", "other").join(shell, ["other", "leader"]), "outsiders")
+    linked = compared.filter(F.col("similarity") >= threshold).select("doc_id", "leader", (1 - F.col("similarity")).alias("near")).distinct()
+    linked = linked.join(shell.select("leader").distinct(), "leader", "left_semi").join(weights, "doc_id")
+    linked = cells.join(out.select("key", "leader").distinct(), ["key", "leader"], "left_semi").join(linked, ["doc_id", "leader"])
+    close = F.col("near") >= F.col("away") - (far + SLACK)
+    pairs = out.join(linked, ["key", "leader"]).filter(close & can_reach(threshold, "total", "shares", "o_total", "o_shares"))
     return pairs.select("doc_id", F.col("other").alias("leader"))
 
 
 def within(cells: DataFrame, known: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``doc_id, leader`` of different classes in a cell (whole weights further apart than the threshold cannot reach it)."""
+    """All pairs ``doc_id, leader`` of different classes in a cell that can reach the threshold."""
     m = labelled(cells.select("doc_id", "key"), known, "doc_id", "label")
     several = m.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    a = written(m.join(several, "key").join(vectors.select("doc_id", "total"), "doc_id"), "open")
-    b = a.select("key", F.col("doc_id").alias("leader"), F.col("label").alias("l_label"), F.col("total").alias("l_total"))
-    near = F.least("total", "l_total") >= threshold * (1 - 1e-6) * F.greatest("total", "l_total")
+    a = written(m.join(several, "key").join(vectors.select("doc_id", "total", "shares"), "doc_id"), "open")
+    b = a.select("key", F.col("doc_id").alias("leader"), F.col("label").alias("l_label"), F.col("total").alias("l_total"), F.col("shares").alias("l_shares"))
+    near = can_reach(threshold, "total", "shares", "l_total", "l_shares")
     return a.join(b, "key").filter((F.col("doc_id") < F.col("leader")) & (F.col("label") != F.col("l_label")) & near).select("doc_id", "leader")
 
 
@@ -370,7 +386,7 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
     def linked(compared: list[DataFrame]) -> DataFrame:
         return union(compared).filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
 
-    compared, open_ = leaders(vectors.select("doc_id", F.posexplode("keys").alias("band", "key")), vectors, threshold)
+    cells, compared, open_ = leaders(vectors.select("doc_id", F.posexplode("keys").alias("band", "key")), vectors, threshold)
     if not compared:
         return None
     known, pairs = components(linked(compared)), []
@@ -380,14 +396,14 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
         large = open_.filter(F.col("n") > FAN).select("doc_id", "key")
         if large.limit(1).count():
             parts = large.join(vectors.select("doc_id", F.explode("rare").alias("token")), "doc_id").select("doc_id", F.lit(0).alias("band"), F.xxhash64("key", "token").alias("key"))
-            more, rest = leaders(written(parts, "parts"), vectors, threshold)
+            at, more, rest = leaders(written(parts, "parts"), vectors, threshold)
             if more:
-                compared += more
+                cells, compared = cells + at, compared + more
                 known = components(linked(compared))
             if rest is not None:
                 pairs.append(within(rest, known, vectors, threshold))
         pairs.append(within(open_.filter(F.col("n") <= FAN), known, vectors, threshold))
-    pairs.append(beside_leaders(union(compared), known, threshold))
+    pairs.append(beside_leaders(union(cells), union(compared), known, vectors, threshold))
     late = verified(union(pairs), vectors).filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     return union([linked(compared), written(late, "links")])
 

@@ -95,7 +95,8 @@ def one_bucket(spark, texts, bands, threshold=0.8):
     for i in range(len(texts)):
         at = np.flatnonzero(doc == i)
         at = at[np.argsort(token[at])]
-        rows.append((i, float(total[i]), bytearray(token[at].tobytes() + w[at].astype("<f4").tobytes()), list(range(100, 100 + bands)), token[r[doc[r] == i]].view(np.int32).tolist()))
+        shares = np.bincount((h[at] >> np.uint64(32)).astype(np.int64) % md.SHARES, weights=w[at], minlength=md.SHARES)
+        rows.append((i, float(total[i]), shares.tolist(), bytearray(token[at].tobytes() + w[at].astype("<f4").tobytes()), list(range(100, 100 + bands)), token[r[doc[r] == i]].view(np.int32).tolist()))
     return spark.createDataFrame(rows, md._VECTOR).repartition(4)
 
 
