@@ -56,8 +56,6 @@ ORDERS = 3
 #: Gates of the mixer (the most frequent nodes have one each, the others share the last), its first weights, its rate,
 #: the symbols it reads before it learns from them, and buckets of the adaptive map.
 GATES, FIRST, RATE, STRETCH, BUCKETS = 32, (0.25, 0.50, 0.45), 0.02, 32, 48
-#: Bits that are looked up at once.
-WINDOW = 100_000
 #: Rates at which whole words are mixed in, and what each is given beforehand.
 WORD_RATES, WORD_PRIOR = (0.01, 0.05, 0.2), (0.4, 0.4, 0.2)
 _LN10 = math.log(10)
@@ -208,84 +206,71 @@ class Predictors:
         slots = contexts(raw)
         n = np.diff(block.offsets) + 1
         begin = np.cumsum(n) - n
-        # texts by length, the longest first, so that those that go on are always the first ones; their symbols stretch by stretch
+        # texts by length, the longest first, so that those that go on are always the first ones
         texts = np.argsort(-n, kind="stable")
-        row = np.repeat(np.arange(block.n), n[texts])
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n[texts]) - n[texts], n[texts])
-        turn = within // STRETCH
-        order = np.argsort(turn if len(turn) and turn.max() >= 1 << 16 else turn.astype(np.uint16), kind="stable")
-        row, within = row[order], within[order]
-        ends_of_turn = np.cumsum(np.bincount(turn))
-        pos = first[texts][row] + within
-        sym = raw[pos]
-        length = a.length.take(sym)
-        upto = np.concatenate([[0], np.cumsum(length)])
-        stops = upto[ends_of_turn]  # bits up to the end of each turn
-        live = (n[texts][None, :] > STRETCH * np.arange(1, len(stops) + 1)[:, None]).sum(axis=1) if len(stops) * block.n < 1 << 22 else np.array([int((n > STRETCH * (t + 1)).sum()) for t in range(len(stops))])
+        left, place, target = n[texts], first[texts], begin[texts]
         weights = [np.full(block.n * GATES, w, np.float32) for w in FIRST]
         mid = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) * 32 / BUCKETS))
         seen, ones = np.full(block.n * BUCKETS, 30.0), np.tile(mid * 30.0, block.n)
         refined = np.tile((0.25 * mid).astype(np.float32), block.n)
-        out = np.empty(len(sym), np.float32)
-        turns = len(stops)
-        t = 0
-        while t < turns:
-            # the turns of a window: what does not depend on learning is looked up for all of them at once
-            begun = int(stops[t - 1]) if t else 0
-            to = max(t + 1, int(np.searchsorted(stops, begun + WINDOW, "right")))
-            i, j = (int(ends_of_turn[t - 1]) if t else 0), int(ends_of_turn[to - 1])
-            rep = np.repeat(np.arange(i, j), length[i:j])
-            flat = (a.begin.take(sym[i:j]) - upto[i:j]).take(rep - i)
-            flat += np.arange(begun, begun + len(rep))
-            node, one = a.node.take(flat), a.one.take(flat)
-            who = row.take(rep)
-            gate = who * GATES
-            gate += a.gate.take(flat)
-            shelf = who * BUCKETS
-            tally = one * np.float32(65536)
-            tally += np.float32(1)
-            at = pos.take(rep)
-            x = [self.tables[k].take(slots[k].take(at) ^ node).astype(np.float32) for k in range(ORDERS)]
-            chance = np.empty(len(rep), np.float32)
-            for u in range(t, to):
-                b = slice((int(stops[u - 1]) if u else 0) - begun, int(stops[u]) - begun)
-                g, o = gate[b], one[b]
-                z = weights[0].take(g)
-                z *= x[0][b]
-                for k in range(1, ORDERS):
-                    part = weights[k].take(g)
-                    part *= x[k][b]
-                    z += part
-                z *= np.float32(0.125)
-                np.clip(z, -16, 16, out=z)
-                bucket = (z * np.float32(BUCKETS / 32) + np.float32(BUCKETS / 2 - 1e-3)).astype(np.int64)
-                bucket += shelf[b]
-                np.negative(z, out=z)
-                np.exp(z, out=z)
-                z += np.float32(1)
-                p = np.reciprocal(z, out=z)
-                q = p * np.float32(0.75)
-                q += refined.take(bucket)
-                chance[b] = q
-                m = int(live[u])
-                if m:  # a text's last stretch changes nothing that is still to be read
-                    last = int(np.searchsorted(who[b], m)) if m < block.n else len(g)
-                    g, err, bucket = g[:last], (o - p)[:last], bucket[:last]
-                    for k in range(ORDERS):
-                        weights[k][: m * GATES].reshape(m, GATES)[:] += np.bincount(g, weights=err * x[k][b][:last], minlength=m * GATES).reshape(m, GATES) * a.step
-                    new = np.bincount(bucket, weights=tally[b][:last], minlength=m * BUCKETS)
-                    came = np.floor(new / 65536)
-                    ones[: m * BUCKETS] += came
-                    seen[: m * BUCKETS] += new - came * 65536
-                    refined[: m * BUCKETS] = 0.25 * ones[: m * BUCKETS] / seen[: m * BUCKETS]
-            chance += one
-            chance -= np.float32(1)  # one is 0 or 1: now, up to its sign, the probability of what came
-            cost = -np.log(np.abs(chance, out=chance), out=chance)
-            out[i:j] = np.diff(np.cumsum(cost, dtype=np.float64).take(upto[i + 1 : j + 1] - (begun + 1)), prepend=0.0)
-            t = to
-        back = np.empty(len(out), np.float32)
-        back[begin[texts][row] + within] = out
-        return back
+        out = np.empty(n.sum(), np.float32)
+        live, at = block.n, 0
+        while live:
+            take = np.minimum(left[:live] - at, STRETCH)
+            upto = np.cumsum(take)
+            inner = np.arange(upto[-1]) - np.repeat(upto - take - at, take)
+            pos = np.repeat(place[:live], take)
+            pos += inner
+            sym = raw.take(pos)
+            length = a.length.take(sym)
+            ends = np.cumsum(length)
+            stops = ends.take(upto - 1)  # bits up to the end of each text's stretch
+            bits = np.diff(stops, prepend=0)
+            rep = np.repeat(np.arange(len(sym)), length)
+            flat = (a.begin.take(sym) - (ends - length)).take(rep)
+            flat += np.arange(len(rep))
+            node, one, gate = a.node.take(flat), a.one.take(flat), a.gate.take(flat)
+            gate += np.repeat(np.arange(live) * GATES, bits)
+            z, x = None, []
+            for k in range(ORDERS):
+                slot = slots[k].take(pos).astype(np.int64).take(rep)
+                slot ^= node
+                x.append(self.tables[k].take(slot).astype(np.float32))
+                part = weights[k].take(gate)
+                part *= x[k]
+                z = part if z is None else np.add(z, part, out=z)
+            z *= np.float32(0.125)
+            np.clip(z, -16, 16, out=z)
+            bucket = (z * np.float32(BUCKETS / 32) + np.float32(BUCKETS / 2 - 1e-3)).astype(np.int64)
+            bucket += np.repeat(np.arange(live) * BUCKETS, bits)
+            np.negative(z, out=z)
+            np.exp(z, out=z)
+            z += np.float32(1)
+            p = np.reciprocal(z, out=z)
+            q = p * np.float32(0.75)
+            q += refined.take(bucket)
+            q += one
+            q -= np.float32(1)  # one is 0 or 1: now, up to its sign, the probability of what came
+            cost = np.cumsum(np.log(np.abs(q, out=q), out=q), dtype=np.float64).take(ends - 1)
+            pos = np.repeat(target[:live], take)
+            pos += inner
+            out[pos] = -np.diff(cost, prepend=0.0)
+            at += STRETCH
+            more = int(np.searchsorted(-left[:live], -at))  # a text's last stretch changes nothing that is still to be read
+            if more:
+                last = int(stops[more - 1])
+                gate, bucket, one = gate[:last], bucket[:last], one[:last]
+                err = one - p[:last]
+                for k in range(ORDERS):
+                    weights[k][: more * GATES].reshape(more, GATES)[:] += np.bincount(gate, weights=err * x[k][:last], minlength=more * GATES).reshape(more, GATES) * a.step
+                # bits seen and ones among them in one sum
+                new = np.bincount(bucket, weights=one * np.float32(65536) + np.float32(1), minlength=more * BUCKETS)
+                came = np.floor(new / 65536)
+                ones[: more * BUCKETS] += came
+                seen[: more * BUCKETS] += new - came * 65536
+                refined[: more * BUCKETS] = 0.25 * ones[: more * BUCKETS] / seen[: more * BUCKETS]
+            live = more
+        return out
 
     def cost(self, block: TextBlock, share: np.ndarray | None = None) -> np.ndarray:
         """Per text, minus the natural logarithm of its probability; ``share``: each word's share of the training tokens."""
@@ -353,12 +338,12 @@ def _send(buckets: int):
     names = [f.split()[0] for f in _SENT.split(", ")]
     row = lambda b, *blobs: pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names)
 
-    def rows(names_of, grp, h, train):
+    def rows(names_of, grp, h, n):
         b = _bucket(h, buckets)
         o = order_in_cells(b * len(names_of) + grp, h)
-        b, grp, h, train = b[o], grp[o], h[o], train[o]
+        b, grp, h, n = b[o], grp[o], h[o], n[o]
         new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (grp[1:] != grp[:-1]) | (h[1:] != h[:-1])])
-        counts = np.add.reduceat(train.astype(np.int64), new)
+        counts = np.add.reduceat(n, new)
         b, grp, h = b[new], grp[new], h[new] & _MASK
         cuts = np.searchsorted(b, np.arange(buckets + 1))
         for i in range(buckets):
@@ -377,9 +362,13 @@ def _send(buckets: int):
             seen[:256] += np.bincount(low.data[np.repeat(train, np.diff(low.offsets))], minlength=256)
             seen[256] += train.sum()
             doc, h = _words(low)
-            if len(h):
-                parts.append((local_groups(part.column(0), met)[doc], h, train[doc]))
-                held += len(h)
+            grp = local_groups(part.column(0), met)
+            for g in np.unique(grp):
+                for learn in (True, False):  # each word of the chunk once
+                    u, n = np.unique(h[((grp == g) & (train == learn))[doc]], return_counts=True)
+                    if len(u):
+                        parts.append((np.full(len(u), g), u, n * learn))
+                        held += len(u)
             if held > GATHER:
                 yield from rows(np.array(list(met)), *(np.concatenate(x) for x in zip(*parts, strict=True)))
                 parts, held, met = [], 0, {}
