@@ -299,7 +299,7 @@ def verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def can_reach(threshold: float, total: str, shares: str, other_total: str, other_shares: str) -> Column:
     """Whether two texts can have the similarity: in each of the SHARES parts of all shingles they share no more than either one's weight there of those that more than one text has."""
-    most = F.aggregate(F.zip_with(shares, other_shares, F.least), F.lit(0.0), lambda x, y: x + y)
+    most = F.aggregate(F.zip_with(shares, other_shares, lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
     return (1 + SLACK) * most >= threshold * (F.col(total) + F.col(other_total) - most)
 
 
