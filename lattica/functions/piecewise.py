@@ -8,7 +8,7 @@ instead, so that the join is an equi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Breakpoints up to which intervals are broadcast.
@@ -17,9 +17,11 @@ BROADCAST_POINTS = 10_000
 
 def intervals(table: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """``lo, hi, y0, y1``: one row per breakpoint; the first also covers everything before it, the last everything after."""
-    w = Window.orderBy("lo")
-    t = table.select(F.col(x).cast("double").alias("lo"), F.col(y).alias("y0"))
-    t = t.withColumns({"hi": F.lead("lo").over(w), "y1": F.lead("y0").over(w), "first": F.row_number().over(w) == 1})
+    from ..operators.relations import index_of
+
+    t = index_of(table.select(F.col(x).cast("double").alias("lo"), F.col(y).alias("y0")), "lo", out="_at")
+    after = t.select((F.col("_at") - 1).alias("_at"), F.col("lo").alias("hi"), F.col("y0").alias("y1"))
+    t = t.join(after, "_at", "left").withColumn("first", F.col("_at") == 0)
     return t.select("lo", "hi", "y0", F.coalesce("y1", "y0").alias("y1"), "first")
 
 

@@ -154,12 +154,11 @@ def any_items(**groups: DataFrame) -> DataFrame:
 def index_of(frame: DataFrame, *keys: str, out: str = "index") -> DataFrame:
     """Contiguous numbers from 0 in order of the keys, without sorting everything in one task.
 
-    Keys are range-partitioned; a count per partition gives each partition its first number.  The partitioned rows are
-    persisted, as both uses must see the same sampled ranges.
+    A range of the first key for each row (``scan.in_ranges``); a count per range gives each range its first number.
     """
-    spark = frame.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = frame.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()).persist()
+    from .scan import in_ranges
+
+    ranged = in_ranges(frame, *keys)
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     first = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = counts.select("_p", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_first"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 _WITH = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
 
@@ -21,8 +22,7 @@ def scan(frame: DataFrame, value: Column, order: list[str], keys: list[str], how
 
 def global_scan(frame: DataFrame, value: str, order: list[str], how: str = "sum", init=None, exclusive: bool = False, out: str = "scan") -> DataFrame:
     """The same over one order of all rows, in two passes: within range partitions, then with the partitions' totals before."""
-    n = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    p = frame.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).persist()  # both uses must see the same ranges
+    p = in_ranges(frame, *order)
     totals = p.groupBy("_p").agg(getattr(F, how)(value).alias("_t"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = totals.select("_p", getattr(F, how)("_t").over(before).alias("_before"))
@@ -33,6 +33,31 @@ def global_scan(frame: DataFrame, value: str, order: list[str], how: str = "sum"
     return s.withColumn(out, both).drop("_p", "_own", "_before")
 
 
+def in_ranges(frame: DataFrame, *order: str) -> DataFrame:
+    """``frame`` with ``_p``, the number of its range of the order: as many ranges as shuffle partitions.
+
+    The bounds are quantiles of the first key, found once and then fixed, so a part that is computed again, after an
+    executor is lost or by a second reader, falls into the same ranges.  Rows of one first key share a range; where one
+    such key is hot, the others' hashes do not help an order, and its rows are one task's.
+    """
+    n = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = order[0]
+    kind = frame.schema[key].dataType
+    if n == 1:
+        return frame.withColumn("_p", F.lit(0))
+    if isinstance(kind, NumericType):
+        number = F.col(key).cast("double")
+    elif isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        number = F.unix_timestamp(F.col(key).cast("timestamp")).cast("double")
+    else:  # the order of the first six bytes
+        number = F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    bounds = frame.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    bounds = sorted({b for b in bounds if b == b})
+    # null and NaN as in the order: nulls first, NaN last
+    place = F.when(number.isNull(), 0).when(F.isnan(number), len(bounds)).otherwise(sum((F.when(number > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0)))
+    return frame.withColumn("_p", place.cast("int"))
+
+
 def neighbours(frame: DataFrame, uid: str, order: list[str], keys: list[str]) -> DataFrame:
     """``previous`` and ``next`` uid along a direction; null at the border."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -69,11 +69,12 @@ def ray_faces(rays: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
     return out.select("uid", F.col("_b.face_uid").alias("face_uid"), *(c.alias(k) for k, c in at.items()), length.alias("distance"))
 
 
-def n_body(bodies: DataFrame, softening: float, blocks: int = 8) -> DataFrame:
+def n_body(bodies: DataFrame, softening: float, block: int = 4096) -> DataFrame:
     """Force on each body from all bodies (unit masses): ``uid, fx, fy, fz``.
 
-    All pairs, but by blocks: every target row meets each block of sources as one packed list.
+    All pairs, but by blocks of about ``block`` bodies: every target row meets each block of sources as one packed list.
     """
+    blocks = bodies.count() // block + 1
     b = bodies.withColumn("_b", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
     packed = b.groupBy("_b").agg(F.collect_list(F.struct("x", "y", "z")).alias("_all"))
     t = bodies.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_b", F.col("_b").cast("long"))

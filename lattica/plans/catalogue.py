@@ -571,22 +571,6 @@ def _history(spark, sf):
     return t(spark, sf, "events").select(F.col("event_type").alias("name"), day.alias("iteration"), "user_id", "event_id", "value")
 
 
-def _curves(spark, sf, name):
-    h = _history(spark, sf).filter(F.col("name") == name).groupBy("iteration").agg(F.avg("value").alias("y"))
-    return h.select(F.lit("daily").alias("name"), F.col("iteration").cast("double").alias("x"), r("y", 6).alias("y"))
-
-
-def _two(spark, sf):
-    names = [x[0] for x in t(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return _curves(spark, sf, names[0]), _curves(spark, sf, names[1])
-
-
-_CURVES = f"""
-n AS (SELECT event_type e, row_number() OVER (ORDER BY event_type) k FROM (SELECT DISTINCT event_type FROM events)),
-c AS (SELECT k, {_DAY}::DOUBLE x, round(avg(value), 6) y FROM events JOIN n ON e = event_type WHERE k <= 2 GROUP BY 1, 2),
-j AS (SELECT a.x, a.y r, b.y t FROM c a JOIN c b ON a.x = b.x AND a.k = 1 AND b.k = 2)"""
-
-
 @query(f"SELECT event_type AS name, user_id, {_DAY} AS iteration, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2, 3")
 def history_last_wins(spark, sf):
     return scan.last_wins(_history(spark, sf), ["name", "user_id", "iteration"], "event_id", "value")
@@ -606,54 +590,6 @@ def history_shrink(spark, sf):
     return scan.shrink(_history(spark, sf), "iteration", 3).select("event_id", "iteration", "value")
 
 
-@query(f"WITH {_CURVES} SELECT 'daily' AS name, x, y FROM c WHERE k = 1 AND x >= 19725 AND x < 19740")
-def curve_crop(spark, sf):
-    return curves.crop(_two(spark, sf)[0], 19725, 19740)
-
-
-@query(f"""
-WITH {_CURVES}, h AS (SELECT x + 0.25 AS x, y FROM c WHERE k = 2), b AS (SELECT x, y, lead(x) OVER (ORDER BY x) x1, lead(y) OVER (ORDER BY x) y1 FROM h)
-SELECT 'daily' AS name, a.x AS x, round(b.y + (y1 - b.y) * ((a.x - b.x) / (x1 - b.x)), 5) AS y FROM c a JOIN b ON a.k = 1 AND a.x >= b.x AND a.x < x1
-""")
-def curve_project_p1(spark, sf):
-    a, b = _two(spark, sf)
-    return curves.projected(a, b.withColumn("x", F.col("x") + 0.25), 1).select("name", "x", r("y", 5).alias("y"))
-
-
-@query(f"WITH {_CURVES} SELECT 'daily' AS name, round(max(abs((t - r) / CASE WHEN r = 0 THEN 1 ELSE r END)), 6) AS error FROM j")
-def curve_error_relative(spark, sf):
-    return curves.errors(*_two(spark, sf), "relative").withColumn("error", r("error", 6))
-
-
-@query(f"WITH {_CURVES} SELECT 'daily' AS name, round(max(abs(t - r)) / max(abs(r)), 6) AS error FROM j")
-def curve_error_relative_max(spark, sf):
-    return curves.errors(*_two(spark, sf), "relative_max").withColumn("error", r("error", 6))
-
-
-@query(f"WITH {_CURVES} SELECT 'daily' AS name, round(abs((max(abs(t)) - max(abs(r))) / max(abs(r))), 6) AS error FROM j")
-def curve_error_max(spark, sf):
-    return curves.errors(*_two(spark, sf), "max").withColumn("error", r("error", 6))
-
-
-@query(f"WITH {_CURVES} SELECT 'daily' AS name, round(abs(max(t) - max(r)), 6) AS error FROM j")
-def curve_error_drbar(spark, sf):
-    return curves.errors(*_two(spark, sf), "drbar").withColumn("error", r("error", 6))
-
-
-@query(f"""
-WITH {_CURVES}, d AS (SELECT x, x - coalesce(lag(x) OVER (ORDER BY x), 0) dt, CASE WHEN r = 0 THEN 0 ELSE (t - r) / r END rel FROM j) SELECT 'daily' AS name, round(abs(sum(dt * rel) / max(x)), 6) AS error FROM d
-""")
-def curve_error_drift(spark, sf):
-    return curves.errors(*_two(spark, sf), "drift").withColumn("error", r("error", 6))
-
-
-@query(f"""
-WITH {_CURVES} SELECT 'daily' AS name, abs((SELECT min(x) FROM j WHERE abs(t) = (SELECT max(abs(t)) FROM j)) - (SELECT min(x) FROM j WHERE abs(r) = (SELECT max(abs(r)) FROM j))) AS error
-""")
-def curve_error_chronometry(spark, sf):
-    return curves.errors(*_two(spark, sf), "chronometry")
-
-
 @query(f"""
 WITH h AS (SELECT event_type AS name, {_DAY}::DOUBLE x, round(avg(value), 6) y FROM events GROUP BY 1, 2),
 i AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY name) AS n, (lead(x) OVER (PARTITION BY name ORDER BY x) + lag(x) OVER (PARTITION BY name ORDER BY x)) / 2 AS w FROM h)
@@ -1071,3 +1007,6 @@ def copy_mean_values(spark, sf):
     p = t(spark, sf, "part").select(F.col("p_partkey").alias("uid"), F.col("p_retailprice").alias("v"))
     m = p.filter("uid % 2 = 0").select("uid", F.col("uid").alias("first"), (F.col("uid") + 1).alias("second"))
     return checks.copy_mean(p, m, "v").select(F.col("uid").alias("p_partkey"), r("v").alias("v"))
+
+
+from . import catalogue_more  # noqa: E402, F401  registers the rest

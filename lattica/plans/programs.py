@@ -60,48 +60,55 @@ class Hydro:
     """
 
     def __init__(self, spark: SparkSession, mesh: dict[str, DataFrame], gamma: float = 1.4):
-        self.spark, self.edges, self.time = spark, mesh["cell_node"].cache(), 0.0
-        geo = self.geometry(mesh["node"])
-        start = mesh["cell"].select("uid", "density", "pressure").join(geo.select("uid", "volume", "length"), "uid")
+        self.spark, self.time = spark, 0.0
+        self.edges = _cut(mesh["cell_node"].select("src", "pos", "dst"))
+        order = [(pos, f, k) for f, face in enumerate(V.HEXA_FACES) for k, pos in enumerate(face)]
+        self.order = spark.createDataFrame(order, "pos int, face int, k int")  # 24 rows, whatever the mesh
+        self.faces = _cut(self.sides(mesh["node"]))
+        start = mesh["cell"].select("uid", "density", "pressure").join(self.geometry(self.faces), "uid")
         g = F.lit(gamma)
         self.cell = _cut(start.withColumns({"gamma": g, "mass": F.col("density") * F.col("volume"), "energy": F.col("pressure") / ((g - 1) * F.col("density")), "sound": F.sqrt(g * F.col("pressure") / F.col("density"))}))
         share = self.edges.join(self.cell.select(F.col("uid").alias("src"), (F.col("mass") / 8).alias("_m")), "src").groupBy(F.col("dst").alias("uid")).agg(F.sum("_m").alias("mass"))
         self.node = _cut(mesh["node"].join(share, "uid").withColumns({v: F.lit(0.0) for v in ("vx", "vy", "vz")}))
 
-    def corners(self, node: DataFrame) -> DataFrame:
-        """``uid, p``: each cell's corner points in order."""
-        j = self.edges.join(node.select(F.col("uid").alias("dst"), "x", "y", "z"), "dst")
-        return j.groupBy(F.col("src").alias("uid")).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("p"))
-
-    def geometry(self, node: DataFrame) -> DataFrame:
-        """Volume, characteristic length and, per corner, the area vector that pressure pushes on (``cqs``)."""
-        c = self.corners(node)
-        p = [F.col("p")[k] for k in range(8)]
-        faces = [V.scale(V.quad_normal([p[i] for i in f]), F.lit(0.25)) for f in V.HEXA_FACES]
-        cqs = []
-        for k in range(8):
-            mine = [n for n, f in zip(faces, V.HEXA_FACES, strict=True) if k in f]
-            total = mine[0]
-            for m in mine[1:]:
-                total = V.add(total, m)
-            cqs.append(total)
-        middle = [V.surface_centre([p[i] for i in f]) for f in V.HEXA_FACES]
-        spans = [V.norm(V.sub(middle[a], middle[b])) for a, b in ((0, 3), (1, 4), (2, 5))]
-        length = spans[0] * spans[1] * spans[2] / F.greatest(F.sqrt(spans[0] ** 2 * spans[1] ** 2 + spans[1] ** 2 * spans[2] ** 2 + spans[2] ** 2 * spans[0] ** 2), F.lit(1e-300))
-        return c.select("uid", V.hexa_volume(p).alias("volume"), length.alias("length"), F.array(*cqs).alias("cqs"))
+    def sides(self, node: DataFrame) -> DataFrame:
+        """``src, face, nx, ny, nz, cx, cy, cz``: area vector (outward) and centre of each cell's six faces.
+
+        A row per corner of a face, gathered by cell and face, so that no expression holds a whole cell.
+        """
+        corner = self.edges.join(node.select(F.col("uid").alias("dst"), "x", "y", "z"), "dst").repartition("src")
+        c = corner.join(F.broadcast(self.order), "pos")
+        at = lambda a, k: F.max(F.when(F.col("k") == k, F.col(a))).alias(f"{a}{k}")
+        p = c.groupBy("src", "face").agg(*(at(a, k) for a in "xyz" for k in range(4)))
+        d = p.withColumns({f"{m}{a}": F.col(f"{a}{i}") - F.col(f"{a}{j}") for a in "xyz" for m, i, j in (("u", 2, 0), ("w", 3, 1))})
+        normal = {f"n{a}": 0.5 * (F.col(f"u{b}") * F.col(f"w{c}") - F.col(f"u{c}") * F.col(f"w{b}")) for a, b, c in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))}
+        centre = {f"c{a}": (F.col(f"{a}0") + F.col(f"{a}1") + F.col(f"{a}2") + F.col(f"{a}3")) / 4 for a in "xyz"}
+        return d.select("src", "face", *(v.alias(k) for k, v in (normal | centre).items()))
+
+    @staticmethod
+    def geometry(faces: DataFrame) -> DataFrame:
+        """``uid, volume, length``: a third of the sum of centres times area vectors; spans between opposite faces' centres."""
+        at = lambda a, f: F.max(F.when(F.col("face") == f, F.col(f"c{a}"))).alias(f"{a}{f}")
+        volume = F.sum(sum((F.col(f"c{a}") * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)) / 3).alias("volume")
+        g = faces.groupBy(F.col("src").alias("uid")).agg(volume, *(at(a, f) for a in "xyz" for f in range(6)))
+        span = lambda i: sum(((F.col(f"{a}{i}") - F.col(f"{a}{i + 3}")) ** 2 for a in "xyz"), F.lit(0.0))
+        g = g.select("uid", "volume", *(span(i).alias(f"s{i}") for i in range(3)))
+        s0, s1, s2 = (F.col(f"s{i}") for i in range(3))
+        return g.select("uid", "volume", (F.sqrt(s0 * s1 * s2) / F.greatest(F.sqrt(s0 * s1 + s1 * s2 + s2 * s0), F.lit(1e-300))).alias("length"))
 
     def step(self, dt: float, walls: DataFrame) -> None:
         """Forces by position, velocities, walls ``(uid, vx, vy, vz)`` (null: free), motion, geometry, density, energy and state."""
-        geo = self.geometry(self.node)
-        push = geo.join(self.cell.select("uid", "pressure"), "uid").select(F.col("uid").alias("src"), "pressure", F.posexplode("cqs").alias("pos", "c"))
-        force = self.edges.join(push, ["src", "pos"]).groupBy(F.col("dst").alias("uid")).agg(*(F.sum(F.col("pressure") * F.col(f"c.{a}")).alias(f"f{a}") for a in "xyz"))
+        push = self.faces.join(self.cell.select(F.col("uid").alias("src"), "pressure"), "src").join(F.broadcast(self.order), "face")
+        push = push.groupBy("src", "pos").agg(*(F.sum(F.col("pressure") * F.col(f"n{a}") / 4).alias(f"f{a}") for a in "xyz"))
+        force = self.edges.join(push, ["src", "pos"]).groupBy(F.col("dst").alias("uid")).agg(*(F.sum(f"f{a}").alias(f"f{a}") for a in "xyz"))
         n = self.node.join(force, "uid")
         n = n.withColumns({f"v{a}": F.col(f"v{a}") + F.lit(dt) * F.col(f"f{a}") / F.col("mass") for a in "xyz"})
         w = walls.select("uid", *(F.col(f"v{a}").alias(f"_v{a}") for a in "xyz"))
         n = n.join(w, "uid", "left").withColumns({f"v{a}": F.coalesce(f"_v{a}", f"v{a}") for a in "xyz"})
         n = n.withColumns({a: F.col(a) + F.lit(dt) * F.col(f"v{a}") for a in "xyz"})
         self.node = _cut(n.select("uid", "x", "y", "z", "mass", "vx", "vy", "vz"))
-        now = self.geometry(self.node).select("uid", F.col("volume").alias("new_volume"), F.col("length").alias("new_length"))
+        self.faces = _cut(self.sides(self.node))
+        now = self.geometry(self.faces).select("uid", F.col("volume").alias("new_volume"), F.col("length").alias("new_length"))
         c = self.cell.join(now, "uid")
         # energy with half the work of the old and half of the new pressure, solved for the perfect gas
         ratio = F.col("new_volume") / F.col("volume")

@@ -61,12 +61,13 @@ def write_csv_table(table: DataFrame, path: str, name: str, precision: int = 6,
     """A named table as one file: the name in the corner, columns across."""
     cols = [r[0] for r in table.select("col").distinct().orderBy("col").collect()]
     wide = table.groupBy("row").pivot("col", cols).agg(F.first("value")).orderBy("row")
-    wide.select(F.col("row").alias(name), *(formatted(F.col(c), precision).alias(c) for c in cols)).coalesce(1).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+    wide.select(F.col("row").alias(name), *(F.when(F.col(c).isNotNull(), formatted(F.col(c), precision)).alias(c) for c in cols)).coalesce(1).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
 def write_curves(curves: DataFrame, path: str) -> None:
     """Two columns per curve, a folder each."""
-    curves.select("name", F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("value")).repartition("name").sortWithinPartitions("name", "value").write.mode("overwrite").partitionBy("name").text(path)
+    ordered = curves.repartition("name").sortWithinPartitions("name", "x")
+    ordered.select("name", F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
 
 
 def curves_json(curves: DataFrame) -> DataFrame:
