@@ -358,7 +358,7 @@ def beside_leaders(cells: DataFrame, compared: DataFrame, known: DataFrame, vect
     out = written(cells.withColumnRenamed("doc_id", "other").join(shell, ["other", "leader"]), "outsiders")
     linked = compared.filter(F.col("similarity") >= threshold).select("doc_id", "leader", (1 - F.col("similarity")).alias("near")).distinct()
     linked = linked.join(shell.select("leader").distinct(), "leader", "left_semi").join(weights, "doc_id")
-    linked = cells.join(out.select("key", "leader").distinct(), ["key", "leader"], "left_semi").join(linked, ["doc_id", "leader"])
+    linked = cells.join(linked, ["doc_id", "leader"])
     close = F.col("near") >= F.col("away") - (far + SLACK)
     pairs = out.join(linked, ["key", "leader"]).filter(close & can_reach(threshold, "total", "shares", "o_total", "o_shares"))
     return pairs.select("doc_id", F.col("other").alias("leader"))
