@@ -162,7 +162,7 @@ class TextBlock:
         cuts = cuts[(cuts > 0) & (cuts < len(self.data))]
         cuts = cuts[solid[1:][cuts] & solid[:-1][cuts]]  # words that two texts share at their border
         if len(cuts):
-            start, end = np.union1d(start, cuts), np.union1d(end, cuts)
+            start, end = (np.insert(x, np.searchsorted(x, cuts), cuts) for x in (start, end))
         return start, end, np.searchsorted(start, self.offsets)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
