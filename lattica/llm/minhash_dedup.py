@@ -54,7 +54,7 @@ from .textblock import TextBlock, chunks, local_groups, mix, order_in_cells, tri
 
 WIDTH, BANDS, ROWS, DAMP, ROUNDS = 5, 10, 3, 0.1, 3
 #: Members left after the leader rounds up to which a bucket is not split; parts in which rows of one text are dealt.
-FAN, SALTS = 16, 8
+FAN, SALTS = 128, 8
 #: Parts of all shingles for which texts' weights are kept apart (a power of two).
 SHARES = 32
 #: Text bytes per bucket of hashes and per group of documents; shingles a map task gathers before it sends.
@@ -321,25 +321,24 @@ def components(edges: DataFrame) -> DataFrame:
 SLACK = 1e-5
 
 
-def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+def leaders(open_: DataFrame, vectors: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame | None]:
     """``ROUNDS`` rounds of leaders in the cells of ``open_(doc_id, band, key)``.
 
-    Of each round, the members (``key, doc_id, leader``) and their similarities to their leaders (``doc_id, leader,
-    similarity``, each pair once); and the members that are still open (``doc_id, band, key``), if there can be any.
+    Of each round, members' similarities to their leaders (``doc_id, leader, similarity``, each pair once); and the
+    members that are still open (``doc_id, band, key``), if there can be any.
     """
-    cells, compared = [], []
+    compared = []
     for turn in range(ROUNDS):
         # another leader in every round: the least id or, in odd bands and later rounds, the least hash
         order = F.when((F.col("band") % 2 == 0) & F.lit(turn == 0), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "band", F.lit(turn)))
         heads = open_.groupBy("key", "band").agg(F.min_by("doc_id", order).alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
         member = written(open_.join(heads, "key").filter("doc_id <> leader"), "members")
         if not member.limit(1).count():
-            return cells, compared, None
-        cells.append(member.select("key", "doc_id", "leader"))
+            return compared, None
         compared.append(written(verified(member.select("doc_id", "leader"), vectors), "similarities"))
         sure = compared[-1].filter(F.col("similarity") >= threshold).select("doc_id", "leader")
         open_ = member.join(sure, ["doc_id", "leader"], "left_anti").select("doc_id", "band", "key")
-    return cells, compared, open_
+    return compared, open_
 
 
 def labelled(rows: DataFrame, known: DataFrame, of: str, name: str) -> DataFrame:
@@ -348,19 +347,17 @@ def labelled(rows: DataFrame, known: DataFrame, of: str, name: str) -> DataFrame
     return rows.join(k, rows[of] == k["_id"], "left").withColumn(name, F.coalesce("_class", of)).drop("_id", "_class")
 
 
-def beside_leaders(cells: DataFrame, compared: DataFrame, known: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``doc_id, leader`` of a cell: a text linked to its leader, and one that is not, but may be similar to it and is not in the leader's class."""
+def beside_leaders(compared: DataFrame, known: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``doc_id, leader`` of a text linked to a leader and one that is not, but may be similar to it and is not in the leader's class."""
     far = 1 - threshold
     weights = vectors.select("doc_id", "total", "shares")
     shell = compared.filter((F.col("similarity") < threshold) & (1 - F.col("similarity") <= 2 * far + SLACK)).distinct()
     shell = labelled(labelled(shell, known, "doc_id", "label"), known, "leader", "l_label").filter("label <> l_label")
     shell = written(shell.join(weights, "doc_id").select("leader", F.col("doc_id").alias("other"), (1 - F.col("similarity")).alias("away"), F.col("total").alias("o_total"), F.col("shares").alias("o_shares")), "shells")
-    out = written(cells.withColumnRenamed("doc_id", "other").join(shell, ["other", "leader"]), "outsiders")
     linked = compared.filter(F.col("similarity") >= threshold).select("doc_id", "leader", (1 - F.col("similarity")).alias("near")).distinct()
     linked = linked.join(shell.select("leader").distinct(), "leader", "left_semi").join(weights, "doc_id")
-    linked = cells.join(linked, ["doc_id", "leader"])
     close = F.col("near") >= F.col("away") - (far + SLACK)
-    pairs = out.join(linked, ["key", "leader"]).filter(close & can_reach(threshold, "total", "shares", "o_total", "o_shares"))
+    pairs = shell.join(linked, "leader").filter(close & can_reach(threshold, "total", "shares", "o_total", "o_shares"))
     return pairs.select("doc_id", F.col("other").alias("leader"))
 
 
@@ -386,7 +383,7 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
     def linked(compared: list[DataFrame]) -> DataFrame:
         return union(compared).filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
 
-    cells, compared, open_ = leaders(vectors.select("doc_id", F.posexplode("keys").alias("band", "key")), vectors, threshold)
+    compared, open_ = leaders(vectors.select("doc_id", F.posexplode("keys").alias("band", "key")), vectors, threshold)
     if not compared:
         return None
     known, pairs = components(linked(compared)), []
@@ -395,15 +392,17 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
         open_ = written(open_.join(size, "key"), "left")
         large = open_.filter(F.col("n") > FAN).select("doc_id", "key")
         if large.limit(1).count():
-            parts = large.join(vectors.select("doc_id", F.explode("rare").alias("token")), "doc_id").select("doc_id", F.lit(0).alias("band"), F.xxhash64("key", "token").alias("key"))
-            at, more, rest = leaders(written(parts, "parts"), vectors, threshold)
+            # by shingle alone: texts of one bucket meet in a part whatever other bucket they share
+            some = large.select("doc_id").distinct()
+            parts = vectors.select("doc_id", "rare").join(some, "doc_id", "left_semi").select("doc_id", F.lit(0).alias("band"), F.explode("rare").cast("long").alias("key")).distinct()
+            more, rest = leaders(written(parts, "parts"), vectors, threshold)
             if more:
-                cells, compared = cells + at, compared + more
+                compared += more
                 known = components(linked(compared))
             if rest is not None:
                 pairs.append(within(rest, known, vectors, threshold))
         pairs.append(within(open_.filter(F.col("n") <= FAN), known, vectors, threshold))
-    pairs.append(beside_leaders(union(cells), union(compared), known, vectors, threshold))
+    pairs.append(beside_leaders(union(compared), known, vectors, threshold))
     late = verified(union(pairs), vectors).filter(F.col("similarity") >= threshold).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     return union([linked(compared), written(late, "links")])
 
