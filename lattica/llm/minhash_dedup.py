@@ -394,7 +394,8 @@ def links(vectors: DataFrame, threshold: float) -> DataFrame | None:
         if large.limit(1).count():
             # by shingle alone: texts of one bucket meet in a part whatever other bucket they share
             some = large.select("doc_id").distinct()
-            parts = vectors.select("doc_id", "rare").join(some, "doc_id", "left_semi").select("doc_id", F.lit(0).alias("band"), F.explode("rare").cast("long").alias("key")).distinct()
+            parts = vectors.select("doc_id", "rare").join(some, "doc_id", "left_semi").select("doc_id", F.explode("rare").alias("token"))
+            parts = parts.select("doc_id", F.lit(0).alias("band"), F.col("token").cast("long").alias("key")).distinct()
             more, rest = leaders(written(parts, "parts"), vectors, threshold)
             if more:
                 compared += more
