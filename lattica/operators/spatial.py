@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _cells(frame: DataFrame, size: float, axes: tuple[str, ...], spread: bool) -> DataFrame:
@@ -69,22 +75,45 @@ def ray_faces(rays: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
     return out.select("uid", F.col("_b.face_uid").alias("face_uid"), *(c.alias(k) for k, c in at.items()), length.alias("distance"))
 
 
-def n_body(bodies: DataFrame, softening: float, block: int = 4096) -> DataFrame:
+#: Bodies in a block, targets that meet a block of sources at once, and pairs of blocks in a task.
+BLOCK, AT_ONCE, TASK = 4096, 64, 4
+
+
+def _forces(softening: float, uid: pa.DataType):
+    """Map over pairs of packed blocks: the part of each target's force that the block of sources gives."""
+    soft = float(softening)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                of, by = (batch.column(c)[i].values for c in ("_of", "_by"))
+                target, source = ([x.field(a).to_numpy(zero_copy_only=False) for a in "xyz"] for x in (of, by.filter(pc.is_valid(by.field("x")))))
+                force = np.zeros((3, len(of)))
+                with np.errstate(all="ignore"):
+                    for lo in range(0, len(of), AT_ONCE):
+                        d = [s[None, :] - t[lo : lo + AT_ONCE, None] for s, t in zip(source, target, strict=True)]
+                        r = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + soft
+                        r *= np.sqrt(r)
+                        for k in range(3):
+                            force[k, lo : lo + AT_ONCE] = (d[k] / r).sum(axis=1)
+                blank = pc.is_null(of.field("x")).to_numpy(zero_copy_only=False) if len(source[0]) else np.ones(len(of), bool)
+                yield pa.RecordBatch.from_arrays([of.field("uid").cast(uid), *(pa.array(f, pa.float64(), mask=blank) for f in force)], ["uid", "fx", "fy", "fz"])
+
+    return run
+
+
+def n_body(bodies: DataFrame, softening: float, block: int = BLOCK) -> DataFrame:
     """Force on each body from all bodies (unit masses): ``uid, fx, fy, fz``.
 
-    All pairs, but by blocks of about ``block`` bodies: every target row meets each block of sources as one packed list.
+    All pairs, by pairs of blocks of about ``block`` bodies: a row is a block of targets and one of sources, and each
+    target sends one sum per block of sources.  A body without all three coordinates gives no force and has a null one.
     """
     blocks = bodies.count() // block + 1
-    b = bodies.withColumn("_b", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
-    packed = b.groupBy("_b").agg(F.collect_list(F.struct("x", "y", "z")).alias("_all"))
-    t = bodies.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_b", F.col("_b").cast("long"))
-    j = t.join(packed, "_b")
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-
-    def step(acc, o):
-        d = {a: o[a] - F.col(a) for a in "xyz"}
-        inv = F.pow(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2 + softening, F.lit(-1.5))
-        return F.struct(*((acc[a] + d[a] * inv).alias(a) for a in "xyz"))
-
-    f = j.select("uid", F.aggregate("_all", zero, step).alias("_f"))
-    return f.groupBy("uid").agg(*(F.sum(f"_f.{a}").alias(f"f{a}") for a in "xyz"))
+    whole = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull(), F.lit(True))
+    b = bodies.select("uid", *(F.when(whole, F.col(a).cast("double")).alias(a) for a in "xyz"))
+    packed = b.groupBy(F.pmod(F.xxhash64("uid", "x", "y", "z"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("uid", "x", "y", "z")).alias("_all"))
+    of = packed.select(F.col("_b").alias("_t"), F.col("_all").alias("_of"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    pairs = of.join(packed.withColumnRenamed("_all", "_by"), "_b").repartition(blocks * blocks // TASK + 1, "_t", "_b").select("_of", "_by")
+    uid = bodies.schema["uid"].dataType
+    f = pairs.mapInArrow(_forces(softening, to_arrow_type(uid)), T.StructType([T.StructField("uid", uid), *(T.StructField(f"f{a}", T.DoubleType()) for a in "xyz")]))
+    return f.groupBy("uid").agg(*(F.sum(f"f{a}").alias(f"f{a}") for a in "xyz"))

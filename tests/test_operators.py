@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +237,20 @@ def test_checks_and_shapes(spark):
     assert {r.check: r.n_bad for r in checks.check_mesh(mesh).collect()} == {"cell uids": 0, "node uids": 0, "cell_node": 1}
     with pytest.raises(ValueError):
         checks.Derived().add("a", ("b",), lambda b: b).add("b", ("a",), lambda a: a).dependencies("a")
+
+
+def test_forces_by_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(-9, 9), rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(150)] + [(150, None, 1.0, 1.0), (151, 1.0, 1.0, None), (7, 0.5, 0.5, 0.5)]
+    bodies = spark.createDataFrame(rows, "uid long, x double, y double, z double")
+    whole = [r for r in rows if None not in r]
+    want = {150: None, 151: None}
+    for u, *at in whole:
+        d = np.array([o[1:] for o in whole]) - at
+        want[u] = want.get(u, 0) + (d * ((d**2).sum(axis=1) + 0.5)[:, None] ** -1.5).sum(axis=0)
+    for block in (40, 4096):
+        got = {r.uid: r for r in spatial.n_body(bodies, 0.5, block).collect()}
+        assert got.keys() == want.keys()
+        for u, f in want.items():
+            assert (got[u].fx is None and got[u].fz is None) if f is None else np.allclose([got[u].fx, got[u].fy, got[u].fz], f, rtol=1e-12)
+    assert spatial.n_body(bodies.limit(0), 0.5).count() == 0
