@@ -4,9 +4,9 @@ A document is cut into full sequences and one remainder, so that only the
 histogram of remainder lengths (at most ``size - 1`` lengths, whatever the
 corpus) decides the packing.  The linear program "fewest sequences that cover
 the histogram" is solved over patterns; an unbounded-knapsack dynamic program
-prices new patterns from the duals, a revised simplex brings them in, and the
-search ends, at every size, when no pattern has a price above one, that is when
-the program is optimal.  Patterns are rounded down, what is left is packed
+prices new patterns from the duals, a revised simplex brings them in, beside
+exchanges of a length for shorter ones, and the search ends, at every size, when
+no pattern has a price above one, that is when the program is optimal.  Patterns are rounded down, what is left is packed
 best-fit, and the k-th document of each length takes the k-th slot that the
 patterns have for that length.  Ranks come from counts per length and hash
 class, so a length that a third of all documents share is ranked in many tasks.
@@ -45,17 +45,22 @@ _ODD = re.compile("[^\x00-\x1b\x20-ſ‐-‧€]")
 
 
 def knapsack(value: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: most value in capacity c, items free to repeat; took[c]: the item that ends it, or -1."""
-    best, took = np.zeros(size + 1), np.full(size + 1, -1)
+    """best[c]: most value in capacity c, items free to repeat; took[c]: the item that ends it, or -1 (lengths ascending)."""
+    m = int(np.searchsorted(length, size, "right"))
+    by_length = np.full(size + 1, -np.inf)
+    by_length[length[:m]] = value[:m]
+    best, ends = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    back, some = np.zeros(size + 1), np.empty(size + 1)  # best from the largest capacity down
     for c in range(1, size + 1):
-        best[c], took[c] = best[c - 1], -1
-        m = int(np.searchsorted(length, c, "right"))
-        if m:
-            v = best[c - length[:m]] + value[:m]
-            k = int(np.argmax(v))
-            if v[k] > best[c] + 1e-12:
-                best[c], took[c] = v[k], k
-    return best, took
+        v = np.add(back[size - c + 1 :], by_length[1 : c + 1], out=some[:c])
+        k = int(v.argmax())
+        best[c] = best[c - 1]
+        if v[k] > best[c] + 1e-12:
+            best[c], ends[c] = v[k], k + 1
+        back[size - c] = best[c]
+    item = np.full(size + 1, -1)
+    item[length[:m]] = np.arange(m)
+    return best, item[ends]
 
 
 def _unwind(took: np.ndarray, length: np.ndarray, c: int) -> list[int]:
@@ -125,50 +130,142 @@ class Solution(NamedTuple):
     price: float
 
 
+def without_exchanges(columns: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Patterns and uses that cover the same without columns that exchange a length for shorter ones.
+
+    Exchanges are carried out from the longest length down, so what one of them puts into a pattern may be exchanged again.
+    """
+    held: list[list] = []
+    holders: dict[int, list[int]] = {}
+
+    def hold(items: dict[int, int], n: float) -> None:
+        for i in items:
+            holders.setdefault(i, []).append(len(held))
+        held.append([items, n])
+
+    exchanges = []
+    for (items, times), n in zip(columns, x, strict=True):
+        if n > 0:
+            column: dict[int, int] = {}
+            for i, t in zip(items.tolist(), times.tolist(), strict=True):
+                column[i] = column.get(i, 0) + t
+            if min(column.values()) < 0:
+                exchanges.append((max(column), column, float(n)))
+            else:
+                hold(column, float(n))
+    for k, column, left in sorted(exchanges, key=lambda e: -e[0]):
+        while left > 0 and holders.get(k):
+            at = holders[k].pop()
+            items, n = held[at]
+            if not n or not items.get(k):
+                continue
+            part = min(n, left)
+            left -= part
+            held[at][1] = n - part
+            if n > part:
+                holders[k].append(at)
+            made = dict(items)
+            for i, t in column.items():
+                made[i] = made.get(i, 0) + t
+            hold({i: t for i, t in made.items() if t}, part)
+    out: dict[tuple, float] = {}
+    for items, n in held:
+        if n > 0:
+            key = tuple(sorted(items.items()))
+            out[key] = out.get(key, 0.0) + n
+    return [(np.array([i for i, _ in key]), np.array([t for _, t in key])) for key in out], np.array(list(out.values()))
+
+
 def solve(length: np.ndarray, demand: np.ndarray, size: int) -> Solution:
     """Fewest sequences that cover the histogram (ascending lengths), fractions allowed: columns are priced and brought in until none improves.
 
+    A place for a length also takes a shorter one, or two whose sum is no longer.  Such exchanges are columns that cost
+    nothing; they change no total, but keep the duals of neighbouring lengths in order, which patterns alone would
+    need many more columns for.  They are carried out in the patterns at the end.
+
     Demands are raised by up to a millionth each, all differently, so that every step makes the total smaller and the
     search ends.  Sums are written out instead of matrix products: these arrays are too small to share among the threads
     of a linear-algebra library, in a process that has others.
     """
     m = len(length)
     raised = demand + 1e-6 * (1 + np.arange(m) * 0.6180339887 % 1)
-    patterns, x, ended = start(length, raised, size)
-    inverse = _inverse(patterns, ended)
+    columns, x, ended = start(length, raised, size)
+    inverse = _inverse(columns, ended)
     dual = inverse.sum(axis=0)
+    cost, change = np.ones(m), np.empty((m, m))
     pivots = 0
+
+    def bring(items: np.ndarray, times: np.ndarray, price: float, gain: float) -> None:
+        nonlocal x, dual, pivots
+        column = (inverse[:, items] * times).sum(axis=1)
+        up = np.flatnonzero(column > 1e-9)
+        r = int(up[np.argmin(x[up] / column[up])])
+        step = x[r] / column[r]
+        row = inverse[r] / column[r]
+        x = np.maximum(x - step * column, 0)
+        x[r] = step
+        some = np.flatnonzero(column)
+        if len(some) * 3 < m:
+            inverse[some] -= column[some, None] * row
+        else:
+            np.subtract(inverse, np.multiply(column[:, None], row, out=change), out=inverse)
+        inverse[r] = row
+        dual = dual - gain * row
+        columns[r], cost[r] = (items, times), price
+        pivots += 1
+
+    # of each length but the shortest: every shorter one with the longest that fits beside it
+    room = length[:, None] - length
+    beside = np.searchsorted(length, room, "right") - 1
+    of, one = np.nonzero((beside >= 0) & (beside <= np.arange(m)))
+    two = beside[of, one]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+    many = np.diff(np.r_[first, len(of)])
+
+    def exchange_for_two() -> int:
+        if not len(of):
+            return 0
+        gain = dual[one] + dual[two] - dual[of]
+        hit = np.flatnonzero((gain == np.repeat(np.maximum.reduceat(gain, first), many)) & (gain > PRICE))
+        hit = hit[np.argsort(-gain[hit])][: POOL // 2]
+        k, i, j = of[hit], one[hit], two[hit]
+        used = 0
+        while used < len(hit):
+            gain = dual[i] + dual[j] - dual[k]
+            t = int(np.argmax(gain))
+            if gain[t] <= PRICE:
+                break
+            bring(np.array([i[t], j[t], k[t]]), np.array([1, 1, -1]), 0.0, float(gain[t]))
+            used += 1
+        return used
+
     while True:
+        before, upto = pivots, pivots + m
+        while pivots < upto and exchange_for_two():
+            pass
+        while m > 1:
+            gain = dual[:-1] - dual[1:]
+            k = int(np.argmax(gain))
+            if gain[k] <= PRICE:
+                break
+            bring(np.array([k, k + 1]), np.array([1, -1]), 0.0, float(gain[k]))
         best, took = knapsack(dual, length, size)
-        used = 0
         if best[size] > 1 + PRICE:
             # one pattern through each length: its value is dual + the best of what is left
             through = dual + best[size - length]
             pool = {tuple(sorted([int(i), *_unwind(took, length, size - int(length[i]))])) for i in np.argsort(-through)[:POOL] if through[i] > 1 + PRICE}
-            columns = [np.unique(p, return_counts=True) for p in sorted(pool)]
-            while used < POOL:
-                gain = [float((dual[items] * times).sum()) - 1 for items, times in columns]
+            found = [np.unique(p, return_counts=True) for p in sorted(pool)]
+            items, times = (np.concatenate(c) for c in zip(*found, strict=True))
+            begin = np.cumsum([0, *(len(i) for i, _ in found[:-1])])
+            for _ in range(POOL):
+                gain = np.add.reduceat(dual[items] * times, begin) - 1
                 k = int(np.argmax(gain))
                 if gain[k] <= PRICE:
                     break
-                items, times = columns[k]
-                column = (inverse[:, items] * times).sum(axis=1)
-                up = np.flatnonzero(column > 1e-9)
-                r = int(up[np.argmin(x[up] / column[up])])
-                step = x[r] / column[r]
-                row = inverse[r] / column[r]
-                x = np.maximum(x - step * column, 0)
-                x[r] = step
-                some = np.flatnonzero(column)
-                inverse[some] -= column[some, None] * row
-                inverse[r] = row
-                dual = dual - gain[k] * row
-                patterns[r] = (items, times)
-                used += 1
-        if not used:
-            return Solution(patterns, x, pivots, float(best[size]))
-        pivots += used
-        dual = inverse.sum(axis=0)
+                bring(*found[k], 1.0, float(gain[k]))
+        if pivots == before:
+            return Solution(*without_exchanges(columns, x), pivots, float(best[size]))
+        dual = inverse[cost > 0].sum(axis=0)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:

@@ -99,6 +99,34 @@ def test_many_lengths_are_priced_to_the_optimum():
         assert used <= solved.uses.sum() * 1.002 + 60
 
 
+def test_scattered_long_and_short_lengths_are_solved_soon():
+    """Few documents of each of many lengths, most of them long: patterns alone took minutes to the optimum."""
+    import time
+
+    rng = random.Random(2)
+    hist = Counter(rng.choice((rng.randint(1, 1023), rng.randint(560, 1000), min(1023, int(rng.lognormvariate(4.5, 1.2)) + 1))) for _ in range(1000))
+    length = np.array(sorted(hist))
+    demand = np.array([hist[int(v)] for v in length], float)
+    began = time.process_time()
+    solved = packing.solve(length, demand, 1024)
+    assert time.process_time() - began < 60
+    assert solved.price <= 1 + 1e-8
+    assert np.abs(made_by(solved, len(length)) - demand).max() < 1e-3
+    for items, times in solved.patterns:
+        assert times.min() > 0 and (length[items] * times).sum() <= 1024
+
+
+def test_exchanges_are_carried_out():
+    one = lambda *pairs: (np.array([i for i, _ in pairs]), np.array([t for _, t in pairs]))
+    columns = [one((3, 2)), (np.array([1, 1, 3]), np.array([1, 1, -1])), one((0, 1), (1, -1))]
+    patterns, uses = packing.without_exchanges(columns, np.array([4.0, 5.0, 3.0]))
+    made = np.zeros(4)
+    for (items, times), x in zip(patterns, uses, strict=True):
+        assert times.min() > 0
+        made[items] += times * x
+    assert made.tolist() == [3.0, 7.0, 0.0, 3.0] and uses.sum() == 4.0
+
+
 def test_ids_are_checked_against_ranks():
     import json
 
