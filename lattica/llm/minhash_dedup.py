@@ -55,6 +55,8 @@ from .textblock import TextBlock, chunks, local_groups, mix, order_in_cells, tri
 WIDTH, BANDS, ROWS, DAMP, ROUNDS = 5, 10, 3, 0.1, 3
 #: Members left after the leader rounds up to which a bucket is not split; parts in which rows of one text are dealt.
 FAN, SALTS = 128, 8
+#: Links that are united on the driver (16 bytes each); more are united in rounds of joins.
+HERE = 200_000
 #: Parts of all shingles for which texts' weights are kept apart (a power of two).
 SHARES = 32
 #: Text bytes per bucket of hashes and per group of documents; shingles a map task gathers before it sends.
@@ -303,9 +305,34 @@ def can_reach(threshold: float, total: str, shares: str, other_total: str, other
     return (1 + SLACK) * most >= threshold * (F.col(total) + F.col(other_total) - most)
 
 
+def components_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in ``a`` and ``b``, ascending, and the least id of each one's component."""
+    ids, at = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        # labels of labels learn too, so that a chain takes few rounds
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``doc_id, class_id`` (least id of the component) for the ids in ``edges(a, b)``: neighbours' least label, then the label's label, until nothing changes."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    """``doc_id, class_id`` (least id of the component) for the ids in ``edges(a, b)``.
+
+    Up to ``HERE`` edges are united on the driver; more: neighbours' least label, then the label's label, until nothing changes.
+    """
+    once = written(edges.select("a", "b"), "edges")
+    if once.count() <= HERE:
+        t = once.toArrow()
+        ids, least = components_of(*(t.column(c).to_numpy().astype(np.int64) for c in "ab"))
+        return written(edges.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids), "class_id": pa.array(least)}), "doc_id long, class_id long").coalesce(1), "labels")
+    both = written(once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))

@@ -161,3 +161,23 @@ def test_a_word_of_all_texts_is_told_once_per_group(spark, tmp_path):
     # every text has 4 shared shingles and a few of its own; the shared ones are told 20 times, not 2000
     assert sum(per_bucket) <= 2000 * 5 + 20 * 4
     assert max(per_bucket) < 1.5 * np.median(per_bucket) + 80
+
+
+def test_components_on_the_driver_are_those_of_the_joins(spark, monkeypatch):
+    import random
+
+    from lattica.llm import minhash_dedup
+    from lattica.llm.shared import owned
+
+    rng = random.Random(8)
+    chain = list(range(1000, 1300))
+    rng.shuffle(chain)
+    pairs = [*zip(chain, chain[1:]), *((rng.randrange(200), rng.randrange(200)) for _ in range(90)), (5, 5), (1 << 61, 7), (7, 1 << 61)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = []
+    for here in (len(pairs), 0):
+        monkeypatch.setattr(minhash_dedup, "HERE", here)
+        with owned(spark, "components"):
+            got.append(sorted(tuple(r) for r in minhash_dedup.components(edges).collect()))
+            assert not minhash_dedup.components(edges.limit(0)).count()
+    assert got[0] == got[1] and len({c for i, c in got[0] if i >= 1000 and i < 1300}) == 1
