@@ -35,6 +35,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -46,6 +47,8 @@ from .textblock import LOWER, SPACE, TextBlock, chunks, local_groups, mix, order
 
 #: Text bytes per bucket of words and per group of documents; words a map task gathers before it sends.
 BUCKET_BYTES, GROUP_BYTES, GATHER = 20 << 20, 14 << 20, 1_500_000
+#: Text bytes whose contexts are found at once.
+PART_BYTES = 128 << 10
 #: Byte values; bits of a table's slots, and of the slices in which tables are summed.
 CLASSES, SLOT_BITS, SLICE_BITS = 256, 24, 4
 SLICES = 1 << SLICE_BITS
@@ -56,6 +59,8 @@ ORDERS = 3
 #: Gates of the mixer (the most frequent nodes have one each, the others share the last), its first weights, its rate,
 #: the symbols it reads before it learns from them, and buckets of the adaptive map.
 GATES, FIRST, RATE, STRETCH, BUCKETS = 32, (0.25, 0.50, 0.45), 0.02, 32, 48
+#: Texts that are read in step.
+LANES = 192
 #: Rates at which whole words are mixed in, and what each is given beforehand.
 WORD_RATES, WORD_PRIOR = (0.01, 0.05, 0.2), (0.4, 0.4, 0.2)
 _LN10 = math.log(10)
@@ -132,34 +137,54 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(raw: np.ndarray) -> list[np.ndarray]:
     """Hash (of SLOT_BITS) of each predictor's context before every position (from the fifth on; earlier ones are end signs)."""
-    c = raw.astype(np.uint32)
-    one, two, three, four = (np.concatenate([np.zeros(k, np.uint32), c[:-k]]) for k in (1, 2, 3, 4))
-    near = (one << np.uint32(8)) | two
-    far = (near << np.uint32(16)) | (three << np.uint32(8)) | four
+    # the four bytes before each position, the last one in the highest place
+    before = np.concatenate([np.zeros(4, np.uint8), raw])
+    far = np.ndarray(len(raw), "<u4", before, strides=(1,)).astype(np.uint32)
     solid = (raw != END) & ~SPACE[raw]
-    begin = np.where(solid, np.int32(0), np.arange(1, len(c) + 1, dtype=np.int32))
+    begin = np.zeros(len(raw) + 1, np.int64)
+    np.multiply(~solid, np.arange(1, len(raw) + 1), out=begin[1:])
     np.maximum.accumulate(begin, out=begin)  # after the last byte that is no word's
-    begin = np.concatenate([np.zeros(1, np.int32), begin[:-1]])
+    begin = begin[:-1]
     # sums of bytes times powers of an odd number: the same for a word wherever it stands, once divided by its first power
-    power, inverse = _powers(len(c))
-    sums = np.zeros(len(c) + 1, np.uint32)
-    np.cumsum(_LETTER[raw] * power[: len(c)], dtype=np.uint32, out=sums[1:])
-    word = (sums[:-1] - sums[begin]) * inverse[begin]
+    power, inverse = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint32)
+    np.cumsum(_LETTER[raw] * power[: len(raw)], dtype=np.uint32, out=sums[1:])
+    word = sums[:-1] - sums.take(begin)
+    word *= inverse.take(begin)
     word ^= word >> np.uint32(15)
     word *= np.uint32(0x85EBCA77)
     word ^= word >> np.uint32(13)
     word *= np.uint32(0xC2B2AE3D)
     word >>= np.uint32(32 - SLOT_BITS)
     # two bytes back: every context its own slots; the others by the high bits of a product
-    return [near << np.uint32(8), (far * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS), word]
+    near = far >> np.uint32(16)
+    near <<= np.uint32(8)
+    far *= np.uint32(0x9E3779B1)
+    far >>= np.uint32(32 - SLOT_BITS)
+    return [near, far, word]
 
 
 def context_counts(block: TextBlock) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per predictor: keys ``context * CLASSES + byte``, ascending, and how often each occurs."""
-    raw, first = stream(block)
-    own = np.ones(len(raw), bool)
-    own[(first[:, None] + np.arange(-4, 0)).ravel()] = False
-    return [np.unique(((s << np.uint32(8)) | raw)[own], return_counts=True) for s in contexts(raw)]
+    keys: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+    most = np.uint32(2**32 - 1)
+    at = 0
+    while at < block.n:  # by parts that stay in the processor's cache
+        upto = max(at + 1, int(np.searchsorted(block.offsets, block.offsets[at] + PART_BYTES, "right")) - 1)
+        raw, first = stream(block.part(at, upto))
+        before = (first[:, None] + np.arange(-4, 0)).ravel()
+        for known, key in zip(keys, contexts(raw), strict=True):
+            key <<= np.uint32(8)
+            key |= raw
+            key[before] = most  # taken off again below
+            known.append(key)
+        at = upto
+    out = []
+    for parts in keys:
+        key, n = np.unique(np.concatenate([np.full(1, most), *parts]), return_counts=True)
+        n[-1] -= 1 + 4 * block.n
+        out.append((key, n) if n[-1] else (key[:-1], n[:-1]))
+    return out
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,78 +224,138 @@ class Predictors:
                 out[k, s * IN_SLICE : (s + 1) * IN_SLICE] = slice_odds(keys[part == s], counts[part == s], alphabet)
         return cls(alphabet, out)
 
+    def __setstate__(self, state: dict) -> None:
+        # numpy asks for huge pages for what it allocates itself; what pickle hands over lies in small ones
+        self.__dict__.update(state, tables=state["tables"].copy())
+
     def symbol_costs(self, block: TextBlock) -> np.ndarray:
         """Minus the natural logarithm of the probability of each byte and end sign, text by text."""
-        a = self.alphabet
+        parts = [self._read(block.part(lo, min(lo + LANES, block.n))) for lo in range(0, block.n, LANES)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+
+    def _read(self, block: TextBlock) -> np.ndarray:
+        """``symbol_costs`` of a few texts, which are read in step, a stretch of each at a time.
+
+        A text's last stretch is filled up with whatever follows: it changes nothing that is still to be read, and what
+        is beyond the text is left out in the end.
+        """
+        a, f4 = self.alphabet, np.float32
         raw, first = stream(block)
-        slots = contexts(raw)
+        raw = np.concatenate([raw, np.zeros(STRETCH, np.uint8)])
+        wide = (len(raw) - STRETCH, STRETCH)
+        raw, *slots = (np.lib.stride_tricks.as_strided(x, wide, x.strides * 2) for x in (raw, *contexts(raw)))
         n = np.diff(block.offsets) + 1
-        begin = np.cumsum(n) - n
         # texts by length, the longest first, so that those that go on are always the first ones
         texts = np.argsort(-n, kind="stable")
-        left, place, target = n[texts], first[texts], begin[texts]
-        weights = [np.full(block.n * GATES, w, np.float32) for w in FIRST]
+        stretches = -(-n[texts] // STRETCH)
+        live = np.searchsorted(-stretches, -np.arange(stretches[0]))
+        start = np.concatenate([[0], np.cumsum(live)]).tolist()
+        step = np.repeat(np.arange(len(live)), live)
+        text = np.arange(len(step)) - np.repeat(start[:-1], live)
+        place = first[texts][text] + step * STRETCH
+        live = live.tolist()
+        costs = np.empty((len(step), STRETCH), np.float32)
+
+        # a node's gate, its number and its bit, fetched at once
+        path = np.zeros(len(a.node), [("gate_node", "<i8"), ("one", "<f4"), ("", "<f4")])
+        path["gate_node"], path["one"] = a.gate << 8 | a.node, a.one
+        path = path.view("V16")
+        # the weights' negatives for whole log-odds, and a copy with those of a gate side by side
+        weights = np.repeat(np.array(FIRST, f4) / f4(-8), block.n * GATES).astype(np.float64).reshape(ORDERS, -1)
+        beside = np.zeros((block.n * GATES, 4), f4)
+        beside[:, :ORDERS] = weights.T
+        fetched = beside.view("V16").ravel()
+        step_size = np.tile(-a.step / 8, block.n)
         mid = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) * 32 / BUCKETS))
         seen, ones = np.full(block.n * BUCKETS, 30.0), np.tile(mid * 30.0, block.n)
-        refined = np.tile((0.25 * mid).astype(np.float32), block.n)
-        out = np.empty(n.sum(), np.float32)
-        live, at = block.n, 0
-        while live:
-            take = np.minimum(left[:live] - at, STRETCH)
-            upto = np.cumsum(take)
-            inner = np.arange(upto[-1]) - np.repeat(upto - take - at, take)
-            pos = np.repeat(place[:live], take)
-            pos += inner
-            sym = raw.take(pos)
+        refined = np.tile((0.25 * mid).astype(f4), block.n)
+
+        this, steps = 0, len(live)
+        while this < steps:
+            # what does not depend on what is learnt, for several steps where few texts go on
+            upto = this + 1
+            while upto < steps and start[upto + 1] - start[this] <= LANES:
+                upto += 1
+            rows = slice(start[this], start[upto])
+            at = place[rows]
+            sym = raw[at].ravel().astype(np.int64)
             length = a.length.take(sym)
             ends = np.cumsum(length)
-            stops = ends.take(upto - 1)  # bits up to the end of each text's stretch
-            bits = np.diff(stops, prepend=0)
+            stops = ends[STRETCH - 1 :: STRETCH]
             rep = np.repeat(np.arange(len(sym)), length)
-            flat = (a.begin.take(sym) - (ends - length)).take(rep)
+            flat = a.begin.take(sym)
+            flat += length
+            flat -= ends
+            flat = flat.take(rep)
             flat += np.arange(len(rep))
-            node, one, gate = a.node.take(flat), a.one.take(flat), a.gate.take(flat)
-            gate += np.repeat(np.arange(live) * GATES, bits)
-            z, x = None, []
+            bit = path.take(flat)
+            gate, one = bit.view(np.int64)[::2], bit.view(f4)[2::4]
+            node = gate & 255
+            gate = gate >> 8
+            stops = stops.tolist()
+            own = np.repeat(text[rows], np.array(stops) - np.array([0, *stops[:-1]]))
+            gate += own * GATES
+            own *= BUCKETS
+            x, odds = [], np.empty(len(rep), np.int8)
             for k in range(ORDERS):
-                slot = slots[k].take(pos).astype(np.int64).take(rep)
-                slot ^= node
-                x.append(self.tables[k].take(slot).astype(np.float32))
-                part = weights[k].take(gate)
-                part *= x[k]
-                z = part if z is None else np.add(z, part, out=z)
-            z *= np.float32(0.125)
-            np.clip(z, -16, 16, out=z)
-            bucket = (z * np.float32(BUCKETS / 32) + np.float32(BUCKETS / 2 - 1e-3)).astype(np.int64)
-            bucket += np.repeat(np.arange(live) * BUCKETS, bits)
-            np.negative(z, out=z)
-            np.exp(z, out=z)
-            z += np.float32(1)
-            p = np.reciprocal(z, out=z)
-            q = p * np.float32(0.75)
-            q += refined.take(bucket)
-            q += one
-            q -= np.float32(1)  # one is 0 or 1: now, up to its sign, the probability of what came
-            cost = np.cumsum(np.log(np.abs(q, out=q), out=q), dtype=np.float64).take(ends - 1)
-            pos = np.repeat(target[:live], take)
-            pos += inner
-            out[pos] = -np.diff(cost, prepend=0.0)
-            at += STRETCH
-            more = int(np.searchsorted(-left[:live], -at))  # a text's last stretch changes nothing that is still to be read
-            if more:
-                last = int(stops[more - 1])
-                gate, bucket, one = gate[:last], bucket[:last], one[:last]
-                err = one - p[:last]
-                for k in range(ORDERS):
-                    weights[k][: more * GATES].reshape(more, GATES)[:] += np.bincount(gate, weights=err * x[k][:last], minlength=more * GATES).reshape(more, GATES) * a.step
-                # bits seen and ones among them in one sum
-                new = np.bincount(bucket, weights=one * np.float32(65536) + np.float32(1), minlength=more * BUCKETS)
-                came = np.floor(new / 65536)
-                ones[: more * BUCKETS] += came
-                seen[: more * BUCKETS] += new - came * 65536
-                refined[: more * BUCKETS] = 0.25 * ones[: more * BUCKETS] / seen[: more * BUCKETS]
-            live = more
-        return out
+                slots[k][at].ravel().astype(np.int64).take(rep, out=flat, mode="clip")
+                flat ^= node
+                self.tables[k].take(flat, out=odds, mode="clip")
+                x.append(odds.astype(f4))
+            both = one * 65536.0
+            both += 1.0
+            prob = np.empty(len(rep), f4)
+            lo = 0
+            for s in range(this, upto):
+                hi = stops[start[s + 1] - start[this] - 1]
+                g = gate[lo:hi]
+                w = fetched.take(g).view(f4).reshape(-1, 4)
+                z = w[:, 0] * x[0][lo:hi]
+                part = np.empty_like(z)
+                for k in range(1, ORDERS):
+                    z += np.multiply(w[:, k], x[k][lo:hi], out=part)
+                np.maximum(z, f4(-16), out=z)
+                np.minimum(z, f4(16), out=z)
+                np.multiply(z, f4(-BUCKETS / 32), out=part)
+                part += f4(BUCKETS / 2 - 1e-3)
+                bucket = part.astype(np.int64)
+                bucket += own[lo:hi]
+                np.exp(z, out=z)
+                z += f4(1)
+                p = np.reciprocal(z, out=z)
+                refined.take(bucket, out=part, mode="clip")
+                q = np.multiply(p, f4(0.75), out=prob[lo:hi])
+                q += part
+                if s + 1 < steps:
+                    m = live[s] * GATES
+                    err = np.subtract(one[lo:hi], p, out=p)
+                    for k in range(ORDERS):
+                        pull = np.bincount(g, np.multiply(err, x[k][lo:hi], out=part), m)
+                        pull *= step_size[:m]
+                        weights[k, :m] += pull
+                        beside[:m, k] = weights[k, :m]
+                    # bits seen and ones among them in one sum
+                    m = live[s] * BUCKETS
+                    new = np.bincount(bucket, both[lo:hi], m)
+                    came = np.floor(new * 2.0**-16)
+                    ones[:m] += came
+                    came *= 65536
+                    new -= came
+                    seen[:m] += new
+                    np.divide(ones[:m], seen[:m], out=new)
+                    new *= 0.25
+                    refined[:m] = new
+                lo = hi
+            # one is 0 or 1: now, up to its sign, the probability of what came
+            prob += one
+            prob -= f4(1)
+            np.abs(prob, out=prob)
+            np.log(prob, out=prob)
+            costs[rows] = -np.bincount(rep, prob, len(sym)).reshape(-1, STRETCH)
+            this = upto
+        back = np.lexsort((step, texts[text]))
+        here = np.minimum(n[texts][text] - step * STRETCH, STRETCH)[back]
+        return costs[back][np.arange(STRETCH) < here[:, None]]
 
     def cost(self, block: TextBlock, share: np.ndarray | None = None) -> np.ndarray:
         """Per text, minus the natural logarithm of its probability; ``share``: each word's share of the training tokens."""
@@ -288,7 +373,12 @@ class Predictors:
         next_ = np.append(block.data, 0)[end]
         next_[end == block.offsets[doc + 1]] = END
         whole = np.log(np.maximum(share, 1e-300)) + self.alphabet.after[next_]
-        gained = np.stack([np.bincount(doc, weights=by_bytes + np.logaddexp(math.log(1 - r) - by_bytes, math.log(r) + whole), minlength=block.n) for r in WORD_RATES])
+        # how much likelier the whole word is than its bytes
+        whole += by_bytes
+        most = np.minimum(whole, 600)
+        whole -= most
+        ratio = np.exp(most, out=most)
+        gained = np.stack([np.bincount(doc, weights=np.log((1 - r) + r * ratio) + whole, minlength=block.n) for r in WORD_RATES])
         return total - np.logaddexp.reduce(gained + np.log(WORD_PRIOR)[:, None], axis=0)
 
 
@@ -474,8 +564,11 @@ def _score(shared, buckets: int, n_train: int, n_tokens: int):
         hashes = [_unsix(x) for x in freq.column("hashes").to_pylist()]
         known = np.concatenate([np.zeros(0, np.uint64), *(_code(h, b) for b, h in zip(freq.column("bucket").to_pylist(), hashes, strict=True))])
         count = np.concatenate([np.zeros(0, np.int64), *(_unwide(x, len(h)) for x, h in zip(freq.column("counts").to_pylist(), hashes, strict=True))])
-        o = np.argsort(known)
-        known, count = np.r_[known[o], np.uint64(2**64 - 1)], np.r_[count[o], 0]
+        known = pd.Index(known)
+        if not known.is_unique:  # two words of one code
+            first = ~known.duplicated()
+            known, count = known[first], count[first]
+        count = np.r_[count, 0]
         # texts of like lengths together: they are read in step
         texts = texts.take(np.argsort(pc.binary_length(texts.column("text")).to_numpy(), kind="stable"))
         for part in chunks(texts.combine_chunks().to_batches()):
@@ -483,8 +576,7 @@ def _score(shared, buckets: int, n_train: int, n_tokens: int):
             block = TextBlock.from_arrow(col("text"))
             doc, h = _words(block.lowered())
             code = _code(h & _MASK, _bucket(h, buckets))
-            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            c = np.where(known[at] == code, count[at], 0)
+            c = count[known.get_indexer(code)]  # -1, the last one, where there is none
             n = np.bincount(doc, minlength=block.n) + 1
             logs = np.bincount(doc, weights=np.log10(c + 1.0), minlength=block.n) + math.log10(n_train + 1.0)
             has = np.bincount(doc[c > 0], minlength=block.n) + (n_train > 0)

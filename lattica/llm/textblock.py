@@ -100,6 +100,11 @@ class TextBlock:
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
         return cls(data, offsets - offsets[0])
 
+    def part(self, lo: int, hi: int) -> TextBlock:
+        """Texts from ``lo`` to before ``hi``."""
+        at = self.offsets[lo : hi + 1]
+        return TextBlock(self.data[at[0] : at[-1]], at - at[0])
+
     def lowered(self) -> TextBlock:
         return TextBlock(LOWER[self.data], self.offsets)
 

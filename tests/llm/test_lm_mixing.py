@@ -149,3 +149,33 @@ def test_all_texts_of_a_minority_script_have_contexts():
     model = lm.Predictors.of(TextBlock.of(texts), lm.Alphabet(counts))
     bits = model.cost(TextBlock.of([texts[-1]]))[0] / math.log(2) / len(texts[-1].encode())
     assert bits < 1.5
+
+
+def test_few_long_texts_are_prepared_many_stretches_at_once():
+    class Counted(np.ndarray):
+        calls = 0
+
+        def take(self, *args, **kwargs):
+            Counted.calls += 1
+            return np.asarray(self).take(*args, **kwargs)
+
+    texts = ["abc defg hij " * 250, "hij abc k " * 320]  # about a hundred stretches each
+    counts = np.bincount(np.frombuffer("".join(texts).encode(), np.uint8), minlength=257)
+    counts[256] = len(texts)
+    model = lm.Predictors.of(TextBlock.of(texts), lm.Alphabet(counts))
+    want = [slow_cost(model, t, {}) for t in texts]
+    model.alphabet.length = model.alphabet.length.view(Counted)
+    assert np.allclose(model.cost(TextBlock.of(texts), np.zeros(sum(len(t.split()) for t in texts))), want, rtol=2e-4)
+    assert 0 < Counted.calls <= 5  # once per stretch would be a hundred times
+
+
+def test_context_counts_do_not_depend_on_parts(monkeypatch):
+    block = TextBlock.of([t for _, t in corpus(40)])
+    raw, first = lm.stream(block)
+    own = np.ones(len(raw), bool)
+    own[(first[:, None] + np.arange(-4, 0)).ravel()] = False
+    want = [np.unique(((s << np.uint32(8)) | raw)[own], return_counts=True) for s in lm.contexts(raw)]
+    for size in (1, 3000, 1 << 20):
+        monkeypatch.setattr(lm, "PART_BYTES", size, raising=False)
+        for (k, n), (wk, wn) in zip(lm.context_counts(block), want, strict=True):
+            assert np.array_equal(k, wk) and np.array_equal(n, wn)
